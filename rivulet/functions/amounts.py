@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 BASE_DIGITS = 13
 BASE = 10**BASE_DIGITS
-WIDTH = 3 * BASE_DIGITS  # 39 digits hold 2^127 - 1
 
 
 def big(column: Column) -> Column:
@@ -40,10 +39,10 @@ class TextLane:
 
     def split(self, value: Column) -> list[Column]:
         negative = F.startswith(value, F.lit("-"))
-        digits = F.lpad(F.when(negative, F.substring(value, 2, WIDTH)).otherwise(value), WIDTH, "0")
+        digits = F.lpad(F.ltrim(value, F.lit("-")), F.greatest(F.length(value), F.lit(BASE_DIGITS + 1)), "0")
         sign = F.when(negative, F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
-        high = F.substring(digits, 1, 2 * BASE_DIGITS).cast("decimal(26,0)")
-        low = F.substring(digits, 2 * BASE_DIGITS + 1, BASE_DIGITS).cast("decimal(13,0)")
+        high = F.left(digits, F.length(digits) - BASE_DIGITS).cast("decimal(37,0)")
+        low = F.right(digits, F.lit(BASE_DIGITS)).cast("decimal(13,0)")
         return [big(high * sign), big(low * sign)]
 
     def join(self, parts: list[Column]) -> Column:
