@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rivulet.functions import xdr
 from rivulet.schemas import RAW_PAGE
@@ -70,11 +71,15 @@ def account_key(name: Column) -> Column:
     return F.upper(F.sha2(name, 256))
 
 
-def encode_event(contract: str) -> Column:
-    """The raw form of a typed event whose amounts are below 2^63 and whose parties are names."""
+def encode_event(contract: str, broken: Column) -> Column:
+    """The raw form of a typed event whose amounts are below 2^63 and whose parties are names.
+
+    A broken one gets a bare number where its map is due.
+    """
     kind = F.col("kind")
     value = (
-        F.when(
+        F.when(broken, xdr.u64_hex(F.col("stream_id")))
+        .when(
             kind == "created",
             xdr.map_hex(
                 {
@@ -126,3 +131,58 @@ def encode_event(contract: str) -> Column:
         F.lit(True).alias("inSuccessfulContractCall"),
         F.col("tx_hash").alias("txHash"),
     )
+
+
+def encode_pages(log: DataFrame, contract: str, rows_per_page: int = PAGE_LIMIT, head_lead: int = 10) -> DataFrame:
+    """Raw pages of at most ``rows_per_page`` events from a typed log, in arrival order.
+
+    The log is range-partitioned on arrival and numbered inside each partition, so a page is a run of
+    rows and never a large group. A failed attempt is written with a value its kind cannot have. Page
+    numbers rise with arrival but leave gaps between partitions; ``number_pages`` closes them.
+    """
+    bad = F.col("error").isNotNull() if "error" in log.columns else F.lit(False)
+    numbered = (
+        log.repartitionByRange("page_seq", "pos")
+        .sortWithinPartitions("page_seq", "pos")
+        .select(
+            F.monotonically_increasing_id().alias("row"),
+            encode_event(contract, bad).alias("event"),
+        )
+    )
+    part, index = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    page = F.shiftleft(part, 33) + F.floor(index / rows_per_page)
+    return (
+        numbered.groupBy(page.alias("page_seq"))
+        .agg(F.sort_array(F.collect_list(F.struct("row", "event"))).alias("rows"))
+        .select("page_seq", F.transform("rows", lambda r: r["event"]).alias("events"))
+        .select(
+            "page_seq",
+            F.struct(
+                F.col("events"),
+                (F.array_max(F.transform("events", lambda e: e["ledger"])) + head_lead).alias("latestLedger"),
+                F.element_at("events", -1)["id"].alias("cursor"),
+            ).alias("result"),
+        )
+    )
+
+
+def number_pages(stored: DataFrame) -> DataFrame:
+    """Consecutive page numbers for stored pages of ``encode_pages``: one small row per partition."""
+    part = F.shiftright("page_seq", 33).alias("part")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        stored.groupBy(part)
+        .count()
+        .select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    )
+    slot = F.col("page_seq").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        stored.withColumn("part", part)
+        .join(starts, "part")
+        .select((F.col("first") + slot).alias("page_seq"), "result")
+    )
+
+
+def write_pages(pages: DataFrame, path: str, mode: str = "append") -> None:
+    """Land pages as JSON lines."""
+    pages.write.mode(mode).json(path)
