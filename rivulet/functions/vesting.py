@@ -126,40 +126,43 @@ def strip_zeros(digits: Column) -> Column:
     return F.when(bare == "", "0").otherwise(bare)
 
 
-def _difference(left: Column, right: Column) -> Column:
+def _parts(frame: DataFrame, columns: dict[str, str], when: Column) -> DataFrame:
+    """Add ``_<name>_hi`` and ``_<name>_lo`` of text columns, null where not asked for."""
     lane = TextLane()
-    return lane.join([a - b for a, b in zip(lane.split(left), lane.split(right))])
+    pieces = {}
+    for name, column in columns.items():
+        for part, value in zip(lane.names, lane.split(F.when(when, F.col(column)))):
+            pieces[f"_{name}_{part}"] = value
+    return frame.withColumns(pieces)
 
 
-def _short_or(names: list[str], short: str, wide: Column) -> Column:
-    fits = F.lit(True)
-    for name in names:
-        fits = fits & (F.length(name) <= SMALL_DIGITS)
-    return F.when(fits, F.expr(short)).otherwise(wide)
+def _minus(frame: DataFrame, out: str, left: str, right: str) -> DataFrame:
+    """Add text column ``out`` = left - right of two columns of parts, 0 when negative."""
+    base = f"cast({BASE} AS decimal(14,0))"
+    for name, text in [
+        ("_low", f"_{left}_lo - _{right}_lo"),
+        ("_rest", f"pmod(_low, {base})"),
+        ("_high", f"_{left}_hi - _{right}_hi + cast((_low - _rest) / {base} AS decimal(38,0))"),
+    ]:
+        frame = frame.withColumn(name, F.expr(text))
+    text = F.expr(f"concat(cast(_high AS string), lpad(cast(_rest AS string), {BASE_DIGITS}, '0'))")
+    return frame.withColumn(out, F.when(F.col("_high") < 0, "0").otherwise(strip_zeros(text)))
 
 
 def with_withdrawable(valued: DataFrame) -> DataFrame:
     """Add ``withdrawable`` = max(0, vested - withdrawn) and ``locked`` = total - vested."""
     staged = valued.withColumns(
         {"_total": F.col("total_amount").cast("string"), "_drawn": F.col("withdrawn").cast("string")}
-    )
-    staged = staged.withColumns(
-        {
-            "_free": _short_or(
-                ["vested", "_drawn"],
-                "cast(cast(vested AS bigint) - cast(_drawn AS bigint) AS string)",
-                _difference(F.col("vested"), F.col("_drawn")),
-            ),
-            "locked": _short_or(
-                ["vested", "_total"],
-                "cast(cast(_total AS bigint) - cast(vested AS bigint) AS string)",
-                _difference(F.col("_total"), F.col("vested")),
-            ),
-        }
-    )
-    free = F.when(F.startswith("_free", F.lit("-")), "0").otherwise(F.col("_free"))
-    added = ["withdrawable", "locked"]
-    return settle(staged.withColumn("withdrawable", free).select(*valued.columns, *added), added)
+    ).withColumn("_short", (F.length("_total") <= SMALL_DIGITS) & (F.length("_drawn") <= SMALL_DIGITS))
+    staged = _parts(staged, {"v": "vested", "w": "_drawn", "t": "_total"}, ~F.col("_short"))
+    staged = _minus(_minus(staged, "_free", "v", "w"), "_fixed", "t", "v")
+    short = {
+        "withdrawable": "cast(greatest(0L, cast(vested AS bigint) - cast(_drawn AS bigint)) AS string)",
+        "locked": "cast(cast(_total AS bigint) - cast(vested AS bigint) AS string)",
+    }
+    wide = {"withdrawable": "_free", "locked": "_fixed"}
+    staged = staged.withColumns({n: F.when(F.col("_short"), F.expr(short[n])).otherwise(F.col(wide[n])) for n in short})
+    return settle(staged.select(*valued.columns, *short), list(short))
 
 
 def with_progress(valued: DataFrame) -> DataFrame:
@@ -168,28 +171,23 @@ def with_progress(valued: DataFrame) -> DataFrame:
     For amounts past 18 digits a floating-point estimate is corrected by the sign of the exact
     remainder, taken from the parts of ``vested * 10000 - estimate * total``.
     """
-    lane = TextLane()
     base = f"cast({BASE} AS decimal(14,0))"
     staged = valued.withColumn("_total", F.col("total_amount").cast("string"))
-    long = F.length("_total") > SMALL_DIGITS
-    pieces = {
-        **{f"_v{n}": F.when(long, p) for n, p in zip(lane.names, lane.split(F.col("vested")))},
-        **{f"_t{n}": F.when(long, p) for n, p in zip(lane.names, lane.split(F.col("_total")))},
-        "_guess": F.when(
-            long,
-            F.floor(F.col("vested").cast("double") * FULL_PROGRESS / F.col("_total").cast("double")),
-        ).cast("decimal(5,0)"),
-    }
-    staged = staged.withColumns(pieces)
+    staged = staged.withColumn("_long", F.length("_total") > SMALL_DIGITS)
+    long = F.col("_long")
+    ratio = F.col("vested").cast("double") * FULL_PROGRESS / F.col("_total").cast("double")
+    staged = _parts(staged, {"v": "vested", "t": "_total"}, long).withColumn(
+        "_guess", F.when(long, F.floor(ratio)).cast("decimal(5,0)")
+    )
     for name, text in [
-        ("_low", f"cast(_vlo AS decimal(13,0)) * {FULL_PROGRESS} - _guess * cast(_tlo AS decimal(13,0))"),
+        ("_low", f"cast(_v_lo AS decimal(13,0)) * {FULL_PROGRESS} - _guess * cast(_t_lo AS decimal(13,0))"),
         ("_rest", f"pmod(_low, {base})"),
         (
             "_high",
-            f"cast(_vhi AS decimal(32,0)) * {FULL_PROGRESS} - _guess * cast(_thi AS decimal(32,0))"
+            f"cast(_v_hi AS decimal(32,0)) * {FULL_PROGRESS} - _guess * cast(_t_hi AS decimal(32,0))"
             f" + cast((_low - _rest) / {base} AS decimal(13,0))",
         ),
-        ("_over", "_high > _thi OR (_high = _thi AND _rest >= _tlo)"),
+        ("_over", "_high > _t_hi OR (_high = _t_hi AND _rest >= _t_lo)"),
     ]:
         staged = staged.withColumn(name, F.expr(text))
     progress = (
