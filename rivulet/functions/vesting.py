@@ -54,10 +54,15 @@ def status_of(now: Column) -> Column:
     )
 
 
+def amount_text(column: str) -> Column:
+    """An amount of any type as text without leading zeros."""
+    return strip_zeros(F.col(column).cast("string"))
+
+
 def with_vested(streams: DataFrame, as_of: int | Column | None = None) -> DataFrame:
     """Add ``vested`` as decimal text."""
     now = clock(as_of)
-    total = F.col("total_amount").cast("string")
+    total = amount_text("total_amount")
     nothing = (now < F.col("cliff_time")) | (now < F.col("start_time"))
     staged = streams.withColumns(
         {
@@ -152,7 +157,7 @@ def _minus(frame: DataFrame, out: str, left: str, right: str) -> DataFrame:
 def with_withdrawable(valued: DataFrame) -> DataFrame:
     """Add ``withdrawable`` = max(0, vested - withdrawn) and ``locked`` = total - vested."""
     staged = valued.withColumns(
-        {"_total": F.col("total_amount").cast("string"), "_drawn": F.col("withdrawn").cast("string")}
+        {"_total": amount_text("total_amount"), "_drawn": amount_text("withdrawn")}
     ).withColumn("_short", (F.length("_total") <= SMALL_DIGITS) & (F.length("_drawn") <= SMALL_DIGITS))
     staged = _parts(staged, {"v": "vested", "w": "_drawn", "t": "_total"}, ~F.col("_short"))
     staged = _minus(_minus(staged, "_free", "v", "w"), "_fixed", "t", "v")
@@ -172,7 +177,7 @@ def with_progress(valued: DataFrame) -> DataFrame:
     remainder, taken from the parts of ``vested * 10000 - estimate * total``.
     """
     base = f"cast({BASE} AS decimal(14,0))"
-    staged = valued.withColumn("_total", F.col("total_amount").cast("string"))
+    staged = valued.withColumn("_total", amount_text("total_amount"))
     staged = staged.withColumn("_long", F.length("_total") > SMALL_DIGITS)
     long = F.col("_long")
     ratio = F.col("vested").cast("double") * FULL_PROGRESS / F.col("_total").cast("double")

@@ -1,20 +1,23 @@
 """Reading and writing the base64 wire form of event topics and values, as column expressions.
 
-A value is a 4-byte tag and a body, big-endian. All work is on the hexadecimal text of the bytes, in
-the JVM: there is no Python worker in the decode job.
+A value is a 4-byte tag and a body, big-endian. Everything is done on the bytes in the JVM: there is
+no Python worker in the decode job.
 """
 
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.amounts import BASE, big, signed_text
+from rivulet.functions.stage import settle
 
 # Fixed values of the wire format: tags, and the body sizes in bytes of the fixed-size tags.
-TAG_U64, TAG_I128, TAG_STRING, TAG_SYMBOL, TAG_MAP, TAG_ADDRESS = 5, 10, 14, 15, 17, 18
+TAG_U64, TAG_I128, TAG_BYTES, TAG_STRING, TAG_SYMBOL, TAG_MAP, TAG_ADDRESS = 5, 10, 13, 14, 15, 17, 18
 BODY_BYTES = {0: 4, 1: 0, 3: 4, 4: 4, 5: 8, 6: 8, 7: 8, 8: 8, 9: 16, 10: 16, 11: 32, 12: 32}
 ADDRESS_ACCOUNT, ADDRESS_CONTRACT = 0, 1
 ACCOUNT_VERSION, CONTRACT_VERSION = 6 << 3, 2 << 3
@@ -37,9 +40,9 @@ def text_literals(text: str) -> list[str]:
     ]
 
 
-def hex_of(base64_text: Column) -> Column:
-    """Hexadecimal text of the bytes, null when the text is not base64."""
-    return F.hex(F.try_to_binary(base64_text, F.lit("base64")))
+def bytes_of(base64_text: Column) -> Column:
+    """The bytes, null when the text is not base64."""
+    return F.try_to_binary(base64_text, F.lit("base64"))
 
 
 def _unsigned(digits: Column) -> Column:
@@ -47,6 +50,7 @@ def _unsigned(digits: Column) -> Column:
 
 
 def _slice(digits: Column, start: int | Column, length: int | Column) -> Column:
+    """A piece of a text or of bytes, counted from 1."""
     start = start if isinstance(start, Column) else F.lit(start)
     length = length if isinstance(length, Column) else F.lit(length)
     return F.substring(digits, start, length)
@@ -55,62 +59,113 @@ def _slice(digits: Column, start: int | Column, length: int | Column) -> Column:
 # -- maps -----------------------------------------------------------------------------------------
 
 
-def map_entries(value_hex: Column) -> Column:
+@dataclass(frozen=True)
+class Layout:
+    """A map value whose fields have known keys and sizes: where each field is, and what lies between."""
+
+    size: int
+    fields: dict[str, tuple[int, int]]  # name -> start of the tag (from 1) and length with the tag
+    fixed: tuple[tuple[int, bytes], ...]  # start and content of every key with the tag that follows
+
+    @staticmethod
+    def of(types: dict[str, tuple[bytes, int]]) -> Layout:
+        """From name -> (tag bytes, body bytes after them); keys are in sorted order on the wire."""
+        at = 1
+        pending = bytes.fromhex(tag_hex(TAG_MAP) + "00000001" + f"{len(types):08X}")
+        fields, fixed = {}, []
+        for name in sorted(types):
+            tag, body = types[name]
+            pending += bytes.fromhex(symbol_hex(name))
+            fields[name] = (at + len(pending), len(tag) + body)
+            fixed.append((at, pending + tag))
+            at += len(pending) + len(tag) + body
+            pending = b""
+        return Layout(at - 1, fields, tuple(fixed))
+
+    def fits(self, value: Column) -> Column:
+        """Whether the bytes are exactly of this form."""
+        test = F.octet_length(value) == self.size
+        for start, content in self.fixed:
+            test = test & (_slice(value, start, len(content)) == F.lit(content))
+        return test
+
+
+U64 = (bytes.fromhex(tag_hex(TAG_U64)), 8)
+I128 = (bytes.fromhex(tag_hex(TAG_I128)), 16)
+ACCOUNT = (bytes.fromhex(tag_hex(TAG_ADDRESS) + tag_hex(ADDRESS_ACCOUNT)), 36)
+CONTRACT = (bytes.fromhex(tag_hex(TAG_ADDRESS) + tag_hex(ADDRESS_CONTRACT)), 32)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, for use inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def map_entries(value: Column) -> Column:
     """The entries of a map value as ``array<struct<key, raw>>``, ``raw`` being the value's hex.
 
     Entries sit end to end and their sizes differ, so they are walked in order. The walk stops at an
     entry it cannot measure (a nested vector or map) or at a truncated one; fields behind that are
     absent, and a decoder that needs them reports so.
     """
-    body = _slice(value_hex, 1, 16)
-    is_map = F.startswith(body, F.lit(tag_hex(TAG_MAP) + "00000001"))
-    claimed = _unsigned(_slice(value_hex, 17, 8)).cast("bigint")
-    # An entry takes at least 12 bytes, so the text's own length bounds the number of steps.
-    count = F.least(claimed, F.floor(F.length(value_hex) / 24)).cast("int")
+    size = F.octet_length(value)
+    is_map = F.hex(_slice(value, 1, 8)) == tag_hex(TAG_MAP) + "00000001"
+    claimed = _number_at(value, F.lit(9))
+    # An entry takes at least 12 bytes, so the value's own size bounds the number of steps.
+    count = F.least(claimed, F.floor(size / 12)).cast("int")
 
     def step(state: Column, _: Column) -> Column:
         at = state["at"]
-        key_length = _unsigned(_slice(value_hex, at + 8, 8)).cast("int")
-        key_width = (F.floor((key_length + 3) / 4) * 8).cast("int")
-        value_at = at + 16 + key_width
-        tag = _slice(value_hex, value_at, 8)
-        width = _body_width(value_hex, value_at, tag)
-        key_tag = _slice(value_hex, at, 8)
-        end = value_at + 8 + width
-        good = (
-            key_tag.isin(tag_hex(TAG_SYMBOL), tag_hex(TAG_STRING))
-            & key_length.between(0, 256)
-            & width.isNotNull()
-            & (end <= F.length(value_hex) + 1)
-        )
-        entry = F.struct(
-            F.unhex(_slice(value_hex, at + 16, key_length * 2)).cast("string").alias("key"),
-            _slice(value_hex, value_at, width + 8).alias("raw"),
-        )
-        moved = F.struct(end.cast("int").alias("at"), F.array_append(state["entries"], entry).alias("entries"))
-        stopped = F.struct((F.length(value_hex) + 1).cast("int").alias("at"), state["entries"].alias("entries"))
-        return F.when(good, moved).otherwise(stopped)
+
+        def with_key(length: Column) -> Column:
+            key = _slice(value, at + 8, length.cast("int")).cast("string")
+            value_at = (at + 8 + _padded(length)).cast("int")
+            good = F.hex(_slice(value, at, 4)).isin(tag_hex(TAG_SYMBOL), tag_hex(TAG_STRING)) & (length <= 256)
+            return F.struct(F.when(good, key).alias("key"), value_at.alias("value_at"))
+
+        def with_width(found: Column) -> Column:
+            width = let(F.hex(_slice(value, found["value_at"], 4)), lambda tag: _width(value, found["value_at"], tag))
+            return F.struct(found["key"].alias("key"), found["value_at"].alias("value_at"), width.alias("width"))
+
+        def moved(found: Column) -> Column:
+            end = found["value_at"] + found["width"]
+            entry = F.struct(
+                found["key"].alias("key"), F.hex(_slice(value, found["value_at"], found["width"])).alias("raw")
+            )
+            good = found["key"].isNotNull() & (end <= size + 1)
+            on = F.struct(end.cast("int").alias("at"), F.array_append(state["entries"], entry).alias("entries"))
+            stop = F.struct((size + 1).cast("int").alias("at"), state["entries"].alias("entries"))
+            return F.when(good, on).otherwise(stop)
+
+        return let(let(let(_number_at(value, at + 4), with_key), with_width), moved)
 
     empty = F.array().cast("array<struct<key:string,raw:string>>")
-    start = F.struct(F.lit(25).alias("at"), empty.alias("entries"))
+    start = F.struct(F.lit(13).alias("at"), empty.alias("entries"))
     walked = F.aggregate(F.sequence(F.lit(1), count), start, step, lambda state: state["entries"])
     return F.when(is_map & (count > 0), walked)
 
 
-def _body_width(value_hex: Column, value_at: Column, tag: Column) -> Column:
-    """Hex digits taken by the body of the value at ``value_at``; null when it cannot be told."""
-    width = None
-    for kind, size in BODY_BYTES.items():
-        width = (F if width is None else width).when(tag == tag_hex(kind), F.lit(2 * size))
-    length = _unsigned(_slice(value_hex, value_at + 8, 8)).cast("bigint")
-    padded = F.when(length <= 1 << 20, 8 + F.floor((length + 3) / 4) * 8).cast("int")
-    for kind in (13, TAG_STRING, TAG_SYMBOL):
-        width = width.when(tag == tag_hex(kind), padded)
-    account = F.lit(2 * (4 + 4 + 32))
-    contract = F.lit(2 * (4 + 32))
-    form = _slice(value_hex, value_at + 8, 8)
-    address = F.when(form == tag_hex(ADDRESS_ACCOUNT), account).when(form == tag_hex(ADDRESS_CONTRACT), contract)
-    return width.when(tag == tag_hex(TAG_ADDRESS), address)
+def _number_at(value: Column, at: Column) -> Column:
+    return _unsigned(F.hex(_slice(value, at, 4))).cast("bigint")
+
+
+def _padded(length: Column) -> Column:
+    return F.floor((length + 3) / 4) * 4
+
+
+def _width(value: Column, at: Column, tag: Column) -> Column:
+    """Bytes taken by the tagged value at ``at``; null when it cannot be told."""
+    sizes = {tag_hex(kind): 4 + size for kind, size in BODY_BYTES.items()}
+    fixed = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    lengthy = [tag_hex(k) for k in (TAG_BYTES, TAG_STRING, TAG_SYMBOL)]
+    form = F.hex(_slice(value, at + 4, 4))
+    address = F.when(form == tag_hex(ADDRESS_ACCOUNT), 44).when(form == tag_hex(ADDRESS_CONTRACT), 40)
+    width = (
+        F.when(tag.isin(lengthy), 8 + _padded(_number_at(value, at + 4)))
+        .when(tag == tag_hex(TAG_ADDRESS), address)
+        .otherwise(F.try_element_at(fixed, tag))
+    )
+    return F.when(width <= 1 << 30, width).cast("int")
 
 
 def entry(entries: Column, name: str) -> Column:
@@ -137,7 +192,10 @@ def with_i128_texts(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
     kept = [c for c in frame.columns if c not in columns]
     halves, tails, digits, tops, texts = {}, {}, {}, {}, {}
     for name, raw in columns.items():
-        good = F.startswith(raw, F.lit(tag_hex(TAG_I128)))
+        tagged = F.startswith(raw, F.lit(tag_hex(TAG_I128)))
+        # Most amounts fit the lower half, whose text comes straight from its digits.
+        short = F.startswith(raw, F.lit(tag_hex(TAG_I128) + "0" * 16))
+        good = tagged & ~short
         halves[f"_{name}_h"] = F.when(good, big(F.conv(_slice(F.col(raw), 9, 16), 16, -10)))
         halves[f"_{name}_l"] = F.when(good, big(_unsigned(_slice(F.col(raw), 25, 16))))
         tails[f"_{name}_t"] = big(F.col(f"_{name}_h") * F.lit(rest).cast("decimal(14,0)")) + F.col(f"_{name}_l")
@@ -145,10 +203,11 @@ def with_i128_texts(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
         tops[f"_{name}_u"] = big(F.col(f"_{name}_h") * F.lit(carry).cast("decimal(7,0)")) + big(
             (F.col(f"_{name}_t") - F.col(f"_{name}_d")) / base
         )
-        texts[name] = signed_text(F.col(f"_{name}_u"), F.col(f"_{name}_d"))
+        long = signed_text(F.col(f"_{name}_u"), F.col(f"_{name}_d"))
+        texts[name] = F.when(short, _unsigned(_slice(F.col(raw), 25, 16))).otherwise(long)
     for step in (halves, tails, digits, tops, texts):
         frame = frame.withColumns(step)
-    return frame.select(*kept, *columns)
+    return settle(frame.select(*kept, *columns), list(columns))
 
 
 # -- addresses ------------------------------------------------------------------------------------
@@ -193,8 +252,9 @@ def with_addresses(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
     account = tag_hex(TAG_ADDRESS) + tag_hex(ADDRESS_ACCOUNT)
     contract = tag_hex(TAG_ADDRESS) + tag_hex(ADDRESS_CONTRACT)
     kept = [c for c in frame.columns if c not in columns]
-    keys, words, sums, whole, texts = {}, {}, {}, {}, {}
+    steps = {}
     for name, raw in columns.items():
+        keys, words, sums, whole, texts = steps[name] = {}, {}, {}, {}, {}
         value, key, version = F.col(raw), F.col(f"_{name}_k"), F.col(f"_{name}_v")
         is_account = F.startswith(value, F.lit(account)) & (F.length(value) == 8 + 80)
         is_contract = F.startswith(value, F.lit(contract)) & (F.length(value) == 8 + 72)
@@ -202,22 +262,23 @@ def with_addresses(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
         keys[f"_{name}_v"] = F.when(is_account, ACCOUNT_VERSION).when(is_contract, CONTRACT_VERSION)
         for i in range(4):
             words[f"_{name}_w{i}"] = F.conv(_slice(key, 1 + 16 * i, 16), 16, -10).cast("bigint")
-        checksum = F.when(version == ACCOUNT_VERSION, versions[ACCOUNT_VERSION]).otherwise(versions[CONTRACT_VERSION])
-        checksum = checksum.cast("bigint")
-        for bit, mask in enumerate(masks):
-            mixed = None
-            for i, chosen in enumerate(mask):
-                part = F.col(f"_{name}_w{i}").bitwiseAND(F.lit(_signed64(chosen)))
-                mixed = part if mixed is None else mixed.bitwiseXOR(part)
-            parity = F.bit_count(mixed).cast("bigint").bitwiseAND(F.lit(1))
-            checksum = checksum.bitwiseXOR(F.shiftleft(parity, bit))
+        bits = [
+            f"shiftleft(cast(bit_count({' ^ '.join(f'(_{name}_w{i} & {_signed64(m)}L)' for i, m in enumerate(mask))}) & 1 AS bigint), {bit})"
+            for bit, mask in enumerate(masks)
+        ]
+        start = f"CASE WHEN _{name}_v = {ACCOUNT_VERSION} THEN {versions[ACCOUNT_VERSION]}L ELSE {versions[CONTRACT_VERSION]}L END"
+        checksum = F.expr(" ^ ".join([start, *bits]))
         sums[f"_{name}_s"] = F.when(key.isNotNull(), F.lpad(F.hex(checksum), 4, "0"))
         tail = F.col(f"_{name}_s")
         whole[f"_{name}_b"] = F.concat(F.hex(version.cast("bigint")), key, _slice(tail, 3, 2), _slice(tail, 1, 2))
         groups = [F.lpad(F.conv(_slice(F.col(f"_{name}_b"), 1 + 10 * i, 10), 16, 32), 8, "0") for i in range(7)]
         texts[name] = F.translate(F.concat(*groups), RADIX32_DIGITS, BASE32_LETTERS)
-    for step in (keys, words, sums, whole, texts):
-        frame = frame.withColumns(step)
+    for name in columns:
+        # One address after another: together they would make a method too long to be compiled well.
+        before = [c for c in frame.columns if c != name]
+        for step in steps[name]:
+            frame = frame.withColumns(step)
+        frame = settle(frame.select(*before, name), [name])
     return frame.select(*kept, *columns)
 
 

@@ -16,6 +16,14 @@ VALUE_FIELDS = {
     "withdrawn": ("id", "amount"),
     "cancelled": ("id", "recipient_amount", "sender_refund"),
 }
+# The forms in which each kind's value is normally written; a token is a contract or an account.
+_SCHEDULE = {"id": xdr.U64, "total_amount": xdr.I128, "start_time": xdr.U64, "end_time": xdr.U64, "cliff_time": xdr.U64}
+LAYOUTS = [
+    ("created", xdr.Layout.of({**_SCHEDULE, "token": xdr.CONTRACT})),
+    ("created", xdr.Layout.of({**_SCHEDULE, "token": xdr.ACCOUNT})),
+    ("withdrawn", xdr.Layout.of({"id": xdr.U64, "amount": xdr.I128})),
+    ("cancelled", xdr.Layout.of({"id": xdr.U64, "recipient_amount": xdr.I128, "sender_refund": xdr.I128})),
+]
 # Which column each further topic fills.
 TOPIC_FIELDS = {"created": ("sender", "recipient"), "withdrawn": ("recipient",), "cancelled": ("sender",)}
 AMOUNTS = ("total_amount", "amount", "recipient_amount", "sender_refund")
@@ -48,26 +56,37 @@ def keep_known(named: DataFrame, kind: str = "kind") -> DataFrame:
 def decode_events(raw: DataFrame) -> DataFrame:
     """Typed events from rows ``(page_seq, pos, event)`` of raw ones.
 
-    Only the known kinds come out. One that lacks a field, or holds it in the wrong form, has
+    A value in its normal form is cut at known places; one with other fields in it, as a newer
+    contract may write, is walked entry by entry. Only the known kinds come out. One that lacks a field, or holds it in the wrong form, has
     ``error`` set and its kind is given as ``unknown``; it goes to the dead letters.
     """
+    kind = F.col("kind")
+    layout = None
+    for number, (known, form) in enumerate(LAYOUTS):
+        layout = (F if layout is None else layout).when((kind == known) & form.fits(F.col("_value")), number)
     staged = (
         raw.withColumn("kind", kind_of(F.col("event.topic")))
         .where(F.col("kind").isNotNull())
-        .withColumn("_hex", xdr.hex_of(F.col("event.value")))
-        .withColumn("_entries", xdr.map_entries(F.col("_hex")))
+        .withColumn("_value", xdr.bytes_of(F.col("event.value")))
+        .withColumn("_layout", layout)
+        .withColumn("_entries", F.when(F.col("_layout").isNull(), xdr.map_entries(F.col("_value"))))
     )
-    kind = F.col("kind")
     raws = {}
     for name in ("id", "token", *TIMES, *AMOUNTS):
+        at = None
+        for number, (_, form) in enumerate(LAYOUTS):
+            if name in form.fields:
+                piece = F.hex(F.substring(F.col("_value"), *map(F.lit, form.fields[name])))
+                at = (F if at is None else at).when(F.col("_layout") == number, piece)
         kinds = [k for k, fields in VALUE_FIELDS.items() if name in fields]
-        raws[f"_{name}"] = F.when(kind.isin(*kinds), xdr.entry(F.col("_entries"), name))
+        walked = F.col("_layout").isNull() & kind.isin(*kinds)
+        raws[f"_{name}"] = at.when(walked, xdr.entry(F.col("_entries"), name))
     for field in ("sender", "recipient"):
         at = None
         for known, topics in TOPIC_FIELDS.items():
             if field in topics:
                 at = (F if at is None else at).when(kind == known, F.lit(topics.index(field) + 2))
-        raws[f"_{field}"] = xdr.hex_of(F.try_element_at(F.col("event.topic"), at))
+        raws[f"_{field}"] = F.hex(xdr.bytes_of(F.try_element_at(F.col("event.topic"), at)))
     staged = staged.withColumns(raws)
 
     staged = xdr.with_i128_texts(staged, {name: f"_{name}" for name in AMOUNTS})

@@ -26,6 +26,8 @@ CASES = [
     (1000, 100, 1100, 2000, 1500, 0),
     (1000, 100, 1100, 2000, 2000, 1000),
     (500, 100, 600, 100, 5000, 500),
+    ("0" * 30, 100, 1100, 100, 600, 0),
+    ("0" * 30 + "70", 0, 10, 0, 3, 21),
     (700, 100, 100, 100, 100, 700),
     (700, 100, 100, 100, 99, 0),
 ]
@@ -39,7 +41,7 @@ def frame(spark, rows):
 
 def test_known_cases(spark):
     rows = [(i, str(t), "0", s, e, c, False, now) for i, (t, s, e, c, now, _) in enumerate(CASES)]
-    got = vesting.with_vested(frame(spark, rows), F.col("now")).orderBy("n").collect()
+    got = vesting.with_valuation(frame(spark, rows), F.col("now")).orderBy("n").collect()
     assert [r.vested for r in got] == [str(case[-1]) for case in CASES]
 
 
