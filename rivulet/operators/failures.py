@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.operators.skew import join_by_key
+from rivulet.operators.skew import hot_keys, join_by_key
 
 FAILURE_COLUMNS = ["event_id", "kind", "stream_id", "ledger", "error", "failure_count"]
 LIST_LIMIT = 100
@@ -59,7 +59,7 @@ def open_failures(events: DataFrame, recorded: DataFrame | None = None) -> DataF
         suspects = suspects.unionByName(recorded.select("event_id"))
     cleared = last_successes(events, suspects)
     fresh = record_failures(
-        join_by_key(failed, cleared, "event_id")
+        join_by_key(failed, cleared, "event_id", hot_keys(failed, "event_id"))
         .where(F.col("ok_seq").isNull() | (F.col("seq") > F.col("ok_seq")))
         .drop("ok_seq")
     )

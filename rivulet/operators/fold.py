@@ -184,7 +184,8 @@ def classify_ranges(rows: DataFrame) -> DataFrame:
             F.greatest("floor_id", F.max("guard").over(prior)).alias("floor_id"),
         )
     )
-    return classify(blocked.drop("stored", "floor_id").join(F.broadcast(carried), keys), keys)
+    # The join has the keys of the windows after it, so it adds no shuffle of the rows.
+    return classify(blocked.drop("stored", "floor_id").join(carried, keys), keys)
 
 
 def sum_up(classified: DataFrame, keys: list[str], lane: NumberLane | TextLane) -> DataFrame:

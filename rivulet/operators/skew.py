@@ -47,13 +47,12 @@ def split_hot(frame: DataFrame, key: str, hot: DataFrame) -> tuple[DataFrame, Da
     return frame.join(few, key, "left_semi"), frame.join(few, key, "left_anti")
 
 
-def join_by_key(frame: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+def join_by_key(frame: DataFrame, lookup: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     """Left join with a table that has at most one row per key, safe when one key dominates.
 
     Hot keys meet a broadcast of their own lookup rows (one each, so at most MAX_HOT); the others
     are shuffled as usual.
     """
-    hot = hot_keys(frame, key)
     if hot is None:
         return frame.join(lookup, key, "left")
     large, rest = split_hot(frame, key, hot)

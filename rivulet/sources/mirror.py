@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from rivulet.operators import failures as dead
 from rivulet.operators import position as pos
 from rivulet.operators.fold import fold
+from rivulet.operators.reads import parse_stream_id, stream_by_id
 from rivulet.schemas import OUTCOME_COLUMNS, STREAM_COLUMNS, stream_schema
 
 MANIFEST = T.StructType(
@@ -86,6 +87,12 @@ class MirrorStore:
         paths = [f"{self.path}/data/version={v}/bucket={b}" for b, v in sorted(wanted.items())]
         return self.spark.read.schema(self.schema).parquet(*paths)
 
+    def stream(self, raw_id: str | int) -> DataFrame:
+        """The row of one stream, from its own bucket alone; empty when there is none."""
+        wanted = F.lit(str(parse_stream_id(raw_id))).cast("decimal(38,0)").try_cast("decimal(20,0)")
+        bucket = self.spark.range(1).select(self.bucket_of(wanted)).first()[0]
+        return stream_by_id(self.streams(only=[bucket]), raw_id)
+
     def failures(self, version: Version | None = None) -> DataFrame:
         version = version or self.current()
         if version.number == 0:

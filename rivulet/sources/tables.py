@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _units(price: Column, per_unit: int) -> Column:
+    """A price as whole token units, rounded half up."""
+    return F.floor(price * per_unit + 0.5)
+
+
 def epoch_seconds(ts: Column) -> Column:
     """Seconds since 1970 of a zone-less timestamp, whatever the session's zone is."""
     clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
@@ -47,7 +52,7 @@ def base_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("G"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("sender"),
             F.concat(F.lit("R"), F.lpad((k % 97).cast("string"), 9, "0")).alias("recipient"),
             F.col("o_orderpriority").alias("token"),
-            F.round(F.col("o_totalprice") * 100).cast("bigint").alias("total_amount"),
+            _units(F.col("o_totalprice"), 100).alias("total_amount"),
             start,
             (start + 365 * DAY).alias("end_time"),
             (start + 30 * DAY * (k % 4)).alias("cliff_time"),
@@ -128,7 +133,7 @@ def _withdrawal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             ledger.alias("ledger"),
             "closed_at",
             F.concat(F.lit("R"), F.lpad((F.col("l_orderkey") % 97).cast("string"), 9, "0")).alias("recipient"),
-            F.round(F.col("l_extendedprice") * 10).cast("bigint").alias("amount"),
+            _units(F.col("l_extendedprice"), 10).alias("amount"),
             (F.col("l_suppkey") % 50 == 7).alias("rejected"),
         )
     )

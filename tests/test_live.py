@@ -52,6 +52,9 @@ def test_several_drains_equal_one_fold(spark, tmp_path):
     whole = decode_events(pages.page_events(pages.read_pages(spark, str(PAGE), multi_line=True)))
     expected = sorted(map(tuple, fold(whole).state.collect()))
     assert sorted(map(tuple, store.streams().collect())) == expected
+    assert store.stream("42").first().withdrawn == "55000000000000"
+    assert store.stream(str(2**64 - 1)).count() == 1
+    assert store.stream("43").count() == 0 and store.stream(str(2**64)).count() == 0
     counts = {(r.kind, r.outcome): r.n for r in store.outcomes().groupBy("kind", "outcome").agg(F.count("*").alias("n")).collect()}
     assert counts == {
         ("created", "applied"): 2, ("created", "duplicate"): 1,
