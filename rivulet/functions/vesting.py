@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rivulet.functions.amounts import BASE, BASE_DIGITS, TextLane
 from rivulet.functions.stage import settle
@@ -54,15 +55,17 @@ def status_of(now: Column) -> Column:
     )
 
 
-def amount_text(column: str) -> Column:
+def amount_text(frame: DataFrame, column: str) -> Column:
     """An amount of any type as text without leading zeros."""
-    return strip_zeros(F.col(column).cast("string"))
+    if isinstance(frame.schema[column].dataType, T.StringType):
+        return strip_zeros(F.col(column))
+    return F.col(column).cast("string")
 
 
 def with_vested(streams: DataFrame, as_of: int | Column | None = None) -> DataFrame:
     """Add ``vested`` as decimal text."""
     now = clock(as_of)
-    total = amount_text("total_amount")
+    total = amount_text(streams, "total_amount")
     nothing = (now < F.col("cliff_time")) | (now < F.col("start_time"))
     staged = streams.withColumns(
         {
@@ -157,7 +160,7 @@ def _minus(frame: DataFrame, out: str, left: str, right: str) -> DataFrame:
 def with_withdrawable(valued: DataFrame) -> DataFrame:
     """Add ``withdrawable`` = max(0, vested - withdrawn) and ``locked`` = total - vested."""
     staged = valued.withColumns(
-        {"_total": amount_text("total_amount"), "_drawn": amount_text("withdrawn")}
+        {"_total": amount_text(valued, "total_amount"), "_drawn": amount_text(valued, "withdrawn")}
     ).withColumn("_short", (F.length("_total") <= SMALL_DIGITS) & (F.length("_drawn") <= SMALL_DIGITS))
     staged = _parts(staged, {"v": "vested", "w": "_drawn", "t": "_total"}, ~F.col("_short"))
     staged = _minus(_minus(staged, "_free", "v", "w"), "_fixed", "t", "v")
@@ -177,7 +180,7 @@ def with_progress(valued: DataFrame) -> DataFrame:
     remainder, taken from the parts of ``vested * 10000 - estimate * total``.
     """
     base = f"cast({BASE} AS decimal(14,0))"
-    staged = valued.withColumn("_total", amount_text("total_amount"))
+    staged = valued.withColumn("_total", amount_text(valued, "total_amount"))
     staged = staged.withColumn("_long", F.length("_total") > SMALL_DIGITS)
     long = F.col("_long")
     ratio = F.col("vested").cast("double") * FULL_PROGRESS / F.col("_total").cast("double")
