@@ -1,4 +1,7 @@
-"""Decoding against a golden page of six raw events."""
+"""Decoding against a golden page of six raw events.
+
+The page is fixed data, kept byte for byte, because the wire form itself is what is tested.
+"""
 
 import base64
 import json
