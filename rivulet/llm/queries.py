@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import quality, repeats, token_counts, warc
+from rivulet.llm import decontaminate, licences, mixing, quality, repeats, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_temperature_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, folder, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, folder, "labels")))
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.clean_lines(_table(spark, folder, "documents").select("doc_id", "text")).drop("text", "clean_text")
 
@@ -25,13 +34,42 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, folder, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op10_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(_table(spark, folder, "pages")).drop("payload")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_suffix_repeats, op5_token_counts, op10_warc_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_toxicity, op3_quality_rules, op4_suffix_repeats, op5_token_counts, op7_licence_scan, op8_decontamination, op10_warc_round_trip)}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE = {
+    "op7_licence_scan": licences.oracle(),
+    "op8_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {_WORDS} AS w FROM documents),
+        i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        g AS (
+            SELECT DISTINCT item_id, size, array_to_string(w[p:p + size - 1], ' ') AS gram
+            FROM (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM i WHERE len(w) > 0)
+        ),
+        sizes AS (SELECT DISTINCT size FROM g),
+        o AS (
+            SELECT row_id, size, p, array_to_string(w[p:p + size - 1], ' ') AS gram
+            FROM (SELECT row_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, sizes WHERE len(w) >= size)
+        ),
+        h AS (SELECT o.row_id, o.p, o.size, g.item_id FROM o JOIN g USING (gram, size)),
+        n AS (SELECT row_id, count(DISTINCT q) AS n_hit FROM (SELECT row_id, unnest(range(p, p + size)) AS q FROM h) GROUP BY 1),
+        t AS (SELECT row_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM h GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n USING (row_id) LEFT JOIN t USING (row_id)""",
     "op10_warc_round_trip": """
         WITH payloads AS (
             SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
