@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import decontaminate, licences, mixing, quality, repeats, token_counts, toxicity, warc
+from rivulet.llm import decontaminate, licences, mixing, near_dup, quality, repeats, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.link_components(_table(spark, folder, "documents"), words_per_shingle=2)
+
+
 def op7_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan_licences(_table(spark, folder, "documents"))
 
@@ -46,7 +50,7 @@ def op10_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(_table(spark, folder, "pages")).drop("payload")
 
 
-QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_toxicity, op3_quality_rules, op4_suffix_repeats, op5_token_counts, op7_licence_scan, op8_decontamination, op10_warc_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_toxicity, op3_quality_rules, op4_suffix_repeats, op5_token_counts, op6_near_duplicates, op7_licence_scan, op8_decontamination, op10_warc_round_trip)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
