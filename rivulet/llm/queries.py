@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import decontaminate, licences, mixing, near_dup, quality, repeats, token_counts, toxicity, warc
+from rivulet.llm import decontaminate, language_model, licences, mixing, near_dup, quality, repeats, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,11 +46,15 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_texts(_table(spark, folder, "documents"))
+
+
 def op10_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(_table(spark, folder, "pages")).drop("payload")
 
 
-QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_toxicity, op3_quality_rules, op4_suffix_repeats, op5_token_counts, op6_near_duplicates, op7_licence_scan, op8_decontamination, op10_warc_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_toxicity, op3_quality_rules, op4_suffix_repeats, op5_token_counts, op6_near_duplicates, op7_licence_scan, op8_decontamination, op9_language_model, op10_warc_round_trip)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
