@@ -12,8 +12,8 @@ probability of about 1e-8). To find them without counting all collisions:
   both hold a common one, so only those are joined.
 
 A large group of near-copies would still meet in lists as long as itself. So first every class is compared with
-one partner only, the smallest class that most of its lists have in front; the links found join most
-of such a group into one component. Then the prefix lists are read without pairs of one component. Lists are
+one partner only, the smallest class that most of its lists have in front, then in three more rounds with others,
+unless they are one component by then; the links found join most of such a group. Then the prefix lists are read without pairs of one component. Lists are
 cut into blocks of about ``BLOCK`` classes, and each pair of blocks is a group of its own.
 No list is capped, and no link between components is lost.
 
@@ -36,7 +36,9 @@ from rivulet.llm.components import components
 from rivulet.llm.text import LOWER, flat, grams, mix, named, pieces, whole, word_hash, words
 from rivulet.session import fresh_folder
 
-COORDINATES, MATCHES, BLOCK = 64, 32, 256
+COORDINATES, MATCHES, BLOCK, BITS = 64, 32, 1024, 1 << 26
+# Members of a list with which the others are compared first: four orders, so that hardly a class meets the same one twice.
+FRONTS = {"front": "min(node)", "back": "max(node)", "third": "min_by(node, xxhash64(node))", "fourth": "max_by(node, xxhash64(node))"}
 _SEEDS = np.random.default_rng(20230915).integers(1, 2**63, (COORDINATES, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -96,6 +98,30 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(listed, "node long, members binary")
 
 
+def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of the rows whose doc_id is among ids (doc_id).
+
+    A bit map of ``BITS`` bits of the ids' hashes, 8 MB whatever their number, goes to all tasks first, so that few other
+    texts are shuffled for the join that decides.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    ids = ids.select("doc_id").distinct()
+    filled = ids.groupBy(F.floor(place / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("bits"))
+    bits = np.zeros(BITS // 64, np.int64)
+    for batch in filled.toArrow().to_batches():  # at most BITS / 64 rows
+        bits[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def passed(batches):
+        for batch in batches:
+            at = batch.column("place").to_numpy()
+            hit = (sent.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
+            yield batch.select(["doc_id", "text"]).filter(pa.array(hit > 0))
+
+    some = docs.select("doc_id", "text", place.alias("place")).mapInArrow(passed, "doc_id long, text string")
+    return some.join(ids.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("text")
+
+
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b) of rows a, b, one, two (sets) of at least this similarity."""
 
@@ -126,24 +152,23 @@ def link_components(docs: DataFrame, *, words_per_shingle: int = 5, percent: int
     docs = named(docs, "doc_id", "text")
     rows = written(sketch(docs, words_per_shingle), "rows")
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("size"))
-    once = written(_once(rows), "posts")
-    lists = once.groupBy("post").agg(F.count("*").alias("long"), F.min("node").alias("front")).where("long > 1")
+    firsts = classes.select("node", F.col("first").alias("doc_id"))
+    once = _once(rows)
+    lists = once.groupBy("post").agg(F.count("*").alias("long"), *(F.expr(f).alias(c) for c, f in FRONTS.items())).where("long > 1")
     shared = once.join(lists, "post")
-    active = written(shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("long", "post", "front"))).alias("posts")).where(F.size("posts") >= MATCHES), "active")
-    partner = active.select("node", F.explode("posts").alias("p")).select("node", "p.front").where("node != front").groupBy("node", "front").count().groupBy("node").agg(F.max_by("front", F.struct("count", "front")).alias("front"))
-    texts = active.select("node").join(classes, "node").select(F.col("first").alias("of"))
-    own = docs.join(texts.distinct(), F.col("doc_id").eqNullSafe(F.col("of"))).select("text")
-    sets = written(_sets(own, words_per_shingle).join(active.select("node"), "node", "left_semi"), "sets")
-    left = sets.join(partner, "node").select(F.col("node").alias("a"), F.col("members").alias("one"), "front")
-    right = sets.join(partner.select(F.col("front").alias("node")).distinct(), "node").select(F.col("node").alias("b"), F.col("members").alias("two"))
-    stars = written(_confirmed(left.join(right, F.col("front") == F.col("b")), percent).distinct(), "stars")
-    root = components(stars)
-    pairs = written(_cross_pairs(active, classes, root, percent), "pairs")
-    signs = rows.where("node is not null").select("node", "signature").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").dropDuplicates(["node"])
-    agree = F.aggregate(F.zip_with("s", "t", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    likely = pairs.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("s")), "a").join(signs.select(F.col("node").alias("b"), F.col("signature").alias("t")), "b").where(agree >= MATCHES).select("a", "b")
-    both = likely.join(sets.select(F.col("node").alias("a"), F.col("members").alias("one")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("two")), "b")
-    more = written(_confirmed(both, percent).distinct(), "more")
+    active = written(shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("long", "post", *FRONTS))).alias("posts")).where(F.size("posts") >= MATCHES), "active")
+    stars, root = None, None
+    for front in FRONTS:
+        partner = active.select("node", F.explode("posts").alias("p")).select("node", F.col(f"p.{front}").alias("front")).where("node != front").groupBy("node", "front").count().where(F.col("count") >= MATCHES // 2)
+        if root is not None:  # those that are one component by now need no other partner
+            near, far = root.select("node", F.col("root").alias("own")), root.select(F.col("node").alias("front"), F.col("root").alias("other"))
+            partner = partner.join(near, "node", "left").join(far, "front", "left").where(F.coalesce("own", "node") != F.coalesce("other", "front"))
+        partner = written(partner.groupBy("node").agg(F.max_by("front", F.struct("count", "front")).alias("front")), f"partners-{front}")
+        found = _confirmed(_with_sets(docs, partner.select(F.col("node").alias("a"), F.col("front").alias("b")), firsts, words_per_shingle, folder, f"sets-{front}"), percent)
+        stars = written(found.distinct() if stars is None else stars.union(found).distinct(), f"stars-{front}")
+        root = components(stars)
+    likely = written(_cross_pairs(active, classes, rows, root, percent), "likely")
+    more = written(_confirmed(_with_sets(docs, likely, firsts, words_per_shingle, folder, "more-sets"), percent).distinct(), "more")
     if more.limit(1).count():
         root = components(stars.union(more))
     named_class = classes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -153,6 +178,15 @@ def link_components(docs: DataFrame, *, words_per_shingle: int = 5, percent: int
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _with_sets(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, n: int, folder: str, name: str) -> DataFrame:
+    """Pairs (a, b) with their sets, one and two."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    _sets(_of_ids(docs, nodes.join(firsts, "node")), n).write.parquet(f"{folder}/{name}")
+    sets = docs.sparkSession.read.parquet(f"{folder}/{name}")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("one")), "a")
+    return left.join(sets.join(pairs.select(F.col("b").alias("node")), "node", "left_semi").select(F.col("node").alias("b"), F.col("members").alias("two")), "b")
+
+
 def _once(rows: DataFrame) -> DataFrame:
     """(node, post) of one row of each class; a link between different sets needs four common shingles."""
     one = rows.where(F.col("n_shingles") >= 4).select("node", "signature").dropDuplicates(["node"])
@@ -160,17 +194,19 @@ def _once(rows: DataFrame) -> DataFrame:
     return one.select("node", F.posexplode("signature").alias("at", "value")).select("node", post.alias("post"))
 
 
-def _cross_pairs(active: DataFrame, classes: DataFrame, root: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that meet in a list of their prefixes."""
+def _cross_pairs(active: DataFrame, classes: DataFrame, rows: DataFrame, root: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that meet in a list of their prefixes and agree in ``MATCHES`` coordinates."""
     prefix = F.slice("posts", F.lit(1), F.size("posts") - (MATCHES - 1))
     heads = active.select("node", F.transform(prefix, lambda p: p["post"]).alias("posts")).join(classes.select("node", "size"), "node").join(root, "node", "left")
     heads = heads.select("node", "size", F.coalesce("root", "node").alias("root"), F.explode("posts").alias("post"))
     mixed = heads.groupBy("post").agg(F.count("*").alias("long"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("post", F.ceil(F.col("long") / BLOCK).cast("int").alias("blocks"))
-    dealt = heads.join(mixed, "post").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = dealt.groupBy("post", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).agg(F.collect_list(F.struct("node", "size", "root", "block")).alias("members"))
+    signs = rows.where("node is not null").select("node", "signature").dropDuplicates(["node"])
+    dealt = heads.join(mixed, "post").join(signs, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = dealt.groupBy("post", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).agg(F.collect_list(F.struct("node", "size", "root", "block", "signature")).alias("members"))
 
     def partners(x):
-        good = lambda y: (y["node"] > x["node"]) & (y["root"] != x["root"]) & ((F.col("p") == F.col("q")) | (y["block"] != x["block"])) & _fits(x["size"], y["size"], percent)
+        agree = lambda y: F.aggregate(F.zip_with(x["signature"], y["signature"], lambda s, t: (s == t).cast("int")), F.lit(0), lambda s, t: s + t)
+        good = lambda y: (y["node"] > x["node"]) & (y["root"] != x["root"]) & ((F.col("p") == F.col("q")) | (y["block"] != x["block"])) & _fits(x["size"], y["size"], percent) & (agree(y) >= MATCHES)
         return F.transform(F.filter("members", good), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
 
     found = groups.select(F.explode(F.flatten(F.transform("members", partners))).alias("pair"))
