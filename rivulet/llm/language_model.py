@@ -149,7 +149,7 @@ def _train(docs: DataFrame, corpus: Corpus, hidden: int, rounds: int) -> Gru:
     return model
 
 
-def score_texts(docs: DataFrame, *, words: int = 1022, hidden: int = 16, rounds: int = 2, chunks: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, *, words: int = 510, hidden: int = 16, rounds: int = 2, chunks: int | None = None) -> DataFrame:
     """The columns of ``_SCORES`` for every row of docs."""
     spark, folder = docs.sparkSession, fresh_folder(docs.sparkSession, "language-model")
     docs = named(docs, "doc_id", "text")
