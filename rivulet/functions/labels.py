@@ -28,7 +28,9 @@ def braces(pairs: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """A number without a trailing fraction of zeros."""
+    """A number without an exponent where 38 digits hold it, and without a trailing fraction of zeros."""
     text = value.cast("string")
-    bare = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
-    return F.when(F.contains(text, F.lit(".")), bare).otherwise(text)
+    size = F.abs(value.cast("double"))
+    plain = F.when(F.contains(text, F.lit("E")) & (size >= 1e-6) & (size < 1e21), text.try_cast("decimal(38,16)").cast("string")).otherwise(text)
+    bare = F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
+    return F.when(F.contains(plain, F.lit(".")) & ~F.contains(plain, F.lit("E")), bare).otherwise(plain)

@@ -66,7 +66,7 @@ def fold_backfill(events: DataFrame, snapshot: DataFrame | None = None, unique:
         .select(
             "stream_id",
             "seed",
-            F.coalesce("last.event_id", "seed_id").alias("last_event_id"),
+            F.coalesce("last.event_id", "seed_event").alias("last_event_id"),
             F.coalesce("last.ledger", "seed.created_ledger").alias("updated_ledger"),
             "cancel_id",
             "cancelled_at",
@@ -84,22 +84,25 @@ def _seeds(rows: DataFrame, snapshot: DataFrame | None) -> DataFrame:
         rows.where(F.col("kind") == "created")
         .select("stream_id", "event_id", seed.alias("seed"))
         .groupBy("stream_id")
-        .agg(F.min(F.struct("event_id", "seed")).alias("first"))
+        .agg(F.min(F.struct("event_id", "seed", F.col("event_id").alias("guard_id"))).alias("first"))
     )
     if snapshot is not None:
         nothing = F.lit(None).cast(starts.schema["first"].dataType["seed"].dataType["own"].dataType)
+        # events inside the snapshot are not added again
+        as_of = F.col("as_of_event_id") if "as_of_event_id" in snapshot.columns else F.lit(None).cast("string")
         adopted = (
             rows.where(F.col("kind") != "created")
             .groupBy("stream_id")
             .agg(F.min(F.struct("event_id", "ledger")).alias("first"))
-            .join(snapshot.select("stream_id"), "stream_id", "left_semi")
+            .join(snapshot.groupBy("stream_id").agg(F.max(as_of).alias("as_of")), "stream_id")
             .select(
                 "stream_id",
                 F.struct(
                     F.col("first.event_id"),
                     F.struct(nothing.alias("own"), F.col("first.ledger").alias("created_ledger")).alias("seed"),
+                    F.greatest("first.event_id", "as_of").alias("guard_id"),
                 ).alias("first"),
             )
         )
         starts = starts.unionByName(adopted).groupBy("stream_id").agg(F.min("first").alias("first"))
-    return starts.select("stream_id", F.col("first.event_id").alias("seed_id"), F.col("first.seed").alias("seed"))
+    return starts.select("stream_id", F.col("first.guard_id").alias("seed_id"), F.col("first.event_id").alias("seed_event"), F.col("first.seed").alias("seed"))

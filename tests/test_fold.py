@@ -169,8 +169,6 @@ def test_backfill_equals_the_model_on_an_ordered_log(spark, hot_limit, lane, hot
     bad = {e["event_id"] for e in events if e["error"]}
     events = [e for e in events if e["event_id"] not in bad]
     snapshot = make_rows(rng, 40, 0.3, scale, False)
-    for row in snapshot.values():
-        row["as_of_event_id"] = None
     if hot:
         hot_limit(30)
     _, rows = apply_all([e for e in events if e["page_seq"] < 900], None, snapshot)

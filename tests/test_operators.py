@@ -212,3 +212,11 @@ def test_gauge_takes_the_last_value(spark):
 def test_counter_sums_amounts(spark):
     log = spark.createDataFrame([("a", 2), ("a", 3)], "who string, n long")
     assert metrics.counter(log, ["who"], F.col("n")).first().value == 5
+
+
+def test_numbers_are_written_without_exponents(spark):
+    from rivulet.functions.labels import number_text
+
+    rows = [(1e7, "10000000"), (1e10, "10000000000"), (1e20, "100000000000000000000"), (0.1, "0.1"), (2.5e-5, "0.000025"), (1234567.25, "1234567.25"), (1e30, "1.0E30"), (0.0, "0"), (-1e10, "-10000000000"), (100.0, "100"), (None, None)]
+    got = spark.createDataFrame(rows, "value double, wanted string").select(number_text(F.col("value")).alias("text"), "wanted").collect()
+    assert [r.text for r in got] == [r.wanted for r in got]
