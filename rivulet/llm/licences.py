@@ -114,16 +114,16 @@ def oracle() -> str:
     rules = ", ".join(f"CASE WHEN regexp_matches(line, {quote(_pattern(r))}) THEN {quote(n)} END" for n, r in RULES)
     return f"""
         WITH cut AS (
-            SELECT doc_id, list_transform(string_split_regex(lower(coalesce(text, '')), '[.!?]+[\\x20\\x09-\\x0D]+|[.!?]*\\n'), s -> trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))) AS plain FROM documents
+            SELECT doc_id, list_transform(string_split_regex(lower(coalesce(text, '')), '[.!?]+[\\x20\\x09-\\x0D]+|[.!?]*\\n'), lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))) AS plain FROM documents
         ), ids AS (
-            SELECT doc_id, array_to_string(list_filter(list_transform(plain, s -> {known}[s]), x -> x IS NOT NULL), ' ') AS sentence_ids FROM cut
+            SELECT doc_id, array_to_string(list_filter(list_transform(plain, lambda s: map_extract({known}, s)[1]), lambda x: x IS NOT NULL), ' ') AS sentence_ids FROM cut
         ), lines AS (
             SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, ' ' || coalesce(sentence_ids, '') || ' ' AS line FROM ids
         ), found AS (
-            SELECT doc_id, sentence_ids, list_filter([{rules}], x -> x IS NOT NULL) AS every FROM lines
+            SELECT doc_id, sentence_ids, list_filter([{rules}], lambda x: x IS NOT NULL) AS every FROM lines
         )
         SELECT doc_id, sentence_ids,
                CASE WHEN sentence_ids = '' THEN 0 ELSE len(string_split(sentence_ids, ' ')) END::BIGINT AS n_known,
                every[1] AS licence,
-               coalesce(array_to_string(list_transform(list_filter(list_zip(every, range(len(every))), z -> list_position(every, z[1]) = z[2] + 1), z -> z[1]), ','), '') AS licences
+               coalesce(array_to_string(list_transform(list_filter(list_zip(every, range(len(every))), lambda z: list_position(every, z[1]) = z[2] + 1), lambda z: z[1]), ','), '') AS licences
         FROM found"""
