@@ -17,8 +17,10 @@ from rivulet.functions.amounts import BASE, big, signed_text
 from rivulet.functions.stage import settle
 
 # Fixed values of the wire format: tags, and the body sizes in bytes of the fixed-size tags.
-TAG_U64, TAG_I128, TAG_BYTES, TAG_STRING, TAG_SYMBOL, TAG_MAP, TAG_ADDRESS = 5, 10, 13, 14, 15, 17, 18
-BODY_BYTES = {0: 4, 1: 0, 3: 4, 4: 4, 5: 8, 6: 8, 7: 8, 8: 8, 9: 16, 10: 16, 11: 32, 12: 32}
+TAG_U64, TAG_I128, TAG_BYTES, TAG_STRING, TAG_SYMBOL, TAG_VEC, TAG_MAP, TAG_ADDRESS = 5, 10, 13, 14, 15, 16, 17, 18
+BODY_BYTES = {0: 4, 1: 0, 2: 8, 3: 4, 4: 4, 5: 8, 6: 8, 7: 8, 8: 8, 9: 16, 10: 16, 11: 32, 12: 32, 20: 0, 21: 8}
+# Bytes behind the form of an address: account, contract, account with a number, balance, pool.
+ADDRESS_BYTES = {0: 36, 1: 32, 2: 40, 3: 36, 4: 32}
 ADDRESS_ACCOUNT, ADDRESS_CONTRACT = 0, 1
 ACCOUNT_VERSION, CONTRACT_VERSION = 6 << 3, 2 << 3
 CRC_POLYNOMIAL = 0x1021
@@ -104,45 +106,49 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def map_entries(value: Column) -> Column:
     """The entries of a map value as ``array<struct<key, raw>>``, ``raw`` being the value's hex.
 
-    Entries sit end to end and their sizes differ, so they are walked in order. The walk stops at an
-    entry it cannot measure (a nested vector or map) or at a truncated one; fields behind that are
-    absent, and a decoder that needs them reports so.
+    Items sit end to end and their sizes differ, so all of them, nested ones too, are walked in order. ``open`` counts
+    the items that the key or value at hand still needs: a vector or a map adds its own. A key that is not a
+    name has a null ``key``. The walk stops at a truncated item; fields behind that are absent, and a decoder
+    that needs them reports so.
     """
     size = F.octet_length(value)
     is_map = F.hex(_slice(value, 1, 8)) == tag_hex(TAG_MAP) + "00000001"
     claimed = _number_at(value, F.lit(9))
-    # An entry takes at least 12 bytes, so the value's own size bounds the number of steps.
-    count = F.least(claimed, F.floor(size / 12)).cast("int")
+    # An item takes at least 4 bytes, so the value's own size bounds the number of steps.
+    steps = F.floor(size / 4).cast("int")
+    names = [tag_hex(TAG_SYMBOL), tag_hex(TAG_STRING)]
+
+    def state_of(at, opened, in_key, key, value_at, entries) -> Column:
+        return F.struct(
+            at.cast("int").alias("at"), opened.cast("bigint").alias("open"), in_key.alias("in_key"),
+            key.cast("string").alias("key"), value_at.cast("int").alias("value_at"), entries.alias("entries"),
+        )
 
     def step(state: Column, _: Column) -> Column:
         at = state["at"]
 
-        def with_key(length: Column) -> Column:
-            key = _slice(value, at + 8, length.cast("int")).cast("string")
-            value_at = (at + 8 + _padded(length)).cast("int")
-            good = F.hex(_slice(value, at, 4)).isin(tag_hex(TAG_SYMBOL), tag_hex(TAG_STRING)) & (length <= 256)
-            return F.struct(F.when(good, key).alias("key"), value_at.alias("value_at"))
-
-        def with_width(found: Column) -> Column:
-            width = let(F.hex(_slice(value, found["value_at"], 4)), lambda tag: _width(value, found["value_at"], tag))
-            return F.struct(found["key"].alias("key"), found["value_at"].alias("value_at"), width.alias("width"))
+        def with_head(tag: Column) -> Column:
+            return F.struct(tag.alias("tag"), _width(value, at, tag).alias("width"), _children(value, at, tag).alias("more"))
 
-        def moved(found: Column) -> Column:
-            end = found["value_at"] + found["width"]
-            entry = F.struct(
-                found["key"].alias("key"), F.hex(_slice(value, found["value_at"], found["width"])).alias("raw")
-            )
-            good = found["key"].isNotNull() & (end <= size + 1)
-            on = F.struct(end.cast("int").alias("at"), F.array_append(state["entries"], entry).alias("entries"))
-            stop = F.struct((size + 1).cast("int").alias("at"), state["entries"].alias("entries"))
-            return F.when(good, on).otherwise(stop)
+        def moved(item: Column) -> Column:
+            end, left = at + item["width"], state["open"] - 1 + item["more"]
+            name = F.when(item["tag"].isin(names), _slice(value, at + 8, _number_at(value, at + 4).cast("int")).cast("string"))
+            entry = F.struct(state["key"].alias("key"), F.hex(_slice(value, state["value_at"], end - state["value_at"])).alias("raw"))
+            one, yes, no = F.lit(1), F.lit(True), F.lit(False)
+            inside = state_of(end, left, state["in_key"], state["key"], state["value_at"], state["entries"])
+            to_value = state_of(end, one, no, F.when(state["open"] == 1, name), end, state["entries"])
+            to_key = state_of(end, one, yes, F.lit(None), end, F.array_append(state["entries"], entry))
+            stop = state_of(size + 1, one, yes, F.lit(None), size + 1, state["entries"])
+            on = F.when(left > 0, inside).when(state["in_key"], to_value).otherwise(to_key)
+            return F.when((end <= size + 1) & (left >= 0), on).otherwise(stop)
 
-        return let(let(let(_number_at(value, at + 4), with_key), with_width), moved)
+        over = (at > size) | (F.size(state["entries"]) >= claimed)
+        return F.when(over, state).otherwise(let(let(F.hex(_slice(value, at, 4)), with_head), moved))
 
     empty = F.array().cast("array<struct<key:string,raw:string>>")
-    start = F.struct(F.lit(13).alias("at"), empty.alias("entries"))
-    walked = F.aggregate(F.sequence(F.lit(1), count), start, step, lambda state: state["entries"])
-    return F.when(is_map & (count > 0), walked)
+    start = state_of(F.lit(13), F.lit(1), F.lit(True), F.lit(None), F.lit(13), empty)
+    walked = F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda state: state["entries"])
+    return F.when(is_map & (claimed > 0) & (steps > 0), walked)
 
 
 def _number_at(value: Column, at: Column) -> Column:
@@ -154,20 +160,27 @@ def _padded(length: Column) -> Column:
 
 
 def _width(value: Column, at: Column, tag: Column) -> Column:
-    """Bytes taken by the tagged value at ``at``; null when it cannot be told."""
+    """Bytes of the tagged item at ``at`` without the items inside it; null when it cannot be told."""
     sizes = {tag_hex(kind): 4 + size for kind, size in BODY_BYTES.items()}
     fixed = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
-    lengthy = [tag_hex(k) for k in (TAG_BYTES, TAG_STRING, TAG_SYMBOL)]
+    addresses = F.create_map(*[F.lit(x) for kind, size in ADDRESS_BYTES.items() for x in (tag_hex(kind), 8 + size)])
     form = F.hex(_slice(value, at + 4, 4))
-    address = F.when(form == tag_hex(ADDRESS_ACCOUNT), 44).when(form == tag_hex(ADDRESS_CONTRACT), 40)
     width = (
-        F.when(tag.isin(lengthy), 8 + _padded(_number_at(value, at + 4)))
-        .when(tag == tag_hex(TAG_ADDRESS), address)
+        F.when(tag.isin([tag_hex(k) for k in (TAG_BYTES, TAG_STRING, TAG_SYMBOL)]), 8 + _padded(_number_at(value, at + 4)))
+        .when(tag == tag_hex(TAG_ADDRESS), F.try_element_at(addresses, form))
+        .when(tag.isin([tag_hex(k) for k in (TAG_VEC, TAG_MAP)]), F.when(form == tag_hex(0), 8).otherwise(12))
         .otherwise(F.try_element_at(fixed, tag))
     )
     return F.when(width <= 1 << 30, width).cast("int")
 
 
+def _children(value: Column, at: Column, tag: Column) -> Column:
+    """How many items sit inside the one at ``at``."""
+    filled = F.hex(_slice(value, at + 4, 4)) == tag_hex(1)
+    count = _number_at(value, at + 8)
+    return F.when(filled & (tag == tag_hex(TAG_VEC)), count).when(filled & (tag == tag_hex(TAG_MAP)), 2 * count).otherwise(F.lit(0))
+
+
 def entry(entries: Column, name: str) -> Column:
     """The raw value stored under a key; of two, the later."""
     found = F.filter(entries, lambda e: e["key"] == name)

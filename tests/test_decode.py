@@ -104,3 +104,42 @@ def test_extra_fields_and_negative_amounts(spark):
 
     row = decode_events(pages.page_events(edited(spark, change))).where(F.col("pos") == 1).first()
     assert (row.amount, int(row.stream_id), row.error) == (str(-5 * 10**30 - 1), 42, None)
+
+
+def _u32(number):
+    return number.to_bytes(4, "big")
+
+
+def _name(text):
+    return _u32(15) + _u32(len(text)) + text.encode() + b"\0" * (-len(text) % 4)
+
+
+NUMBER = _u32(3) + _u32(7)
+VECTOR = _u32(16) + _u32(1) + _u32(2) + NUMBER + _name("amount")
+EXTRAS = {
+    "number": _name("a") + NUMBER,
+    "map": _name("a") + _u32(17) + _u32(1) + _u32(1) + _name("amount") + NUMBER,
+    "vector": _name("a") + VECTOR,
+    "nested twice": _name("a") + _u32(17) + _u32(1) + _u32(1) + _name("b") + VECTOR,
+    "empty map": _name("a") + _u32(17) + _u32(1) + _u32(0),
+    "absent vector": _name("a") + _u32(16) + _u32(0),
+    "long key": _name("k" * 300) + NUMBER,
+    "number as key": NUMBER + NUMBER,
+    "vector as key": VECTOR + NUMBER,
+    "address with a number": _name("a") + _u32(18) + _u32(2) + b"\1" * 40,
+    "pool": _name("a") + _u32(18) + _u32(4) + b"\1" * 32,
+    "error": _name("a") + _u32(2) + _u32(1) + _u32(4),
+}
+
+
+def test_values_with_any_other_entry_are_decoded(spark):
+    def change(events):
+        plain = events[1]
+        raw = base64.b64decode(plain["value"])
+        events[:] = [
+            {**plain, "value": base64.b64encode(raw[:8] + _u32(3) + extra + raw[12:]).decode()} for extra in EXTRAS.values()
+        ]
+
+    rows = decode_events(pages.page_events(edited(spark, change))).orderBy("pos").collect()
+    got = {name: (r.kind, r.amount, int(r.stream_id or 0), r.error) for name, r in zip(EXTRAS, rows, strict=True)}
+    assert got == {name: ("withdrawn", "25000000000000", 42, None) for name in EXTRAS}
