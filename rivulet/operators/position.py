@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,22 +9,23 @@ from pyspark.sql.window import Window
 PAGES_PER_BLOCK = 65_536
 
 
-@dataclass(frozen=True)
-class Start:
-    """Where to read from, and the ledger claimed before anything is applied."""
-
-    last_ledger: int
-    cursor: str | None = None
-    start_ledger: int | None = None
-
+def start_of(saved: DataFrame, start_ledger: int, head: int) -> DataFrame:
+    """One row: where to read from (cursor or start_ledger) and the last ledger claimed until then.
 
-def resolve_start(saved: dict | None, start_ledger: int, head: int) -> Start:
-    """A saved cursor wins, then a configured ledger (claiming the one below), then the chain head."""
-    if saved and saved.get("cursor"):
-        return Start(saved["last_ledger"], cursor=saved["cursor"])
-    if start_ledger > 0:
-        return Start(start_ledger - 1, start_ledger=start_ledger)
-    return Start(head, start_ledger=head)
+    ``saved`` holds the stored position (last_ledger, cursor) or nothing. Its cursor comes first; without one a
+    configured ledger, of which all before it count as done; without that (0) the head of the chain.
+    """
+    configured = F.lit(start_ledger if start_ledger > 0 else None).cast("bigint")
+    head = F.lit(head).cast("bigint")
+    return (
+        saved.where(F.length("cursor") > 0)
+        .agg(F.max("cursor").alias("cursor"), F.max("last_ledger").alias("last_ledger"))
+        .select(
+            F.coalesce("last_ledger", configured - 1, head).alias("last_ledger"),
+            "cursor",
+            F.when(F.col("cursor").isNull(), F.coalesce(configured, head)).alias("start_ledger"),
+        )
+    )
 
 
 def page_progress(events: DataFrame, pages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,18 +33,22 @@ def _number(raw: str | int | float) -> float:
     return float(text) if _NUMBER.fullmatch(text) else math.nan
 
 
-def parse_limit(raw: str | int | float | None) -> int:
-    value = _number(raw) if raw not in (None, "") else DEFAULT_LIMIT
-    if not math.isfinite(value) or value <= 0:
-        return DEFAULT_LIMIT
-    return min(math.floor(value), MAX_LIMIT)
+@dataclass(frozen=True)
+class PageArgument:
+    """A whole number in a query: what stands for a missing or unusable one, whether zero is usable, and the cap."""
 
+    default: int
+    zero: bool = False
+    cap: float = math.inf
 
-def parse_offset(raw: str | int | float | None) -> int:
-    value = _number(raw) if raw not in (None, "") else 0
-    if not math.isfinite(value) or value < 0:
-        return 0
-    return math.floor(value)
+    def read(self, raw: str | int | float | None) -> int:
+        given = self.default if raw in (None, "") else _number(raw)
+        usable = math.isfinite(given) and (given > 0 or (self.zero and given == 0))
+        return int(min(math.floor(given), self.cap)) if usable else self.default
+
+
+parse_limit = PageArgument(DEFAULT_LIMIT, cap=MAX_LIMIT).read
+parse_offset = PageArgument(0, zero=True).read
 
 
 def parse_stream_id(raw: str | int) -> int:

@@ -76,10 +76,15 @@ def pages(spark, *rows):
     return spark.createDataFrame(rows, "page_seq long, latest_ledger long, cursor string")
 
 
-def test_start_positions():
-    assert position.resolve_start({"cursor": "c", "last_ledger": 7}, START, HEAD) == position.Start(7, cursor="c")
-    assert position.resolve_start(None, START, HEAD) == position.Start(START - 1, start_ledger=START)
-    assert position.resolve_start({"cursor": None, "last_ledger": 7}, 0, HEAD) == position.Start(HEAD, start_ledger=HEAD)
+def test_start_positions(spark):
+    def start(saved, ledger):
+        rows = spark.createDataFrame(saved, "last_ledger long, cursor string")
+        return tuple(position.start_of(rows, ledger, HEAD).first())
+
+    assert start([(7, "c")], START) == (7, "c", None)
+    assert start([], START) == (START - 1, None, START)
+    assert start([(7, None)], 0) == (HEAD, None, HEAD)
+    assert start([(7, "")], START) == (START - 1, None, START)
 
 
 @pytest.mark.parametrize("rows,expected", [
