@@ -7,6 +7,7 @@ that takes most of the log is no burden.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,21 +69,16 @@ class Metric:
         return self.name
 
 
-def _header(metric: Metric) -> DataFrame:
-    """HELP and TYPE, and the zero samples of a metric that has none. Always comes out of one row."""
-    lines = [f"# HELP {metric.name} {metric.help}", f"# TYPE {metric.name} {metric.kind}"]
-    if metric.kind == "histogram":
-        zeros = [f'{metric.name}_bucket{{le="{b}"}} 0' for b in (*sorted(metric.bounds), "+Inf")]
-        zeros += [f"{metric.name}_sum 0", f"{metric.name}_count 0"]
-    else:
-        zeros = [f"{metric.sample_name} 0"]
-    always = F.array(*[F.struct(F.lit(i).alias("line_no"), F.lit(t).alias("line")) for i, t in enumerate(lines)])
-    empty = F.array(*[F.struct(F.lit(i + 2).alias("line_no"), F.lit(t).alias("line")) for i, t in enumerate(zeros)])
-    return (
-        metric.samples.agg(F.count(F.lit(1)).alias("n"))
-        .select(F.inline(F.when(F.col("n") == 0, F.concat(always, empty)).otherwise(always)))
-        .select(F.lit("").alias("label_text"), "line_no", "line")
-    )
+def _header(metric: Metric) -> list[str]:
+    return [f"# HELP {metric.name} {metric.help}", f"# TYPE {metric.name} {metric.kind}"]
+
+
+def _zeros(metric: Metric) -> list[str]:
+    """The samples of a metric that has none."""
+    if metric.kind != "histogram":
+        return [f"{metric.sample_name} 0"]
+    buckets = [f'{metric.name}_bucket{{le="{b}"}} 0' for b in (*sorted(metric.bounds), "+Inf")]
+    return [*buckets, f"{metric.name}_sum 0", f"{metric.name}_count 0"]
 
 
 def _lines(metric: Metric) -> DataFrame:
@@ -107,12 +103,19 @@ def _lines(metric: Metric) -> DataFrame:
 
 
 def exposition(metrics: list[Metric]) -> DataFrame:
-    """Lines of all metrics with their place: metric, label set, line inside it."""
-    text = None
-    for number, metric in enumerate(metrics):
-        both = _header(metric).unionByName(_lines(metric)).select(F.lit(number).alias("metric_no"), "*")
-        text = both if text is None else text.unionByName(both)
-    return text
+    """Lines of all metrics with their place: metric, label set, line inside it.
+
+    Samples are computed once: their lines meet the table of declared metrics, one row each, where a metric that
+    finds none gets its zeros.
+    """
+    lines = reduce(DataFrame.unionByName, [_lines(m).withColumn("metric_no", F.lit(i)) for i, m in enumerate(metrics)])
+    rows = [(i, _header(m), _zeros(m)) for i, m in enumerate(metrics)]
+    declared = lines.sparkSession.createDataFrame(rows, "metric_no int, header array<string>, zeros array<string>")
+    head = declared.select("metric_no", F.lit("").alias("label_text"), F.posexplode("header").alias("line_no", "line"))
+    none = F.transform("zeros", lambda text, i: F.struct((i + 2).alias("line_no"), text.alias("line")))
+    own = F.array(F.struct("line_no", "line"))
+    samples = declared.join(lines, "metric_no", "left").select("metric_no", F.coalesce("label_text", F.lit("")).alias("label_text"), F.inline(F.when(F.col("line").isNull(), none).otherwise(own)))
+    return head.unionByName(samples)
 
 
 def write_exposition(lines: DataFrame, path: str) -> None:

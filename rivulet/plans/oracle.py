@@ -6,7 +6,6 @@ from rivulet.plans.queries import (
     AS_OF,
     CURSOR,
     FROM_LEDGER,
-    NAMESPACE,
     RECIPIENT,
     SENDER,
     START_LEDGER,
@@ -14,6 +13,7 @@ from rivulet.plans.queries import (
     TOKEN,
     WIDEN,
 )
+from rivulet.plans.registry import DECLARED
 
 BASE = """
 base AS (
@@ -206,11 +206,11 @@ buckets AS (
 )"""
 
 
-def _lines(number: int, name: str, text: str, kind: str) -> str:
-    return (
-        f"SELECT {number} AS metric_no, '' AS label_text, '# HELP {NAMESPACE}_{name} {text}' AS line "
-        f"UNION ALL SELECT {number}, '', '# TYPE {NAMESPACE}_{name} {kind}'"
-    )
+_NAME = {d.source: d.name for d in DECLARED}
+_HEADERS = " UNION ALL ".join(
+    f"SELECT {number} AS metric_no, '' AS label_text, unnest(['# HELP {d.name} {d.help}', '# TYPE {d.name} {d.kind}']) AS line"
+    for number, d in enumerate(DECLARED)
+)
 
 
 _REQUEST_PAIRS = """'method="' || method || '",route="' || route || '",status="' || status || '"'"""
@@ -219,32 +219,25 @@ _NUMBER = """regexp_replace(regexp_replace("sum"::VARCHAR, '0+$', ''), '\\.$', '
 EXPOSITION = f"""WITH {fold_sql()},
 {PAGES[len(BASE):].lstrip(", ").lstrip()},
 {HISTOGRAM}
-{_lines(0, "indexer_events_applied", "Contract events applied, by kind and outcome.", "counter")}
-UNION ALL SELECT 0, pairs, '{NAMESPACE}_indexer_events_applied_total{{' || pairs || '}} ' || n::VARCHAR
+{_HEADERS}
+UNION ALL SELECT 0, pairs, '{_NAME["outcome_counts"]}_total{{' || pairs || '}} ' || n::VARCHAR
   FROM (SELECT 'kind="' || kind || '",outcome="' || outcome || '"' AS pairs, count(*) AS n FROM done GROUP BY ALL)
-UNION ALL {_lines(1, "indexer_lag_ledgers", "Ledgers behind the chain head.", "gauge")}
-UNION ALL SELECT 1, '', '{NAMESPACE}_indexer_lag_ledgers ' || lag_ledgers::VARCHAR FROM latest
-UNION ALL {_lines(2, "indexer_pages_fetched", "Event pages fetched.", "counter")}
-UNION ALL SELECT 2, '', '{NAMESPACE}_indexer_pages_fetched_total ' || count(*)::VARCHAR FROM heads
-UNION ALL {_lines(3, "feed_errors", "Feed calls that returned an error.", "counter")}
-UNION ALL SELECT 3, pairs, '{NAMESPACE}_feed_errors_total{{' || pairs || '}} ' || n::VARCHAR
-  FROM (SELECT 'operation="' || route || '"' AS pairs, count(*) AS n FROM requests WHERE status = '500' GROUP BY ALL)
-UNION ALL {_lines(4, "indexer_poll_errors", "Polls that failed.", "counter")}
-UNION ALL SELECT 4, '', '{NAMESPACE}_indexer_poll_errors_total 0'
-UNION ALL {_lines(5, "indexer_events_failed", "Events that failed to apply.", "counter")}
-UNION ALL SELECT 5, pairs, '{NAMESPACE}_indexer_events_failed_total{{' || pairs || '}} ' || n::VARCHAR
+UNION ALL SELECT 1, pairs, '{_NAME["failed_counter"]}_total{{' || pairs || '}} ' || n::VARCHAR
   FROM (SELECT 'kind="' || kind || '"' AS pairs, count(*) AS n FROM log WHERE failed GROUP BY ALL)
-UNION ALL {_lines(6, "http_request_duration_ms", "Request duration in milliseconds.", "histogram")}
-UNION ALL SELECT 6, {_REQUEST_PAIRS},
-  '{NAMESPACE}_http_request_duration_ms_bucket{{' || {_REQUEST_PAIRS} || ',le="' || le || '"}} ' || bucket::VARCHAR
-  FROM buckets
-UNION ALL SELECT 6, {_REQUEST_PAIRS},
-  '{NAMESPACE}_http_request_duration_ms_sum{{' || {_REQUEST_PAIRS} || '}} ' || {_NUMBER} FROM totals
-UNION ALL SELECT 6, {_REQUEST_PAIRS},
-  '{NAMESPACE}_http_request_duration_ms_count{{' || {_REQUEST_PAIRS} || '}} ' || "count"::VARCHAR FROM totals
-UNION ALL {_lines(7, "http_requests_total", "Requests handled.", "counter")}
-UNION ALL SELECT 7, {_REQUEST_PAIRS}, '{NAMESPACE}_http_requests_total{{' || {_REQUEST_PAIRS} || '}} ' || "count"::VARCHAR
+UNION ALL SELECT 2, '', '{_NAME["pages_counter"]}_total ' || count(*)::VARCHAR FROM heads
+UNION ALL SELECT 3, '', '{_NAME["lag_gauge"]} ' || lag_ledgers::VARCHAR FROM latest
+UNION ALL SELECT 4, {_REQUEST_PAIRS}, '{_NAME["request_counter"]}_total{{' || {_REQUEST_PAIRS} || '}} ' || "count"::VARCHAR
   FROM totals
+UNION ALL SELECT 5, {_REQUEST_PAIRS},
+  '{_NAME["request_histogram"]}_bucket{{' || {_REQUEST_PAIRS} || ',le="' || le || '"}} ' || bucket::VARCHAR
+  FROM buckets
+UNION ALL SELECT 5, {_REQUEST_PAIRS},
+  '{_NAME["request_histogram"]}_sum{{' || {_REQUEST_PAIRS} || '}} ' || {_NUMBER} FROM totals
+UNION ALL SELECT 5, {_REQUEST_PAIRS},
+  '{_NAME["request_histogram"]}_count{{' || {_REQUEST_PAIRS} || '}} ' || "count"::VARCHAR FROM totals
+UNION ALL SELECT 6, pairs, '{_NAME["error_counter"]}_total{{' || pairs || '}} ' || n::VARCHAR
+  FROM (SELECT 'operation="' || route || '"' AS pairs, count(*) AS n FROM requests WHERE status = '500' GROUP BY ALL)
+UNION ALL SELECT 7, '', '{_NAME["drain_faults"]}_total 0'
 """
 
 # Address text of a name's hash: the checksum byte by byte with a table, the letters bit by bit.

@@ -12,6 +12,7 @@ from rivulet.operators import failures, metrics, position, reads
 from rivulet.operators.backfill import fold_backfill
 from rivulet.operators.decode import decode_events, keep_known
 from rivulet.operators.fold import KINDS, Folded, fold
+from rivulet.plans.registry import DECLARED
 from rivulet.schemas import EVENT_COLUMNS, OUTCOME_COLUMNS, STREAM_COLUMNS
 from rivulet.session import fresh_folder, shared_folder
 from rivulet.sources import pages, tables
@@ -26,7 +27,6 @@ STREAM_ID = 40
 SENDER, RECIPIENT, TOKEN = "G000000042", "R000000040", "1-URGENT"
 CONTRACT = "stand-in contract"
 WIDEN = "0" * 30
-NAMESPACE = "rivulet"
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +207,8 @@ def _progress(spark, sf_dir):
 
 
 def _floor() -> int:
-    return position.resolve_start(None, START_LEDGER, 0).last_ledger
+    """No position is stored, so all before the configured ledger counts as done (``position.start_of``)."""
+    return START_LEDGER - 1
 
 
 def position_now(spark, sf_dir):
@@ -334,58 +335,26 @@ def lag_gauge(spark, sf_dir):
     return status_report(spark, sf_dir).select("lag_ledgers")
 
 
+def drain_faults(spark, sf_dir):
+    """No drain can break off here, so this one shows how a metric without samples is written."""
+    faults = tables.request_log(spark, sf_dir).where(F.col("status") == "drain")
+    return metrics.counter(faults, []).where("value > 0")
+
+
+SAMPLES = {
+    "outcome_counts": outcome_counts,
+    "failed_counter": failed_counter,
+    "pages_counter": pages_counter,
+    "lag_gauge": lambda spark, sf_dir: lag_gauge(spark, sf_dir).where("lag_ledgers IS NOT NULL").select(F.col("lag_ledgers").alias("value")),
+    "request_counter": request_counter,
+    "request_histogram": lambda spark, sf_dir: metrics.histogram(tables.request_log(spark, sf_dir), REQUEST_LABELS, "duration_ms"),
+    "error_counter": error_counter,
+    "drain_faults": drain_faults,
+}
+
+
 def exposition_lines(spark, sf_dir):
-    requests = tables.request_log(spark, sf_dir)
-    # No poll can fail here, so this metric shows how an empty one is written.
-    poll_errors = requests.where(F.col("status") == "poll").groupBy().count().where("count > 0")
-    lag = lag_gauge(spark, sf_dir).where("lag_ledgers IS NOT NULL").withColumnRenamed("lag_ledgers", "value")
-    declared = [
-        metrics.Metric(
-            f"{NAMESPACE}_indexer_events_applied",
-            "Contract events applied, by kind and outcome.",
-            "counter",
-            outcome_counts(spark, sf_dir),
-            ["kind", "outcome"],
-        ),
-        metrics.Metric(f"{NAMESPACE}_indexer_lag_ledgers", "Ledgers behind the chain head.", "gauge", lag),
-        metrics.Metric(
-            f"{NAMESPACE}_indexer_pages_fetched", "Event pages fetched.", "counter", pages_counter(spark, sf_dir)
-        ),
-        metrics.Metric(
-            f"{NAMESPACE}_feed_errors",
-            "Feed calls that returned an error.",
-            "counter",
-            error_counter(spark, sf_dir),
-            ["operation"],
-        ),
-        metrics.Metric(
-            f"{NAMESPACE}_indexer_poll_errors",
-            "Polls that failed.",
-            "counter",
-            poll_errors.withColumnRenamed("count", "value"),
-        ),
-        metrics.Metric(
-            f"{NAMESPACE}_indexer_events_failed",
-            "Events that failed to apply.",
-            "counter",
-            failed_counter(spark, sf_dir),
-            ["kind"],
-        ),
-        metrics.Metric(
-            f"{NAMESPACE}_http_request_duration_ms",
-            "Request duration in milliseconds.",
-            "histogram",
-            metrics.histogram(requests, REQUEST_LABELS, "duration_ms"),
-            REQUEST_LABELS,
-        ),
-        metrics.Metric(
-            f"{NAMESPACE}_http_requests_total",
-            "Requests handled.",
-            "counter",
-            request_counter(spark, sf_dir),
-            REQUEST_LABELS,
-        ),
-    ]
+    declared = [metrics.Metric(d.name, d.help, d.kind, SAMPLES[d.source](spark, sf_dir), list(d.labels)) for d in DECLARED]
     return metrics.exposition(declared).select("metric_no", "label_text", "line")
 
 
