@@ -33,10 +33,12 @@ MANIFEST = T.StructType(
         T.StructField("last_ledger", T.LongType()),
         T.StructField("chain_ledger", T.LongType()),
         T.StructField("cursor", T.StringType()),
+        T.StructField("bucket_count", T.IntegerType()),
     ]
 )
 FAILURES = "event_id string, kind string, stream_id string, ledger bigint, error string, failure_count bigint"
 NO_BUCKET = -1
+DEFAULT_BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -52,25 +54,42 @@ class Version:
 
 
 class MirrorStore:
-    """``buckets`` is fixed for the life of a store; about one per 128 MB of stream rows is right."""
+    """``buckets`` is fixed for the life of a store; about one per 128 MB of stream rows is right.
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, first_page: int = 0):
+    The count is part of the manifest: a store is opened with its own, and another one is refused.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, first_page: int = 0):
         self.spark = spark
         self.path = path.rstrip("/")
-        self.buckets = buckets
+        stored = self._stored_buckets()
+        if buckets and stored and buckets != stored:
+            raise ValueError(f"the store at {self.path} has {stored} buckets, not {buckets}")
+        self.buckets = stored or buckets or DEFAULT_BUCKETS
         self.first_page = first_page
         self.schema = stream_schema()
 
     def bucket_of(self, stream_id: Column) -> Column:
-        return F.pmod(F.xxhash64(stream_id.cast("decimal(20,0)")), F.lit(self.buckets)).cast("int")
+        """Null for a null id, which no stream has."""
+        placed = F.pmod(F.xxhash64(stream_id.cast("decimal(20,0)")), F.lit(self.buckets)).cast("int")
+        return F.when(stream_id.isNotNull(), placed)
 
-    def current(self) -> Version:
-        """The newest committed version. Its manifest has one row per bucket."""
+    def _manifest(self) -> DataFrame | None:
         try:
-            manifest = self.spark.read.parquet(f"{self.path}/manifest")
+            return self.spark.read.parquet(f"{self.path}/manifest")
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
+            return None
+
+    def _stored_buckets(self) -> int | None:
+        manifest = self._manifest()
+        return None if manifest is None else manifest.agg(F.max("bucket_count")).first()[0]
+
+    def current(self) -> Version:
+        """The newest committed version. Its manifest has one row per bucket."""
+        manifest = self._manifest()
+        if manifest is None:
             return Version(0, {}, self.first_page - 1, None, None, None)
         number = manifest.agg(F.max("version")).first()[0]
         rows = manifest.where(F.col("version") == number).collect()
@@ -133,7 +152,7 @@ class MirrorStore:
         written = self._written_buckets(number)
         moved = {**before.buckets, **{b: number for b in written}} or {NO_BUCKET: number}
         last, chain, cursor = now if now else (claimed, before.chain_ledger, before.cursor)
-        rows = [(b, v, high_page, last, chain, cursor) for b, v in sorted(moved.items())]
+        rows = [(b, v, high_page, last, chain, cursor, self.buckets) for b, v in sorted(moved.items())]
         manifest = self.spark.createDataFrame(rows, MANIFEST).coalesce(1)
         self._write(manifest, "manifest", number)
         return self.current()

@@ -117,3 +117,13 @@ def test_gaps_are_found_across_blocks(spark, monkeypatch):
     ]:
         frame = spark.createDataFrame([(n,) for n in numbers], "page_seq long")
         assert live.last_without_gap(frame, high) == upto
+
+
+def test_a_store_keeps_its_bucket_count(spark, tmp_path):
+    store = MirrorStore(spark, str(tmp_path / "mirror"), buckets=16)
+    landing(tmp_path, 0, [0, 1])
+    run(spark, tmp_path, store)
+    again = MirrorStore(spark, str(tmp_path / "mirror"))
+    assert again.buckets == 16 and again.stream("42").count() == 1
+    with pytest.raises(ValueError):
+        MirrorStore(spark, str(tmp_path / "mirror"), buckets=64)
