@@ -4,18 +4,21 @@ Documents with equal shingle sets are one class (a 64-bit hash of the set), and
 of copies cost no more than one document. A class posts itself under each (coordinate, value) of
 its signature of ``COORDINATES`` minima. Pairs of a similarity of 0.8 agree in about 51 of 64; pairs that
 agree in ``MATCHES`` or more are compared on their full sets (a pair at the limit is missed with a
-probability of about 1e-8). To find them without counting all collisions:
+probability of about 1e-7). To find them without counting all collisions:
 
-* skip: a posting that no other class shares counts for nothing, and a class with fewer than ``MATCHES`` shared
-  postings is done;
+* rarity: postings are counted over all classes in a table of ``CELLS`` hashed cells, 4 MB whatever the input, that all
+  tasks get; a cell's count is never below that of its postings, and any order that all classes share will do;
+* skip: a posting alone in its cell counts for nothing, and a class with fewer than ``MATCHES`` others is done;
 * prefix: of two classes that agree in ``MATCHES`` coordinates, the ``COORDINATES - MATCHES + 1`` rarest postings of
-  both hold a common one, so only those are joined.
+  both hold a common one, so only those are shuffled and joined.
 
-A large group of near-copies would still meet in lists as long as itself. So first every class is compared with
-one partner only, the smallest class that most of its lists have in front, then in three more rounds with others,
-unless they are one component by then; the links found join most of such a group. Then the prefix lists are read without pairs of one component. Lists are
-cut into blocks of about ``BLOCK`` classes, and each pair of blocks is a group of its own.
-No list is capped, and no link between components is lost.
+In the lists of the prefixes, collisions are counted on the low four bits of every coordinate, 32 bytes a
+class, which never counts too few. A large group of near-copies would still give all of its pairs. So first every class is
+compared on full sets with one partner only: the smallest class that agrees with it, then, in ``ROUNDS`` more
+rounds, the one of another component that agrees in most coordinates, which at least halves the
+components that are left. Then all pairs of different components that agree are compared. Lists are cut into blocks of about
+``BLOCK`` classes, and each pair of blocks is a group of its own. No list is capped, and no link between
+components is lost.
 
 A null or empty text has no words, an empty set, and no links; a text of fewer words than a shingle is one
 shingle. Rows are kept as they are: repeated rows are copies. A null doc_id is never the smallest of
@@ -29,16 +32,16 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.components import components
-from rivulet.llm.text import LOWER, flat, grams, mix, named, pieces, whole, word_hash, words
+from rivulet.llm.text import LOWER, flat, grams, mix, named, pieces, ranges, whole, word_hash, words
 from rivulet.session import fresh_folder
 
-COORDINATES, MATCHES, BLOCK, BITS = 64, 32, 1024, 1 << 26
-# Members of a list with which the others are compared first: four orders, so that hardly a class meets the same one twice.
-FRONTS = {"front": "min(node)", "back": "max(node)", "third": "min_by(node, xxhash64(node))", "fourth": "max_by(node, xxhash64(node))"}
+COORDINATES, MATCHES, BLOCK, BITS, CELLS, ROUNDS = 64, 34, 1024, 1 << 26, 1 << 20, 3
+_SPREAD, _NIBBLES, _PAIRS = 2654435769, np.uint64(0x1111111111111111), 1 << 19
+_MEMBER = "node long, size long, low array<long>"
 _SEEDS = np.random.default_rng(20230915).integers(1, 2**63, (COORDINATES, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -137,10 +140,6 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "one", "two").mapInArrow(compared, "a long, b long")
 
 
-def _fits(x: Column, y: Column, percent: int) -> Column:
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-
 def link_components(docs: DataFrame, *, words_per_shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     spark, folder = docs.sparkSession, fresh_folder(docs.sparkSession, "near-dup")
@@ -151,66 +150,150 @@ def link_components(docs: DataFrame, *, words_per_shingle: int = 5, percent: int
 
     docs = named(docs, "doc_id", "text")
     rows = written(sketch(docs, words_per_shingle), "rows")
-    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("size"))
-    firsts = classes.select("node", F.col("first").alias("doc_id"))
-    once = _once(rows)
-    lists = once.groupBy("post").agg(F.count("*").alias("long"), *(F.expr(f).alias(c) for c, f in FRONTS.items())).where("long > 1")
-    shared = once.join(lists, "post")
-    active = written(shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("long", "post", *FRONTS))).alias("posts")).where(F.size("posts") >= MATCHES), "active")
-    stars, root = None, None
-    for front in FRONTS:
-        partner = active.select("node", F.explode("posts").alias("p")).select("node", F.col(f"p.{front}").alias("front")).where("node != front").groupBy("node", "front").count().where(F.col("count") >= MATCHES // 2)
-        if root is not None:  # those that are one component by now need no other partner
-            near, far = root.select("node", F.col("root").alias("own")), root.select(F.col("node").alias("front"), F.col("root").alias("other"))
-            partner = partner.join(near, "node", "left").join(far, "front", "left").where(F.coalesce("own", "node") != F.coalesce("other", "front"))
-        partner = written(partner.groupBy("node").agg(F.max_by("front", F.struct("count", "front")).alias("front")), f"partners-{front}")
-        found = _confirmed(_with_sets(docs, partner.select(F.col("node").alias("a"), F.col("front").alias("b")), firsts, words_per_shingle, folder, f"sets-{front}"), percent)
-        stars = written(found.distinct() if stars is None else stars.union(found).distinct(), f"stars-{front}")
-        root = components(stars)
-    likely = written(_cross_pairs(active, classes, rows, root, percent), "likely")
-    more = written(_confirmed(_with_sets(docs, likely, firsts, words_per_shingle, folder, "more-sets"), percent).distinct(), "more")
+    classes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("size"), F.any_value("signature").alias("signature")), "classes")
+    heads = written(_shared_heads(classes), "heads")
+    near = written(_nearest(_agreeing(heads, None, percent, star=True)), "nearest-0")
+    wanted = near.select(F.col("a").alias("node")).join(classes.select("node", F.col("first").alias("doc_id")), "node")
+    sets = written(_sets(_of_ids(docs, wanted), words_per_shingle), "sets")
+    links = written(_confirmed(_with_sets(near, sets), percent), "links-0")
+    root = components(links)
+    for turn in range(1, ROUNDS + 1):
+        near = written(_nearest(_agreeing(heads, root, percent, star=True)), f"nearest-{turn}")
+        found = written(_confirmed(_with_sets(near, sets), percent), f"links-{turn}")
+        if not found.limit(1).count():
+            break
+        links = links.union(found)
+        root = components(links)
+    likely = written(_agreeing(heads, root, percent, star=False).select("a", "b").distinct(), "likely")
+    more = written(_confirmed(_with_sets(likely, sets), percent), "more")
     if more.limit(1).count():
-        root = components(stars.union(more))
-    named_class = classes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        root = components(links.union(more))
+    named_class = classes.select("node", "first").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named_class.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = named_class.join(smallest, "root").select("node", "component_id")
-    out = rows.join(ids, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    out = rows.drop("signature").join(ids, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _with_sets(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, n: int, folder: str, name: str) -> DataFrame:
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with their sets, one and two."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    _sets(_of_ids(docs, nodes.join(firsts, "node")), n).write.parquet(f"{folder}/{name}")
-    sets = docs.sparkSession.read.parquet(f"{folder}/{name}")
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("one")), "a")
-    return left.join(sets.join(pairs.select(F.col("b").alias("node")), "node", "left_semi").select(F.col("node").alias("b"), F.col("members").alias("two")), "b")
-
-
-def _once(rows: DataFrame) -> DataFrame:
-    """(node, post) of one row of each class; a link between different sets needs four common shingles."""
-    one = rows.where(F.col("n_shingles") >= 4).select("node", "signature").dropDuplicates(["node"])
-    post = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    return one.select("node", F.posexplode("signature").alias("at", "value")).select("node", post.alias("post"))
-
-
-def _cross_pairs(active: DataFrame, classes: DataFrame, rows: DataFrame, root: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that meet in a list of their prefixes and agree in ``MATCHES`` coordinates."""
-    prefix = F.slice("posts", F.lit(1), F.size("posts") - (MATCHES - 1))
-    heads = active.select("node", F.transform(prefix, lambda p: p["post"]).alias("posts")).join(classes.select("node", "size"), "node").join(root, "node", "left")
-    heads = heads.select("node", "size", F.coalesce("root", "node").alias("root"), F.explode("posts").alias("post"))
-    mixed = heads.groupBy("post").agg(F.count("*").alias("long"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("post", F.ceil(F.col("long") / BLOCK).cast("int").alias("blocks"))
-    signs = rows.where("node is not null").select("node", "signature").dropDuplicates(["node"])
-    dealt = heads.join(mixed, "post").join(signs, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = dealt.groupBy("post", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).agg(F.collect_list(F.struct("node", "size", "root", "block", "signature")).alias("members"))
-
-    def partners(x):
-        agree = lambda y: F.aggregate(F.zip_with(x["signature"], y["signature"], lambda s, t: (s == t).cast("int")), F.lit(0), lambda s, t: s + t)
-        good = lambda y: (y["node"] > x["node"]) & (y["root"] != x["root"]) & ((F.col("p") == F.col("q")) | (y["block"] != x["block"])) & _fits(x["size"], y["size"], percent) & (agree(y) >= MATCHES)
-        return F.transform(F.filter("members", good), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
-
-    found = groups.select(F.explode(F.flatten(F.transform("members", partners))).alias("pair"))
-    return found.select("pair.a", "pair.b").distinct()
+    left = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("members").alias("one")), "a")
+    return left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("two")), "b")
+
+
+def _cell_counts(classes: DataFrame) -> np.ndarray:
+    """How many postings of all classes fall into each of the ``CELLS`` cells."""
+    posts = classes.select(F.posexplode("signature").alias("at", "value"))
+    cell = F.pmod(F.col("value").cast("long") + F.col("at").cast("long") * F.lit(_SPREAD), F.lit(CELLS)).cast("int")
+    counts = np.zeros(CELLS, np.int64)
+    for batch in posts.groupBy(cell.alias("cell")).count().toArrow().to_batches():  # at most CELLS rows
+        counts[batch.column("cell").to_numpy()] = batch.column("count").to_numpy()
+    return counts
+
+
+def _shared_heads(classes: DataFrame) -> DataFrame:
+    """post, blocks (of its list), node, size, low of the prefix postings that two or more classes have in their prefixes.
+
+    A link between different sets needs four common shingles, so smaller classes post nothing.
+    """
+    classes = classes.where("size >= 4").select("node", "size", "signature")
+    sent = classes.sparkSession.sparkContext.broadcast(_cell_counts(classes))
+
+    def posted(batches):
+        at = np.arange(COORDINATES, dtype=np.uint64)
+        for batch in batches:
+            value = _signatures(batch)
+            count = sent.value[((value + at * np.uint64(_SPREAD)) & np.uint64(CELLS - 1)).astype(np.int64)]
+            count[count < 2] = 1 << 62
+            shared = (count < 1 << 62).sum(1)
+            post = value | (at << np.uint64(32))
+            order = np.lexsort((post, count), axis=1)
+            take = np.arange(COORDINATES)[None, :] < (shared - MATCHES + 1)[:, None]
+            node = np.repeat(batch.column("node").to_numpy(), take.sum(1))
+            yield pa.RecordBatch.from_pydict({"post": pa.array(np.take_along_axis(post, order, 1)[take].view(np.int64)), "node": pa.array(node, pa.int64())})
+
+    def packed(batches):
+        for batch in batches:
+            value = _signatures(batch) & np.uint64(15)
+            low = np.bitwise_or.reduce(value.reshape(-1, COORDINATES // 16, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(low) + 1) * (COORDINATES // 16), pa.int32()), pa.array(low.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "size": batch.column("size"), "low": lists})
+
+    heads = classes.select("node", "signature").mapInArrow(posted, "post long, node long")
+    lists = heads.groupBy("post").count().where("count > 1").select("post", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    return heads.join(lists, "post").join(classes.mapInArrow(packed, _MEMBER), "node").select("post", "blocks", "node", "size", "low")
+
+
+def _signatures(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("signature").flatten().to_numpy().view(np.uint32).reshape(-1, COORDINATES).astype(np.uint64)
+
+
+def _agreeing(heads: DataFrame, root: DataFrame | None, percent: int, star: bool) -> DataFrame:
+    """(a, b, apart): pairs of classes of different components that meet in a list, agree in ``MATCHES`` coordinates and fit in size.
+
+    star: for every class of a list only the best b, the smallest where no components are known, else the one with the fewest
+    coordinates apart. Otherwise each pair once or more, a < b.
+    """
+    heads = heads.withColumn("root", F.col("node")) if root is None else heads.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if root is not None:
+        mixed = heads.groupBy("post").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("post")
+        heads = heads.join(mixed, "post")
+    dealt = heads.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = F.struct("node", "size", "root", "block", *(F.col("low")[i].alias(f"low{i}") for i in range(COORDINATES // 16)))
+    groups = dealt.groupBy("post", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).agg(F.collect_list(member).alias("members"))
+    first = root is None
+
+    def met(batches):
+        for batch in batches:
+            lists = batch.column("members")
+            size = np.diff(lists.offsets.to_numpy())
+            of = np.repeat(np.arange(len(size)), size)
+            flat_members = lists.flatten()
+            column = {name: flat_members.field(name).to_numpy() for name in ("node", "size", "root", "block", *(f"low{i}" for i in range(COORDINATES // 16)))}
+            low = np.stack([column[f"low{i}"].view(np.uint64) for i in range(COORDINATES // 16)], axis=1)
+            node, alone = column["node"], (batch.column("p").to_numpy() == batch.column("q").to_numpy())[of]
+            behind = np.repeat(np.cumsum(size), size) - np.arange(len(of)) - 1  # members after this one in its list
+            best, rank = np.full(len(of), 1 << 62), np.empty(len(of), np.int64)
+            order = np.argsort(node, kind="stable")
+            rank[order] = np.arange(len(of))
+            upto, i = np.cumsum(behind), 0
+            while i < len(of):
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _PAIRS, "right")))
+                x = np.repeat(np.arange(i, j), behind[i:j])
+                y = ranges(np.arange(i, j) + 1, behind[i:j])
+                i = j
+                fits = 100 * np.minimum(column["size"][x], column["size"][y]) >= percent * np.maximum(column["size"][x], column["size"][y])
+                good = fits & (node[x] != node[y]) & (alone[x] | (column["block"][x] != column["block"][y]))
+                if not first:
+                    good &= column["root"][x] != column["root"][y]
+                x, y = x[good], y[good]
+                apart = np.zeros(len(x), np.int64)
+                for k in range(low.shape[1]):
+                    bits = low[x, k] ^ low[y, k]
+                    bits |= bits >> np.uint64(1)
+                    bits |= bits >> np.uint64(2)
+                    apart += np.bitwise_count(bits & _NIBBLES)
+                good = apart <= COORDINATES - MATCHES
+                x, y, apart = x[good], y[good], apart[good]
+                if star:
+                    weight = (np.zeros_like(apart) if first else apart) << 40
+                    np.minimum.at(best, x, weight + rank[y])
+                    np.minimum.at(best, y, weight + rank[x])
+                elif len(x):
+                    yield _pairs(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), apart)
+            if star:
+                at = np.flatnonzero(best < 1 << 62)
+                yield _pairs(node[at], node[order[best[at] & ((1 << 40) - 1)]], best[at] >> 40)
+
+    return groups.select("p", "q", "members").mapInArrow(met, "a long, b long, apart long")
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "apart": pa.array(apart, pa.int64())})
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
