@@ -16,7 +16,7 @@ In the lists of the prefixes, collisions are counted on the low four bits of eve
 class, which never counts too few. A large group of near-copies would still give all of its pairs. So first every class is
 compared on full sets with one partner only: the smallest class that agrees with it, then, in ``ROUNDS`` more
 rounds, the one of another component that agrees in most coordinates, which at least halves the
-components that are left. Then all pairs of different components that agree are compared. Lists are cut into blocks of about
+components that are left; pairs compared before are left out. Then all other pairs of different components that agree are compared. Lists are cut into blocks of about
 ``BLOCK`` classes, and each pair of blocks is a group of its own. No list is capped, and no link between
 components is lost.
 
@@ -39,7 +39,7 @@ from rivulet.llm.components import components
 from rivulet.llm.text import LOWER, flat, grams, mix, named, pieces, ranges, whole, word_hash, words
 from rivulet.session import fresh_folder
 
-COORDINATES, MATCHES, BLOCK, BITS, CELLS, ROUNDS = 64, 34, 1024, 1 << 26, 1 << 20, 3
+COORDINATES, MATCHES, BLOCK, BITS, CELLS, ROUNDS = 64, 34, 1024, 1 << 26, 1 << 20, 2
 _SPREAD, _NIBBLES, _PAIRS = 2654435769, np.uint64(0x1111111111111111), 1 << 19
 _MEMBER = "node long, size long, low array<long>"
 _SEEDS = np.random.default_rng(20230915).integers(1, 2**63, (COORDINATES, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,14 +157,17 @@ def link_components(docs: DataFrame, *, words_per_shingle: int = 5, percent: int
     sets = written(_sets(_of_ids(docs, wanted), words_per_shingle), "sets")
     links = written(_confirmed(_with_sets(near, sets), percent), "links-0")
     root = components(links)
+    tested = near.select("a", "b")
+    heads = written(heads.join(sets.select("node"), "node", "left_semi"), "near-heads")  # only these agree with any other
     for turn in range(1, ROUNDS + 1):
-        near = written(_nearest(_agreeing(heads, root, percent, star=True)), f"nearest-{turn}")
+        near = written(_nearest(_agreeing(heads, root, percent, star=True)).join(tested, ["a", "b"], "left_anti"), f"nearest-{turn}")
+        tested = tested.union(near.select("a", "b"))
         found = written(_confirmed(_with_sets(near, sets), percent), f"links-{turn}")
         if not found.limit(1).count():
             break
         links = links.union(found)
         root = components(links)
-    likely = written(_agreeing(heads, root, percent, star=False).select("a", "b").distinct(), "likely")
+    likely = written(_agreeing(heads, root, percent, star=False).select("a", "b").distinct().join(_ordered(tested), ["a", "b"], "left_anti"), "likely")
     more = written(_confirmed(_with_sets(likely, sets), percent), "more")
     if more.limit(1).count():
         root = components(links.union(more))
@@ -292,6 +295,10 @@ def _pairs(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "apart": pa.array(apart, pa.int64())})
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _nearest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
 
