@@ -7,11 +7,12 @@ Counts: documents are dealt to chunks; each chunk sends its distinct words with
 buckets of words, which sum them and answer every chunk in its own order. So all counts over all words are used, no
 word's occurrences meet in one task, and a chunk sends a frequent word once.
 
-Network: its words are the ``words`` most frequent ones; another word is the network's unknown word times
+Network: its words are the most frequent ones that make up ``SHARE`` of the words learnt from, ``LEAST`` or more, so they
+grow with the corpus; what memory allows is ``MOST`` of them (a worker holds about 1 kB for each). ``words`` sets another number. Another word is the network's unknown word times
 the word's share among all others, (c + 0.5) / (M + 0.5 (U + 1)) with the others' tokens M and distinct words U. Training
 takes every training text once: the texts are dealt to ``rounds`` rounds; in each round every task trains a copy
-on its texts, and the copies are averaged by their tokens, parameter by parameter, on the cluster. The network has a fixed
-size and is all that the driver and the workers hold of it.
+on its texts, and the copies are averaged by their tokens, parameter by parameter, on the cluster, in packed blocks. The
+network, which starts from the words' shares, is all that the driver and the workers hold of it.
 
 A null or empty text is the end token alone. A null doc_id counts as the empty text in the crc32. Rows are learnt
 from and scored one by one. An empty table gives an empty result.
@@ -33,6 +34,10 @@ from rivulet.llm.text import LOWER, flat, mix, named, pieces, total_bytes, word_
 from rivulet.session import fresh_folder
 
 CHUNK_BYTES = 8 << 20
+SHARE = 0.75
+LEAST = 1022
+MOST = (1 << 16) - 2
+BLOCK = 1 << 14  # parameters
 END_HASH = mix(np.array([0xE0D], np.uint64))[0]
 _NOTE = "chunk int, bucket int, data binary, word long, count long, tokens long, known long"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -45,6 +50,7 @@ class Corpus:
     words: np.ndarray  # hashes of the network's words from id 2 on
     other_tokens: int
     other_distinct: int
+    counts: np.ndarray  # of all ids
 
     def __post_init__(self):
         self.order = np.argsort(self.words)
@@ -123,8 +129,17 @@ def _sum(top: int):
     return summed
 
 
+def _mean(table: pa.Table) -> pa.Table:
+    """A block of parameters, averaged over tasks by their tokens."""
+    n, total = table.column("tokens").to_numpy(), 0.0
+    for data, k in zip(table.column("data").to_pylist(), n, strict=True):
+        total = total + np.frombuffer(data, np.float32).astype(np.float64) * k
+    return pa.table({"block": table.column("block")[:1], "data": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+
 def _train(docs: DataFrame, corpus: Corpus, hidden: int, rounds: int) -> Gru:
     model = Gru(len(corpus.words) + 2, hidden)
+    model.start_from(corpus.counts)
     for turn in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast((corpus, model.flat))
 
@@ -139,17 +154,24 @@ def _train(docs: DataFrame, corpus: Corpus, hidden: int, rounds: int) -> Gru:
             stream = np.concatenate(streams) if streams else np.zeros(0, np.int32)
             n = own.train(stream.astype(np.int64))
             if n:
-                yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(len(own.flat), dtype=np.int32)), "value": pa.array(own.flat.astype(np.float64)), "tokens": pa.array(np.full(len(own.flat), n, np.int64))})
+                blocks = [own.flat[i : i + BLOCK].tobytes() for i in range(0, len(own.flat), BLOCK)]
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.arange(len(blocks), dtype=np.int32)), "data": pa.array(blocks, pa.binary()), "tokens": pa.array(np.full(len(blocks), n, np.int64))})
 
         mine = docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn)).select("text")
-        mean = mine.mapInArrow(trained, "place int, value double, tokens long").groupBy("place").agg((F.sum(F.col("value") * F.col("tokens")) / F.sum("tokens")).alias("value"))
-        got = mean.toArrow()
-        if got.num_rows:
-            model.flat[got.column("place").to_numpy()] = got.column("value").to_numpy().astype(np.float32)
+        got = mine.mapInArrow(trained, "block int, data binary, tokens long").groupBy("block").applyInArrow(_mean, "block int, data binary").toArrow()
+        for block, data in zip(got.column("block").to_pylist(), got.column("data").to_pylist(), strict=True):
+            model.flat[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(data, np.float32)
     return model
 
 
-def score_texts(docs: DataFrame, *, words: int = 510, hidden: int = 16, rounds: int = 2, chunks: int | None = None) -> DataFrame:
+def _network_words(count: np.ndarray, tokens: int, words: int | None) -> int:
+    """How many of the words with these falling counts the network knows."""
+    if words is not None:
+        return min(words, len(count))
+    return min(max(int(np.searchsorted(np.cumsum(count), SHARE * tokens)) + 1, LEAST), len(count), MOST)
+
+
+def score_texts(docs: DataFrame, *, words: int | None = None, hidden: int = 16, rounds: int = 2, chunks: int | None = None) -> DataFrame:
     """The columns of ``_SCORES`` for every row of docs."""
     spark, folder = docs.sparkSession, fresh_folder(docs.sparkSession, "language-model")
     docs = named(docs, "doc_id", "text")
@@ -157,14 +179,17 @@ def score_texts(docs: DataFrame, *, words: int = 510, hidden: int = 16, rounds:
         chunks = max(4, -(-total_bytes(docs) // CHUNK_BYTES))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
     by_chunk = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text", "held_out").groupBy("chunk")
-    by_chunk.applyInArrow(_send(chunks), _NOTE).groupBy("bucket").applyInArrow(_sum(words), _NOTE).write.parquet(folder)
+    by_chunk.applyInArrow(_send(chunks), _NOTE).groupBy("bucket").applyInArrow(_sum(MOST if words is None else words), _NOTE).write.parquet(folder)
     table = spark.read.parquet(folder)
     sums = table.agg(F.sum("tokens"), F.sum("known")).head()
     tokens, distinct = sums[0] or 0, sums[1] or 0
-    best = table.where("word is not null").select("word", "count").orderBy(F.desc("count"), "word").limit(words).collect()
-    own = sum(r["count"] for r in best)
+    best = table.where("word is not null").select("word", "count").orderBy(F.desc("count"), "word").limit(MOST if words is None else words).toArrow()
     ends = docs.where("not held_out").count()
-    corpus = Corpus(tokens, distinct, np.array([r["word"] for r in best], np.int64).view(np.uint64), tokens - own - ends, distinct - len(best) - (ends > 0))
+    count = best.column("count").to_numpy()
+    size = _network_words(count, tokens - ends, words)
+    count = count[:size]
+    others = int(tokens - ends - count.sum())
+    corpus = Corpus(tokens, distinct, best.column("word").to_numpy()[:size].view(np.uint64), others, distinct - size - (ends > 0), np.append([others, ends], count))
     model = _train(docs, corpus, hidden, rounds)
     sent = spark.sparkContext.broadcast((corpus, model.flat))
 

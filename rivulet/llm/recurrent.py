@@ -1,7 +1,8 @@
 """A gated recurrent language model in numpy: class-factored softmax, truncated backpropagation.
 
 Words are ids below ``size``; id 0 is any other word, id 1 the end of a text. The probability of a word is
-that of its class times that of the word in its class; classes hold ids of neighbouring rank.
+that of its class times that of the word in its class; classes hold ids of neighbouring rank, and those of rarer words are
+wider, so that the cost of a word grows far slower than ``size``.
 """
 
 from __future__ import annotations
@@ -16,17 +17,26 @@ class Gru:
 
     def __init__(self, size: int, hidden: int = 24, seed: int = 0):
         self.size, self.hidden = size, hidden
-        self.width = max(2, int(np.ceil(np.sqrt(size))))
-        self.classes = -(-size // self.width)
-        shapes = {"x": (size, 3 * hidden), "u": (hidden, 3 * hidden), "c": (hidden, self.classes), "d": (self.classes,), "o": (self.classes, hidden, self.width), "b": (self.classes, self.width)}
+        cuts = [0]
+        while cuts[-1] < size:
+            cuts.append(min(size, cuts[-1] + max(8, int(np.ceil(cuts[-1] ** (2 / 3))))))
+        self.cuts, self.classes = np.array(cuts), len(cuts) - 1
+        self.class_of = np.repeat(np.arange(self.classes, dtype=np.int16), np.diff(cuts))
+        # the rows of x come last: a window touches few of them, and all of the rest
+        shapes = {"u": (hidden, 3 * hidden), "c": (hidden, self.classes), "d": (self.classes,), "o": (size, hidden), "b": (size,), "x": (size, 3 * hidden)}
         self.flat = np.zeros(sum(int(np.prod(s)) for s in shapes.values()), np.float32)
+        self.dense = len(self.flat) - size * 3 * hidden
         self.part = self._parts(self.flat, shapes)
         self.shapes = shapes
         rng = np.random.default_rng(seed)
         for name in ("x", "u", "c", "o"):
             self.part[name][:] = rng.normal(0, 0.1, shapes[name])
-        last = size - (self.classes - 1) * self.width
-        self.part["b"][-1, last:] = -1e4  # places without a word
+
+    def start_from(self, counts: np.ndarray):
+        """Biases that give every word its share of ``counts`` (of all ids)."""
+        c = counts + 0.5
+        self.part["d"][:] = np.log(np.add.reduceat(c, self.cuts[:-1]) / c.sum())
+        self.part["b"][:] = np.log(c / np.add.reduceat(c, self.cuts[:-1])[self.class_of])
 
     @staticmethod
     def _parts(flat, shapes):
@@ -54,49 +64,65 @@ class Gru:
 
     def outputs(self, h: np.ndarray, words: np.ndarray, gradient: dict | None = None, keep: np.ndarray | None = None):
         """Natural log probabilities of words after states h; with ``gradient`` also adds to it, and returns the slope of h."""
-        k, w = np.divmod(words, self.width)
+        k = self.class_of[words]
+        order = np.argsort(k, kind="stable")
+        h, k = h[order], k[order]
+        w = words[order] - self.cuts[k]
+        keep = None if keep is None else keep[order]
         logits = h @ self.part["c"] + self.part["d"]
         logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1, keepdims=True)
         rows = np.arange(len(h))
-        out = logits[rows, k] - np.log(total[:, 0])
-        slope = None
+        own = logits[rows, k]
+        p = np.exp(logits, out=logits)
+        total = p.sum(1, keepdims=True)
+        logs = own - np.log(total[:, 0])
         if gradient is not None:
             p /= -total
             p[rows, k] += 1
             p *= keep[:, None]
             gradient["c"] += h.T @ p
             gradient["d"] += p.sum(0)
-            slope = p @ self.part["c"].T
-        order = np.argsort(k, kind="stable")
-        cuts = np.searchsorted(k[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            i = order[cuts[c] : cuts[c + 1]]
-            x = h[i]
-            logits = x @ self.part["o"][c] + self.part["b"][c]
+            by_state = p @ self.part["c"].T
+        ends = np.searchsorted(k, np.arange(self.classes + 1))
+        for c in np.flatnonzero(np.diff(ends)):
+            i, j, first, last = ends[c], ends[c + 1], self.cuts[c], self.cuts[c + 1]
+            x, rows = h[i:j], np.arange(j - i)
+            logits = x @ self.part["o"][first:last].T + self.part["b"][first:last]
             logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
+            own = logits[rows, w[i:j]]
+            p = np.exp(logits, out=logits)
             total = p.sum(1, keepdims=True)
-            own = np.arange(len(i))
-            out[i] += logits[own, w[i]] - np.log(total[:, 0])
+            logs[i:j] += own - np.log(total[:, 0])
             if gradient is not None:
                 p /= -total
-                p[own, w[i]] += 1
-                p *= keep[i, None]
-                gradient["o"][c] += x.T @ p
-                gradient["b"][c] += p.sum(0)
-                slope[i] += p @ self.part["o"][c].T
+                p[rows, w[i:j]] += 1
+                p *= keep[i:j, None]
+                gradient["o"][first:last] += p.T @ x
+                gradient["b"][first:last] += p.sum(0)
+                by_state[i:j] += p @ self.part["o"][first:last]
+        out = np.empty_like(logs)
+        out[order] = logs
+        if gradient is None:
+            return out, None
+        slope = np.empty_like(by_state)
+        slope[order] = by_state
         return out, slope
 
     def gradient(self, ids: np.ndarray, words: np.ndarray, keep: np.ndarray, start: np.ndarray):
         """Mean log probability of a window's words, its gradient (flat), and the last states; the state before the window is taken as given."""
+        logs, flat, rows, by_row, last = self._slopes(ids, words, keep, start)
+        out = np.append(flat, np.zeros(len(self.flat) - self.dense, flat.dtype))
+        self._parts(out, self.shapes)["x"][rows] = by_row
+        return logs, out, last
+
+    def _slopes(self, ids: np.ndarray, words: np.ndarray, keep: np.ndarray, start: np.ndarray):
+        """As ``gradient``, with the rows of x that the window touches in place of all."""
         n, (steps, lanes) = self.hidden, ids.shape
         last, kept = self.states(ids, start)
         # states as they left each step, before any fresh start
         h = np.stack([(1 - z) * m + z * g for g, z, _, m, _ in kept]).reshape(steps * lanes, n)
-        flat = np.zeros_like(self.flat)
-        g = self._parts(flat, self.shapes)
+        flat = np.zeros(self.dense, self.flat.dtype)
+        g = self._parts(flat, {k: s for k, s in self.shapes.items() if k != "x"})
         logs, slope = self.outputs(h, words.ravel(), g, keep.ravel().astype(np.float32))
         slope = slope.reshape(steps, lanes, n)
         back = np.zeros((lanes, n), np.float32)
@@ -115,10 +141,11 @@ class Gru:
         order = np.argsort(ids.ravel(), kind="stable")
         sorted_ids = ids.ravel()[order]
         cut = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
-        g["x"][sorted_ids[cut]] = np.add.reduceat(by_gate.reshape(-1, 3 * n)[order], cut)
+        by_row = np.add.reduceat(by_gate.reshape(-1, 3 * n)[order], cut)
         count = max(float(keep.sum()), 1.0)
         flat /= count
-        return float((logs * keep.ravel()).sum()) / count, flat, last
+        by_row /= count
+        return float((logs * keep.ravel()).sum()) / count, flat, sorted_ids[cut], by_row, last
 
     def train(self, stream: np.ndarray, *, lanes: int = 256, steps: int = 16, rate: float = 0.02) -> int:
         """One pass over a stream of texts (each closed by END), in windows of ``steps`` words on ``lanes`` lanes; returns the words."""
@@ -133,12 +160,28 @@ class Gru:
         count = (np.arange(length * lanes) < len(stream)).reshape(lanes, length).T
         ids = np.concatenate([np.full((1, lanes), END), words[:-1]])
         h = np.zeros((lanes, self.hidden), np.float32)
-        m, v = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        m, v = np.zeros(self.dense, np.float32), np.zeros(self.dense, np.float32)
+        mx, vx = np.zeros_like(self.part["x"]), np.zeros_like(self.part["x"])
         for turn, at in enumerate(range(0, length, steps), 1):
-            _, g, h = self.gradient(ids[at : at + steps], words[at : at + steps], count[at : at + steps], h)
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            self.flat += (rate / (1 - 0.9**turn)) * m / (np.sqrt(v / (1 - 0.99**turn)) + 1e-6)
+            _, g, rows, gx, h = self._slopes(ids[at : at + steps], words[at : at + steps], count[at : at + steps], h)
+            up, scale = np.float32(rate / (1 - 0.9**turn)), np.float32(1 / (1 - 0.99**turn))
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.99
+            g *= g
+            g *= 0.01
+            v += g
+            np.sqrt(v, out=g)
+            g *= np.sqrt(scale)
+            g += 1e-6
+            np.divide(m, g, out=g)
+            g *= up
+            self.flat[: self.dense] += g
+            own, square = mx[rows], vx[rows]
+            own += 0.1 * (gx - own)
+            square += 0.01 * (gx * gx - square)
+            mx[rows], vx[rows] = own, square
+            self.part["x"][rows] += up * own / (np.sqrt(square * scale) + 1e-6)
         return len(stream)
 
     def score(self, texts: list[np.ndarray], *, lanes: int = 256, steps: int = 32) -> np.ndarray:

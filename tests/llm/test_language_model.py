@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from rivulet.llm.language_model import score_texts
+from rivulet.llm.language_model import LEAST, MOST, SHARE, _network_words, score_texts
 from rivulet.llm.recurrent import END, Gru
 
 
@@ -70,3 +70,25 @@ def test_scores(spark):
     # the next word is one of two: far better than counts
     assert sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
     assert score_texts(docs.limit(0)).collect() == []
+
+
+def test_network_words_grow_with_the_corpus():
+    sizes = []
+    for many in (10_000, 100_000, 1_000_000):
+        count = np.sort(np.maximum(1, many // np.arange(1, many // 4)))[::-1]
+        n = _network_words(count[:MOST], int(count.sum()), None)
+        assert n in (LEAST, MOST) or count[:n].sum() >= SHARE * count.sum() > count[: n - 1].sum()
+        sizes.append(n)
+    assert 1022 <= sizes[0] < sizes[1] < sizes[2]
+    assert _network_words(count, int(count.sum()), 30) == 30
+    assert _network_words(count[:0], 0, None) == 0
+
+
+def test_start_from_counts():
+    model = Gru(3000, hidden=4)
+    counts = np.arange(3000.0)[::-1]
+    model.start_from(counts)
+    for name in "oc":
+        model.part[name][:] = 0
+    logs = model.outputs(np.zeros((3000, 4), np.float32), np.arange(3000))[0]
+    assert np.allclose(np.exp(logs), (counts + 0.5) / (counts + 0.5).sum(), atol=1e-6)
