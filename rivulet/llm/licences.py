@@ -1,12 +1,14 @@
 """Licence scans by sentences and rules, with DataFrame functions alone.
 
-A text is cut into sentences at line breaks and after end marks before white space; a sentence is lower-cased
-and everything but ASCII letters and digits becomes one space. Sentences that are known become their
-identifiers, in the order of the text, and the rules, in their own order, look for their identifiers as a
-subsequence. The first rule that matches names the licence, and all that match are listed.
+A sentence ends after end marks before white space, at a blank line and before a list marker; a line break
+and a ";" may end one or stand inside one, so sentences are found on one line as well as hard-wrapped, also behind
+comment leaders. A text is lower-cased and everything else but ASCII letters and digits becomes one space. Sentences
+that are known become their identifiers, in the order of the text (of those that start at one place the longest), and
+the rules, in their own order, look for their identifiers as a subsequence. The first rule that matches names the
+licence, and all that match are listed. The SQL twin reads line by line and knows neither wrapped sentences nor ";".
 
 The known sentences are a fixed list in this file. Each of them holds one of ``MARKS``; a text with
-none of these is not cut at all. A null or empty text, or one without known sentences, has no licence (null) and
+none of these, which are single words so that no line break parts them, is not cut at all. A null or empty text, or one without known sentences, has no licence (null) and
 empty lists. Rows are judged one by one, whole.
 """
 
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.text import named
 
-MARKS = ("licen", "redistribut", "warranty", "permission", "spdx", "public domain", "this software")
+MARKS = ("licen", "redistribut", "warranty", "permission", "spdx", "unencumbered")
 # Identifiers of sentences, normalised, as licences and their usual notices have them.
 SENTENCES = {
     "mit-notice": "released under the mit license",
@@ -76,7 +78,19 @@ RULES = [
     ("MIT", ["spdx-mit"]),
     ("Unlicense", ["unlicense"]),
 ]
-CUT = r"[.!?]+[\x20\x09-\x0D]+|[.!?]*\n"
+# Replacements in their order, up to one "\n" for a possible end of a sentence and \x01 for a certain one.
+MARKERS = r"(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})[.)][\x20\x09]"
+STEPS = (
+    (r"(?md)^[^a-z0-9\n]+", ""),  # comment leaders, indents, bullets
+    (r"(?md)^(?:dnl|rem)\b[^a-z0-9\n]*", ""),
+    (rf"(?md)^{MARKERS}|[.!?]+[\x20\x09-\x0D]|\n(?=\n)", "\x01"),
+    (";", "\n"),
+    (r"[^a-z0-9\n\x01]+", " "),
+    (r" ?\n[ \n]*", "\n"),
+    (r"[ \n]?\x01[ \n\x01]*", "||"),
+    (r"\n", "|"),
+)
+KNOWN = r"(?<=\|)(?:" + "|".join(s.replace(" ", "[ |]") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + r")(?=\|)"
 
 
 def sentence_ids(text: Column) -> Column:
@@ -85,11 +99,13 @@ def sentence_ids(text: Column) -> Column:
     marked = F.lit(False)
     for mark in MARKS:
         marked = marked | F.contains(low, F.lit(mark))
-    plain = F.transform(F.split(low, CUT), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    known = F.filter(plain, lambda s: s.isin(*SENTENCES.values()))
+    plain = F.concat(F.translate(low, "\x01", " "), F.lit("\n"))
+    for old, new in STEPS:
+        plain = F.regexp_replace(plain, F.lit(old), F.lit(new))
+    known = F.regexp_extract_all(F.concat(F.lit("|"), plain), F.lit(KNOWN), F.lit(0))
     names = F.create_map(*(F.lit(x) for name, s in SENTENCES.items() for x in (s, name)))
     none = F.array().cast("array<string>")
-    return F.coalesce(F.when(marked, F.transform(known, lambda s: F.element_at(names, s))), none)
+    return F.coalesce(F.when(marked, F.transform(known, lambda s: F.element_at(names, F.translate(s, "|", " ")))), none)
 
 
 def _pattern(ids: list[str]) -> str:

@@ -79,6 +79,54 @@ def test_licences(spark):
     assert {i for _, rule in licences.RULES for i in rule} == set(s) and all(re.fullmatch("[a-z0-9 ]+", x) for x in s.values())
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+(b) Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the"""
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+
+
+@pytest.mark.parametrize("leader", ["", " * ", "# ", "// ", ";; ", "dnl "])
+def test_wrapped_licences(spark, leader):
+    cover = lambda t: "".join(f"{leader}{x}".rstrip() + end for x in t.split("\n") for end in ["\r\n" if leader == "# " else "\n"])
+    rows = [(1, MIT), (2, BSD), (3, ISC), (4, GPL), (5, APACHE), (6, "This is free and unencumbered software released into the public\ndomain."), (7, "It was\nreleased under the MIT\n\nlicense."), (8, "A title\nReleased under the\nMIT License")]
+    got = licences.scan_licences(spark.createDataFrame([(i, cover(t)) for i, t in rows], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.licence, r.sentence_ids) for r in got} == {
+        1: ("MIT", "mit-grant mit-copies as-is"), 2: ("BSD-3-Clause", "bsd-use bsd-source bsd-binary bsd-names"), 3: ("ISC", "isc-grant"), 4: ("GPL-3.0-or-later", "gpl-free gpl-hope"),
+        5: ("Apache-2.0", "apache-head apache-use"), 6: ("Unlicense", "unlicense"), 7: (None, ""), 8: ("MIT", "mit-notice"),
+    }
+
+
 def test_mixture_without_budget(spark):
     rng = random.Random(1)
     rows = [(i, "abcd"[min(3, int(rng.expovariate(1.2)))], "w " * rng.randint(0, 30)) for i in range(900)]
