@@ -4,8 +4,13 @@ Lines are what "\\n" separates. A line without a word is neutral. Any other line
 
 * symbols: more than one of ``#*$%&|<>`` for every two words;
 * navigation: two or more of ``| > » · •`` standing between words, and no end mark;
-* boilerplate: it holds one of ``BOILERPLATE`` (lower-cased), or equals an earlier line of the text;
-* punctuation: it has no end mark and fewer than ``open_words`` words.
+* boilerplate: it has fewer than ``open_words`` words, of which whole phrases of ``BOILERPLATE`` (lower-cased) make up a
+  third, or a fifth if it opens with one; or it equals an earlier line of the text;
+* punctuation: it has no end mark and fewer than ``open_words`` words, and its paragraph does not carry it.
+
+A paragraph is a run of lines with words. It carries its open lines (wrapped prose, verse, lists) if it ends with an end mark or
+has ``open_words`` words, none of its lines has twice as many (then lines are paragraphs themselves), and its open
+lines have 4 words on average (menus have fewer) or a line that ends with ":" leads to it. Lines that fail by another rule are not counted in it.
 
 A document is kept if the base rules pass (words, share of repeated 3-word windows) and its failed lines
 hold at most ``max_loss`` of its words. Text is split and counted on bytes; words are runs without
@@ -30,40 +35,71 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 # Phrases of page furniture.
 BOILERPLATE = (b"all rights reserved", b"cookie policy", b"cookies", b"enable javascript", b"javascript", b"lorem ipsum", b"privacy policy", b"sign in", b"sign up", b"subscribe", b"terms of service", b"terms of use", b"click here", b"read more")
 _FURNITURE = re.compile(b"|".join(map(re.escape, BOILERPLATE)))
+_PHRASE = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(x.decode()) for x in BOILERPLATE) + r")(?!\w)")
 _MENU = re.compile(rb"[^\x20\x09-\x0D][\x20\x09]*(?:\||>|\xc2\xbb|\xc2\xb7|\xe2\x80\xa2)(?:[\x20\x09]|$)")
 _END = tuple(x.encode() for x in ".!?:;\"')]}…。！？”’»")
 _FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("n_lost_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("clean_text", "string")]
 
 
+def _furniture(line: bytes, n: int) -> bool:
+    """Whether whole phrases of page furniture make up a large part of a line of n words."""
+    low = line.lower()
+    if not _FURNITURE.search(low):
+        return False
+    text = low.decode("utf-8", "replace")
+    found = list(_PHRASE.finditer(text))
+    size = sum(len(m[0].split()) for m in found)
+    opens = bool(found) and not re.search(r"\w", text[: found[0].start()])
+    return bool(found) and (3 * size >= n or opens and 5 * size >= n)
+
+
+def _ended(line: bytes) -> bool:
+    return line.rstrip(b" \t\r\x0b\x0c").endswith(_END)
+
+
 def judge_line(line: bytes, open_words: int = 12) -> str | None:
-    """The rule that a line with words fails, or None."""
+    """The rule that a line with words fails, or None; punctuation as if the line were a paragraph."""
     n = len(line.split())
     if 2 * sum(map(line.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"))) > n:
         return "symbols"
-    ended = line.rstrip(b" \t\r\x0b\x0c").endswith(_END)
+    ended = _ended(line)
     if not ended and len(_MENU.findall(line)) >= 2:
         return "navigation"
-    if _FURNITURE.search(line.lower()):
+    if n < open_words and _furniture(line, n):
         return "boilerplate"
     return None if ended or n >= open_words else "punctuation"
 
 
+def _carried(lines: list[bytes], open_lines: list[bytes], led: bool, open_words: int) -> bool:
+    """Whether a paragraph of these lines carries its open ones; ``led``: the line before it ends with a colon."""
+    sizes = [len(x.split()) for x in lines]
+    led = led or lines[0].rstrip().endswith(b":")
+    return max(sizes) < 2 * open_words and (_ended(lines[-1]) or sum(sizes) >= open_words) and (led or sum(len(x.split()) for x in open_lines) >= 4 * len(open_lines))
+
+
 def _clean(text: bytes, open_words: int) -> tuple[int, int, bytes]:
     """Repeated lines, words in failed lines, the text without them."""
-    seen, left, lost, again = set(), [], 0, 0
-    for line in text.split(b"\n"):
-        if not line.strip():
-            left.append(line)
-            continue
-        if line in seen:
-            again += 1
-        elif judge_line(line, open_words) is None:
+    lines = text.split(b"\n")
+    seen, again, fails, paragraph, led = set(), 0, [False] * len(lines), [], False
+    for i, line in enumerate([*lines, b""]):
+        if line.strip():
+            if line in seen:
+                again += 1
+                fails[i] = True
+                continue
             seen.add(line)
-            left.append(line)
-            continue
-        seen.add(line)
-        lost += len(line.split())
-    return again, lost, b"\n".join(left)
+            rule = judge_line(line, open_words)
+            fails[i] = rule is not None
+            if rule in (None, "punctuation"):
+                paragraph.append(i)
+        elif paragraph:
+            is_open = [k for k in paragraph if fails[k]]
+            if is_open and _carried([lines[k] for k in paragraph], [lines[k] for k in is_open], led, open_words):
+                for k in is_open:
+                    fails[k] = False
+            led, paragraph = lines[paragraph[-1]].rstrip().endswith(b":"), []
+    lost = sum(len(x.split()) for x, f in zip(lines, fails, strict=True) if f)
+    return again, lost, b"\n".join(x for x, f in zip(lines, fails, strict=True) if not f)
 
 
 def _counts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -50,6 +50,33 @@ def test_quality_lines(spark):
     assert [quality.judge_line(x) for x in (menu.encode(), junk.encode(), b"Read more.", b"short line", b"It ends.")] == ["navigation", "symbols", "boilerplate", "punctuation", None]
 
 
+def test_furniture_in_running_text():
+    for line in ("The design in this house is old.", "A design upgrade.", "It was spread more evenly.", "She sells cookies and tea on Sundays with her old friends.", "word " * 4000 + "javascript and cookies and subscribe.", "They sign up to read more about it when the long day is over."):
+        assert quality.judge_line(line.encode()) is None, line[:60]
+    for line in ("Read more.", "\u201cSubscribe\u201d to our letter now.", "Please click here.", "© 2024 Some Firm. All rights reserved.", "We use cookies."):
+        assert quality.judge_line(line.encode()) == "boilerplate", line
+
+
+def test_one_mention_in_a_text_on_one_line(spark):
+    text = " ".join(f"w{k}" for k in range(300)) + " with cookies and a design in it."
+    got = quality.clean_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).head()
+    assert got.kept and got.n_lost_words == 0 and got.clean_text == text
+
+
+def test_punctuation_on_paragraphs():
+    prose = "\n\n".join("\n".join(" ".join(f"word{p}{i}{k}" for k in range(9)) for i in range(5)) + "." for p in range(3))
+    verse = "The moon is on the water now,\nThe reeds are bending low,\nAnd no one hears the ferryman\nWho sang here long ago"
+    things = "What it takes:\n\n- two eggs\n- flour\n- a cup of milk\n- a pinch of salt\n- butter and sugar"
+    for text in (prose, verse, things):
+        assert quality._clean(text.encode(), 12) == (0, 0, text.encode())
+    assert quality._clean(prose.replace("\n", "\r\n").encode(), 12)[1] == 0
+    body = " ".join(f"w{k}" for k in range(30)) + "."
+    stack = "\n".join(["Home", "News", "Sport", "About us", "Contact", "Shop", "Jobs", "Press", "Help", "Log out", "Archive", "Letters", "Weather"])
+    for junk in (stack, "A heading", f"{stack}\nIt ends."):
+        assert quality._clean(f"{junk}\n{body}".encode(), 12)[2].decode().split("\n")[-1] == body
+        assert quality._clean(f"{junk}\n{body}".encode(), 12)[1] == len(stack.split() if stack in junk else junk.split())
+
+
 @pytest.mark.parametrize(("sample", "room"), [(1000, 100_000), (0, 50)])
 def test_token_counts_equal_the_library(spark, sample, room):
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
