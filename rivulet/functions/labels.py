@@ -31,6 +31,8 @@ def number_text(value: Column) -> Column:
     """A number without an exponent where 38 digits hold it, and without a trailing fraction of zeros."""
     text = value.cast("string")
     size = F.abs(value.cast("double"))
-    plain = F.when(F.contains(text, F.lit("E")) & (size >= 1e-6) & (size < 1e21), text.try_cast("decimal(38,16)").cast("string")).otherwise(text)
+    # a double has 17 digits at most, so one of 1e-6 ends at the 22nd decimal
+    digits = F.when(size < 1, text.try_cast("decimal(38,22)").cast("string")).otherwise(text.try_cast("decimal(38,16)").cast("string"))
+    plain = F.when(F.contains(text, F.lit("E")) & (size >= 1e-6) & (size < 1e21), digits).otherwise(text)
     bare = F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
     return F.when(F.contains(plain, F.lit(".")) & ~F.contains(plain, F.lit("E")), bare).otherwise(plain)

@@ -225,3 +225,12 @@ def test_numbers_are_written_without_exponents(spark):
     rows = [(1e7, "10000000"), (1e10, "10000000000"), (1e20, "100000000000000000000"), (0.1, "0.1"), (2.5e-5, "0.000025"), (1234567.25, "1234567.25"), (1e30, "1.0E30"), (0.0, "0"), (-1e10, "-10000000000"), (100.0, "100"), (None, None)]
     got = spark.createDataFrame(rows, "value double, wanted string").select(number_text(F.col("value")).alias("text"), "wanted").collect()
     assert [r.text for r in got] == [r.wanted for r in got]
+
+
+def test_small_numbers_keep_their_digits(spark):
+    from rivulet.functions.labels import number_text
+
+    values = [1.2345678901234567e-4, -1.2345678901234567e-6, 9.876543210987654e-4, 2.5e-5, 1.5e20]
+    got = spark.createDataFrame([(v,) for v in values], "value double").select("value", number_text(F.col("value")).alias("text")).collect()
+    # digits that read back as the same number
+    assert all("E" not in r.text and float(r.text) == r.value for r in got) and len(got) == 5
