@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 
 from rivulet.llm.text import flat, named, pieces, ranges
 
-SIGN, ROOM, SECTION = "▁", 128 << 20, 1 << 19
+SIGN, ROOM, SECTION = "▁", 64 << 20, 1 << 19
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model
 _BPE = 2  # kind of a model
 _CODECS: dict[str, "Codec"] = {}
+_COLUMNS = ("doc_id", "n_tokens", "ids", "begins", "ends")
 _ENCODED = "doc_id long, n_tokens long, ids array<int>, begins array<int>, ends array<int>"
 
 
@@ -208,34 +209,33 @@ class Codec:
         """(pieces of each row, ids, begins, ends): spans in bytes of the row's own text."""
         origins, ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         counts = np.zeros(len(texts), np.int64)
-        codes: list[int] = []
-        rows: list[tuple[int, int]] = []  # (row, parts) of the codes
+        waiting: list[str] = []
+        rows: list[tuple[int, int]] = []  # (row, parts) of the waiting parts
 
         def lay_out() -> None:
-            own = np.frombuffer(self.counts, np.int32).astype(np.int64)
-            code = np.array(codes, np.int64)
+            if self.held > ROOM:
+                self._empty()
+            known = list(map(self.place.get, waiting))
+            if None in known:
+                self._learn(list(dict.fromkeys(itertools.compress(waiting, (k is None for k in known)))))
+                known = list(map(self.place.get, waiting))
+            code, own = np.array(known, np.int64), np.frombuffer(self.counts, np.int32).astype(np.int64)
             at = ranges((np.cumsum(own) - own)[code], own[code])
             ids.append(np.frombuffer(self.ids, np.int32)[at])
             sizes.append(np.frombuffer(self.sizes, np.int32)[at])
             np.add.at(counts, np.repeat([r for r, _ in rows], [n for _, n in rows]), own[code])
-            codes.clear()
+            waiting.clear()
             rows.clear()
 
         for row, text in enumerate(texts):
             form, origin = self.normal(text)
             origins.append(origin)
             for parts in self._sections(form):
-                if codes and (self.held > ROOM or len(codes) > SECTION):
+                waiting.extend(parts)
+                rows.append((row, len(parts)))
+                if len(waiting) > SECTION:
                     lay_out()
-                if self.held > ROOM:
-                    self._empty()
-                known = list(map(self.place.get, parts))
-                if None in known:
-                    self._learn(list(dict.fromkeys(p for p in parts if p not in self.place)))
-                    known = list(map(self.place.get, parts))
-                codes.extend(known)
-                rows.append((row, len(known)))
-        if codes:
+        if waiting:
             lay_out()
         ids, origin = np.concatenate(ids), np.concatenate(origins)
         size, row = np.concatenate(sizes), np.repeat(np.arange(len(texts)), counts)
@@ -249,6 +249,9 @@ class Codec:
             counts = np.bincount(row[kept], minlength=len(texts))
         return counts, ids, begins, ends
 
+    def decode(self, ids: np.ndarray) -> str:
+        return self.library.decode(ids.tolist()) if len(ids) else ""
+
 
 def codec(path: str) -> Codec:
     """The codec of a model file, read once a worker."""
@@ -258,28 +261,34 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and the spans begins and ends (bytes of the original text) of every row of docs. ``path`` must be readable on every executor."""
+def encode(docs: DataFrame, path: str, *, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids, and the spans begins and ends (bytes of the original text) of every row of docs.
+
+    ``path`` must be readable on every executor. decoded adds the text that the library makes of the ids, in the same pass.
+    """
 
     def encoded(batches):
         own = codec(path)
         for part in pieces(batches, size=1 << 20):
             counts, ids, begins, ends = own.encode([t or "" for t in part.column("text").to_pylist()])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32))) for values in (ids, begins, ends)]
-            names = ("doc_id", "n_tokens", "ids", "begins", "ends")
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(counts), *lists], names)
+            at = np.concatenate([[0], np.cumsum(counts)])
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.astype(np.int32))) for values in (ids, begins, ends)]
+            columns = dict(zip(_COLUMNS, (part.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(counts), *lists), strict=True))
+            if decoded:
+                columns["decoded"] = pa.array([own.decode(ids[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return named(docs, "doc_id", "text").mapInArrow(encoded, _ENCODED)
+    return named(docs, "doc_id", "text").mapInArrow(encoded, f"{_ENCODED}, decoded string" if decoded else _ENCODED)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """rows (of ``encode``) with decoded, the text of the ids as the library gives it."""
 
-    def decoded(batches):
-        library = codec(path).library
+    def made(batches):
+        own = codec(path)
         for batch in batches:
-            texts = [library.decode(ids) if ids else "" for ids in batch.column("ids").to_pylist()]
+            ids = batch.column("ids")
+            texts = [own.decode(ids[i].values.to_numpy()) if ids[i].is_valid else "" for i in range(len(ids))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(decoded, f"{_ENCODED}, decoded string")
+    return rows.mapInArrow(made, f"{_ENCODED}, decoded string")

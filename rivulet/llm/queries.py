@@ -59,7 +59,7 @@ def op11_sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    rows = piece_codec.decode(piece_codec.encode(_table(spark, folder, "documents"), path), path)
+    rows = piece_codec.encode(_table(spark, folder, "documents"), path, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return rows.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
