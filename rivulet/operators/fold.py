@@ -12,15 +12,14 @@ Nothing is applied row by row. Per stream and in arrival order ``(page_seq, pos)
 
 So one shuffle on ``stream_id``, one sort and three streaming windows give outcomes and state.
 
-A stream too large for one task is handled apart: its rows are range-partitioned on
-``(stream_id, page_seq, pos)``, the running maximum and the sums are taken inside each range, and the
-ranges are then stitched with one small row per range. The range numbers are cut from their lineage
-by a checkpoint, because a re-run of the sampling behind them would number the rows differently.
+A stream too large for one task is folded in two levels: its pages are cut into blocks of ``PAGES_PER_BLOCK`` page numbers, every
+(stream, block) is a group of its own, and is summed up in one row that says what it does to a stream that is or is not
+known before it. A window over these rows carries the state from block to block, and goes back to the
+rows by a join on (stream, block). Which streams are large is counted inside the plan, so building it starts no job.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rivulet.functions.amounts import NumberLane, TextLane, lane_of
-from rivulet.operators.skew import hot_keys, hot_rows, split_hot
+from rivulet.operators.skew import hot_keys, split_hot
 from rivulet.schemas import EVENT_COLUMNS, OUTCOME_COLUMNS, STREAM_COLUMNS
-from rivulet.session import shared_folder
 
+PAGES_SETTING = "rivulet.skew.pagesPerBlock"
+PAGES_PER_BLOCK = 16_384  # pages hold 100 events at most, so a block has 1.6 million at most
 KINDS = ("created", "withdrawn", "cancelled")
 CREATED_FIELDS = ("sender", "recipient", "token", "total_amount", "start_time", "end_time", "cliff_time")
 BASE_FIELDS = (*CREATED_FIELDS, "withdrawn", "cancelled")
@@ -60,18 +60,12 @@ def fold(events: DataFrame, mirror: DataFrame | None = None, snapshot: DataFrame
     facts = key_facts(mirror, snapshot)
 
     hot = hot_keys(rows, "stream_id")
-    if hot is None:
-        classified = classify(attach_facts(rows, facts), ["stream_id"])
-        deltas = sum_up(classified, ["stream_id"], lane)
-    else:
-        large, rest = split_hot(rows, "stream_id", hot)
-        cold = classify(attach_facts(rest, facts), ["stream_id"])
-        few = None if facts is None else F.broadcast(facts.join(F.broadcast(hot), "stream_id", "left_semi"))
-        ranged = classify_ranges(attach_facts(large, few))
-        classified = cold.unionByName(ranged, allowMissingColumns=True)
-        deltas = sum_up(cold, ["stream_id"], lane).unionByName(
-            stitch(sum_up(ranged, ["stream_id", "block"], lane), lane)
-        )
+    large, rest = split_hot(rows, "stream_id", hot)
+    cold = classify(attach_facts(rest, facts), ["stream_id"])
+    few = None if facts is None else F.broadcast(facts.join(F.broadcast(hot), "stream_id", "left_semi"))
+    ranged = classify_blocks(attach_facts(large, few))
+    classified = cold.unionByName(ranged, allowMissingColumns=True)
+    deltas = sum_up(cold, ["stream_id"], lane).unionByName(stitch(sum_up(ranged, ["stream_id", "block"], lane), lane))
     return Folded(classified, failed, next_state(deltas, mirror, snapshot, lane))
 
 
@@ -150,15 +144,9 @@ def classify(rows: DataFrame, keys: list[str]) -> DataFrame:
     return _find_seed(rows, keys).withColumn("seen_id", seen).withColumn("outcome", outcome)
 
 
-def classify_ranges(rows: DataFrame) -> DataFrame:
+def classify_blocks(rows: DataFrame) -> DataFrame:
     """``classify`` for streams that span many tasks."""
-    shared_folder(rows.sparkSession)
-    ranges = max(2, math.ceil(2 * rows.count() / hot_rows(rows)))
-    blocked = (
-        rows.repartitionByRange(ranges, "stream_id", "page_seq", "pos")
-        .withColumn("block", F.spark_partition_id())
-        .checkpoint()
-    )
+    blocked = rows.withColumn("block", F.floor(F.col("page_seq") / _pages_per_block(rows)))
     keys = ["stream_id", "block"]
     delta_id = F.when(F.col("kind") != "created", F.col("event_id"))
     summary = (
@@ -172,7 +160,7 @@ def classify_ranges(rows: DataFrame) -> DataFrame:
             F.max(delta_id).alias("guard_if_known"),
         )
     )
-    # One row per range and stream: at most ``ranges`` plus the number of hot keys.
+    # One row per block of a large stream.
     order = Window.partitionBy("stream_id").orderBy("block")
     prior = order.rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -188,6 +176,10 @@ def classify_ranges(rows: DataFrame) -> DataFrame:
     return classify(blocked.drop("stored", "floor_id").join(carried, keys), keys)
 
 
+def _pages_per_block(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get(PAGES_SETTING, str(PAGES_PER_BLOCK)))
+
+
 def sum_up(classified: DataFrame, keys: list[str], lane: NumberLane | TextLane) -> DataFrame:
     """One row per group: what the applied events moved, froze and touched last.
 
@@ -229,11 +221,11 @@ def sum_up(classified: DataFrame, keys: list[str], lane: NumberLane | TextLane)
     )
 
 
-def stitch(per_range: DataFrame, lane: NumberLane | TextLane) -> DataFrame:
-    """Join the ranges of each stream end to end; one row per range comes in."""
+def stitch(per_block: DataFrame, lane: NumberLane | TextLane) -> DataFrame:
+    """Join the blocks of each stream end to end; one row per block comes in."""
     prior = Window.partitionBy("stream_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("decimal(38,0)")
-    carried = per_range.withColumns(
+    carried = per_block.withColumns(
         {
             f"frozen_{n}": F.col(f"frozen_{n}") + F.coalesce(F.sum(f"moved_{n}").over(prior), zero)
             for n in lane.names

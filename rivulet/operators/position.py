@@ -62,6 +62,14 @@ def position_history(progress: DataFrame, floor: int = 0) -> DataFrame:
     )
 
 
+def last_position(saved: DataFrame, high_page: int, last_ledger: int, chain_ledger: int | None, cursor: str | None) -> tuple:
+    """(last ledger, chain head, cursor) after the saved pages; only a page above ``high_page`` moves head and cursor."""
+    newest = F.max(F.when(F.col("page_seq") > high_page, F.struct("page_seq", "chain_ledger", "cursor"))).alias("page")
+    row = saved.agg(F.max("last_ledger").alias("last_ledger"), newest).first()
+    last = last_ledger if row.last_ledger is None else max(last_ledger, row.last_ledger)
+    return (last, chain_ledger, cursor) if row.page is None else (last, row.page.chain_ledger, row.page.cursor)
+
+
 def lag_of(chain, last):
     """Never negative."""
     return F.greatest(F.lit(0).cast("bigint"), chain - last)

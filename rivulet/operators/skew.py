@@ -1,7 +1,8 @@
-"""Finding keys too large for one task, and joins that survive them.
+"""Keys too large for one task, found inside the plan.
 
-Only the choice of plan depends on what is found here; every plan gives the same rows. So it is
-enough to look at a sample, and a key that is missed costs time, not correctness.
+``hot_keys`` is an exact count per key with a filter on top, so building a plan starts no job. It has fewer rows than the input has
+rows divided by the limit, by definition of a hot key; that bound is why it may be broadcast. Where no key is hot, it
+is empty when it is sent, and adaptive execution drops the branch for hot keys before its rows are read.
 """
 
 from __future__ import annotations
@@ -11,50 +12,29 @@ from pyspark.sql import functions as F
 
 HOT_ROWS_SETTING = "rivulet.skew.hotRows"
 HOT_ROWS = 4_000_000  # rows of one key that a single task still sorts comfortably
-SAMPLE_TARGET = 4_096  # expected sampled rows of a key exactly at the limit
-# The list of hot keys is shipped to every task, so its length is fixed. A key outside the
-# MAX_HOT largest holds less than 1/MAX_HOT of the rows, which is never more than a fair share.
-MAX_HOT = 10_000
 
 
 def hot_rows(frame: DataFrame) -> int:
     return int(frame.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
 
 
-def hot_keys(frame: DataFrame, key: str) -> DataFrame | None:
-    """The keys with more than the allowed rows as a small table, or None when there are none."""
-    limit = hot_rows(frame)
-    fraction = min(1.0, SAMPLE_TARGET / limit)
-    sampled = frame.select(key) if fraction == 1.0 else frame.select(key).sample(fraction, seed=7)
-    found = (
-        sampled.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .count()
-        .where(F.col("count") > limit * fraction)
-        .orderBy(F.desc("count"))
-        .limit(MAX_HOT)
-        .select(key)
-        .collect()
-    )
-    if not found:
-        return None
-    return frame.sparkSession.createDataFrame(found, frame.select(key).schema)
+def hot_keys(frame: DataFrame, key: str) -> DataFrame:
+    """The keys with more than the allowed rows, one row each: less than rows / ``hot_rows`` of them."""
+    counts = frame.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    return counts.where(F.col("rows") > hot_rows(frame)).select(key)
 
 
 def split_hot(frame: DataFrame, key: str, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of hot keys, all other rows). ``hot`` is at most MAX_HOT rows, hence the broadcast."""
+    """(rows of hot keys, all other rows)."""
     few = F.broadcast(hot)
     return frame.join(few, key, "left_semi"), frame.join(few, key, "left_anti")
 
 
-def join_by_key(frame: DataFrame, lookup: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+def join_by_key(frame: DataFrame, lookup: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """Left join with a table that has at most one row per key, safe when one key dominates.
 
-    Hot keys meet a broadcast of their own lookup rows (one each, so at most MAX_HOT); the others
-    are shuffled as usual.
+    Hot keys meet a broadcast of their own lookup rows, one each; the others are shuffled as usual.
     """
-    if hot is None:
-        return frame.join(lookup, key, "left")
     large, rest = split_hot(frame, key, hot)
     few = lookup.join(F.broadcast(hot), key, "left_semi")
     return large.join(F.broadcast(few), key, "left").unionByName(rest.join(lookup, key, "left"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.operators.backfill import fold_backfill
-from rivulet.operators.fold import fold
+from rivulet.operators.fold import PAGES_SETTING, fold
 from rivulet.operators.skew import HOT_ROWS_SETTING
 from rivulet.schemas import event_schema, snapshot_schema, stream_schema
 from tests.model import apply_all
@@ -97,8 +97,13 @@ def rows_of(state):
 
 @pytest.fixture
 def hot_limit(spark):
-    yield lambda n: spark.conf.set(HOT_ROWS_SETTING, str(n))
+    def limit(n):
+        spark.conf.set(HOT_ROWS_SETTING, str(n))
+        spark.conf.set(PAGES_SETTING, "13")
+
+    yield limit
     spark.conf.unset(HOT_ROWS_SETTING)
+    spark.conf.unset(PAGES_SETTING)
 
 
 @pytest.mark.parametrize("lane,seeded,hot", [
@@ -174,3 +179,17 @@ def test_backfill_equals_the_model_on_an_ordered_log(spark, hot_limit, lane, hot
     _, rows = apply_all([e for e in events if e["page_seq"] < 900], None, snapshot)
     log, _, known = frames(spark, events, None, snapshot, lane)
     assert rows_of(fold_backfill(log, known)) == rows
+
+
+def test_building_the_plan_starts_no_job(spark):
+    rng = random.Random(9)
+    log, _, known = frames(spark, make_events(rng, 100, 5, 10**9), None, make_rows(rng, 5, 0.5, 10**9, False), "number")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plans only")
+    try:
+        folded = fold(log, None, known)
+        folded.state.explain(True)
+        assert tracker.getJobIdsForGroup("building") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert folded.state.count() > 0
