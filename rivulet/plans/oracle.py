@@ -302,9 +302,8 @@ ORACLE: dict[str, str] = {
     "stream_state": STATE_SQL,
     "stream_state_incremental": STATE_SQL,
     "stream_state_backfill": f"WITH {fold_sql('pass = 0')} SELECT {STATE} FROM state",
-    "live_apply": f"""WITH {FOLD}
-        SELECT stream_id, total_amount::VARCHAR AS total_amount, withdrawn::VARCHAR AS withdrawn, start_time, end_time,
-               cliff_time, cancelled, created_ledger, updated_ledger, last_event_id FROM state""",
+    "live_apply": STATE_SQL,
+    "live_state": STATE_SQL,
     "created_inserts": f"""WITH {FOLD}
         SELECT k AS stream_id, event_id, sender, recipient, token, total_amount, start_time, end_time, cliff_time
         FROM done WHERE kind = 'created' AND outcome = 'applied'""",

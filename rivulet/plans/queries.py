@@ -17,7 +17,7 @@ from rivulet.schemas import EVENT_COLUMNS, OUTCOME_COLUMNS, STREAM_COLUMNS
 from rivulet.session import fresh_folder, shared_folder
 from rivulet.sources import pages, tables
 from rivulet.sources.mirror import MirrorStore
-from rivulet.streaming import live
+from rivulet.streaming import keyed, live
 
 AS_OF = 915_148_800  # 1999-01-01
 START_LEDGER = 9_131  # 1995-01-01
@@ -163,24 +163,59 @@ def missing_events(spark, sf_dir):
 LANDINGS = 3
 
 
-def live_apply(spark, sf_dir):
-    """The log as raw pages, landed in turns and drained by the live path after each of them."""
-    folder = fresh_folder(spark, "live")
+def _land_in_turns(spark, sf_dir, folder):
+    """The log as raw pages, landed in turns: yields after each of them."""
     stored = pages.encode_pages(_log(spark, sf_dir), CONTRACT).checkpoint()
     numbered = pages.number_pages(stored)
     last = numbered.agg(F.max("page_seq")).first()[0] + 1
-    snapshot = _texts(tables.snapshots(spark, sf_dir), "total_amount", "withdrawn").withColumn(
-        "stream_id", F.col("stream_id").cast("decimal(20,0)")
-    )
-    store = MirrorStore(spark, f"{folder}/mirror", buckets=16)
     for turn in range(LANDINGS):
         here = F.col("page_seq").between(turn * last // LANDINGS, (turn + 1) * last // LANDINGS - 1)
         pages.write_pages(numbered.where(here), f"{folder}/pages")
+        yield turn
+
+
+def _wire_snapshots(spark, sf_dir):
+    """Snapshots as the live path meets them: amounts as texts, parties as addresses."""
+    plain = _texts(tables.snapshots(spark, sf_dir), "total_amount", "withdrawn")
+    named = pages.with_party_addresses(plain, "sender", "recipient", "token")
+    return named.withColumn("stream_id", F.col("stream_id").cast("decimal(20,0)"))
+
+
+def _by_name(spark, sf_dir, streams):
+    """Rows of the live path with the names of their parties in place of addresses."""
+    known = tables.base_streams(spark, sf_dir).select("sender", "recipient", "token")
+    book = known.select(F.explode(F.array(*known.columns)).alias("name")).distinct()
+    book = pages.with_party_addresses(book.withColumn("address", F.col("name")), "address")
+    for party in known.columns:
+        own = book.select(F.col("address").alias(party), F.col("name").alias(f"{party}_name"))
+        streams = streams.join(own, party, "left").drop(party).withColumnRenamed(f"{party}_name", party)
+    return streams.withColumn("stream_id", F.col("stream_id").cast("bigint")).select(*STREAM_COLUMNS)
+
+
+def _live_store(spark, sf_dir):
+    """The store after the landed pages were drained in turns."""
+    folder = fresh_folder(spark, "live")
+    snapshot = _wire_snapshots(spark, sf_dir)
+    store = MirrorStore(spark, f"{folder}/mirror", buckets=16)
+    for _ in _land_in_turns(spark, sf_dir, folder):
         live.drain(
             spark, f"{folder}/pages", f"{folder}/log", f"{folder}/checkpoint", store, snapshot, CONTRACT, floor=START_LEDGER - 1
         )
-    columns = [c for c in STREAM_COLUMNS if c not in ("sender", "recipient", "token")]
-    return store.streams().withColumn("stream_id", F.col("stream_id").cast("bigint")).select(*columns)
+    return store
+
+
+def live_apply(spark, sf_dir):
+    """The log as raw pages, landed in turns and drained by the live path after each of them."""
+    return _by_name(spark, sf_dir, _live_store(spark, sf_dir).streams())
+
+
+def live_state(spark, sf_dir):
+    """The same landings through the stateful stream, whose rows live in the state store between runs."""
+    folder = fresh_folder(spark, "keyed")
+    snapshot = _wire_snapshots(spark, sf_dir)
+    for _ in _land_in_turns(spark, sf_dir, folder):
+        keyed.start(spark, f"{folder}/pages", f"{folder}/out", f"{folder}/checkpoint", snapshot, CONTRACT).awaitTermination()
+    return _by_name(spark, sf_dir, keyed.streams(spark, f"{folder}/out"))
 
 
 # -- failures -------------------------------------------------------------------------------------
@@ -370,6 +405,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_state_incremental": stream_state_incremental,
     "stream_state_backfill": stream_state_backfill,
     "live_apply": live_apply,
+    "live_state": live_state,
     "created_inserts": created_inserts,
     "withdrawal_totals": withdrawal_totals,
     "cancel_freeze": cancel_freeze,

@@ -5,8 +5,10 @@ number, and the one-file manifest of that version comes last: until it is there
 exist, so a batch that dies is simply run again.
 
     data/version=7/bucket=12/...     stream rows; a bucket stays valid until a later version rewrites it
+    events/version=7/...             the decoded events of the batch
     outcomes/version=7/...           what each event of the batch did
     failures/version=7/...           dead letters open after the batch
+    positions/version=7/...          the position after every page of the batch
     manifest/version=7/...           bucket -> version of its data, last page, position
 """
 
@@ -23,7 +25,7 @@ from rivulet.operators import failures as dead
 from rivulet.operators import position as pos
 from rivulet.operators.fold import fold
 from rivulet.operators.reads import parse_stream_id, stream_by_id
-from rivulet.schemas import OUTCOME_COLUMNS, STREAM_COLUMNS, stream_schema
+from rivulet.schemas import EVENT_COLUMNS, OUTCOME_COLUMNS, STREAM_COLUMNS, event_schema, stream_schema
 
 MANIFEST = T.StructType(
     [
@@ -34,8 +36,11 @@ MANIFEST = T.StructType(
         T.StructField("chain_ledger", T.LongType()),
         T.StructField("cursor", T.StringType()),
         T.StructField("bucket_count", T.IntegerType()),
+        T.StructField("seen_at", T.LongType()),
+        T.StructField("waiting_since", T.LongType()),
     ]
 )
+POSITIONS = "page_seq bigint, last_ledger bigint, chain_ledger bigint, cursor string, lag_ledgers bigint"
 FAILURES = "event_id string, kind string, stream_id string, ledger bigint, error string, failure_count bigint"
 NO_BUCKET = -1
 DEFAULT_BUCKETS = 64
@@ -43,7 +48,10 @@ DEFAULT_BUCKETS = 64
 
 @dataclass(frozen=True)
 class Version:
-    """A committed state of the store. ``buckets`` maps a bucket to the version of its data."""
+    """A committed state of the store. ``buckets`` maps a bucket to the version of its data.
+
+    ``high_page``, ``seen_at`` and ``waiting_since`` (the oldest arrival behind a gap) say which pages have been folded.
+    """
 
     number: int
     buckets: dict[int, int]
@@ -51,6 +59,8 @@ class Version:
     last_ledger: int | None
     chain_ledger: int | None
     cursor: str | None
+    seen_at: int = 0
+    waiting_since: int | None = None
 
 
 class MirrorStore:
@@ -95,7 +105,7 @@ class MirrorStore:
         rows = manifest.where(F.col("version") == number).collect()
         head = rows[0]
         kept = {r.bucket: r.data_version for r in rows if r.bucket != NO_BUCKET}
-        return Version(number, kept, head.high_page, head.last_ledger, head.chain_ledger, head.cursor)
+        return Version(number, kept, head.high_page, head.last_ledger, head.chain_ledger, head.cursor, head.seen_at or 0, head.waiting_since)
 
     def streams(self, version: Version | None = None, only: list[int] | None = None) -> DataFrame:
         """All stream rows, or those of some buckets."""
@@ -129,10 +139,17 @@ class MirrorStore:
         rows = [] if version.number == 0 else [(version.last_ledger, version.chain_ledger, version.cursor)]
         return self.spark.createDataFrame(rows, "last_ledger bigint, chain_ledger bigint, cursor string")
 
-    def apply(self, events: DataFrame, pages: DataFrame, high_page: int, snapshot=None, floor: int = 0) -> Version:
-        """Fold a batch in and commit it as the next version."""
+    def positions(self) -> DataFrame:
+        """The position as saved after every page of all committed versions."""
+        last = self.current().number
+        return self.spark.read.parquet(f"{self.path}/positions").where(F.col("version") <= last)
+
+    def apply(self, events: DataFrame, pages: DataFrame, high_page: int, snapshot=None, floor: int = 0, seen_at: int = 0, waiting_since: int | None = None, broken: DataFrame | None = None) -> Version:
+        """Fold a batch in and commit it as the next version. broken: failed attempts that are no events."""
         before = self.current()
         number = before.number + 1
+        self._write(events.select(*EVENT_COLUMNS), "events", number)  # decoded once, read several times
+        events = self.spark.read.schema(event_schema()).parquet(f"{self.path}/events/version={number}")
         touched = [r[0] for r in events.select(self.bucket_of(F.col("stream_id")).alias("b")).distinct().collect()]
         touched = [b for b in touched if b is not None]
         stored = self.streams(before, touched)
@@ -145,14 +162,16 @@ class MirrorStore:
             f"{self.path}/data/version={number}"
         )
         folded.classified.unpersist()
-        self._write(dead.open_failures(events, self.failures(before)), "failures", number)
+        attempts = events if broken is None else events.unionByName(broken.withColumn("kind", F.lit("unknown")), allowMissingColumns=True)
+        self._write(dead.open_failures(attempts, self.failures(before)), "failures", number)
 
         claimed = floor if before.last_ledger is None else before.last_ledger
-        now = pos.position(pos.page_progress(events, pages), claimed).first()
+        self._write(pos.position_history(pos.page_progress(events, pages), claimed), "positions", number)
+        saved = self.spark.read.schema(POSITIONS).parquet(f"{self.path}/positions/version={number}")
+        now = pos.last_position(saved, before.high_page, claimed, before.chain_ledger, before.cursor)
         written = self._written_buckets(number)
         moved = {**before.buckets, **{b: number for b in written}} or {NO_BUCKET: number}
-        last, chain, cursor = now if now else (claimed, before.chain_ledger, before.cursor)
-        rows = [(b, v, high_page, last, chain, cursor, self.buckets) for b, v in sorted(moved.items())]
+        rows = [(b, v, high_page, *now, self.buckets, seen_at, waiting_since) for b, v in sorted(moved.items())]
         manifest = self.spark.createDataFrame(rows, MANIFEST).coalesce(1)
         self._write(manifest, "manifest", number)
         return self.current()

@@ -4,25 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rivulet.functions import xdr
 from rivulet.schemas import RAW_PAGE
 
 PAGE_LIMIT = 100  # events the feed puts in a page
+BROKEN = "broken"
+
+
+LANDED_PAGE = T.StructType([*RAW_PAGE.fields, T.StructField(BROKEN, T.StringType())])
+
+
+def _landed(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    text = spark.read.text(path, wholetext=multi_line).where(F.length(F.trim("value")) > 0)
+    page = F.from_json("value", LANDED_PAGE, {"columnNameOfCorruptRecord": BROKEN})
+    return text.select(page.alias("page"), F.col("_metadata.file_path").alias("landing"))
 
 
 def read_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """All landed pages. ``multi_line`` reads files that hold one pretty-printed page each."""
-    return spark.read.schema(RAW_PAGE).option("multiLine", multi_line).json(path)
+    """All landed pages that can be read; see ``broken_pages``. ``multi_line`` reads files that hold one pretty-printed page each."""
+    return _landed(spark, path, multi_line).select("page.*").where(F.col(BROKEN).isNull()).drop(BROKEN)
+
+
+def broken_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """broken (the text), landing (its file): lines and files that are no pages; none is dropped silently."""
+    return _landed(spark, path, multi_line).select(f"page.{BROKEN}", "landing").where(F.col(BROKEN).isNotNull())
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """The same as an unbounded source, for the live path."""
-    reader = spark.readStream.schema(RAW_PAGE)
+    """Everything that lands as an unbounded source, for the live path: pages, or broken lines, with the file they came in."""
+    reader = spark.readStream.schema(LANDED_PAGE).option("columnNameOfCorruptRecord", BROKEN)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(path)
+    return reader.json(path).select("*", F.col("_metadata.file_path").alias("landing"))
 
 
 def parse_pages(text: DataFrame, column: str = "value") -> DataFrame:
@@ -38,16 +54,17 @@ def _wanted(contract: str | None):
     return test
 
 
-def page_events(pages: DataFrame, contract: str | None = None) -> DataFrame:
-    """One row ``(page_seq, pos, event)`` per contract event; others are dropped inside the page."""
+def page_events(pages: DataFrame, contract: str | None = None, *also: str) -> DataFrame:
+    """One row ``(page_seq, pos, event)`` per contract event, with further columns of its page; other events are dropped inside the page."""
     events = F.filter(F.col("result.events"), _wanted(contract))
-    return pages.select("page_seq", F.posexplode(events).alias("pos", "event"))
+    return pages.select("page_seq", *also, F.posexplode(events).alias("pos", "event"))
 
 
-def page_positions(pages: DataFrame) -> DataFrame:
+def page_positions(pages: DataFrame, *also: str) -> DataFrame:
     """What each page says of the feed: chain head, cursor, and how many events it holds."""
     return pages.select(
         "page_seq",
+        *also,
         F.col("result.latestLedger").alias("latest_ledger"),
         F.col("result.cursor").alias("cursor"),
         F.coalesce(F.size("result.events"), F.lit(0)).alias("events"),
@@ -71,6 +88,12 @@ def account_key(name: Column) -> Column:
     return F.upper(F.sha2(name, 256))
 
 
+def with_party_addresses(frame: DataFrame, *columns: str) -> DataFrame:
+    """The addresses that the wire form gives to parties that have only a name."""
+    hexed = frame.withColumns({f"_{c}": xdr.account_hex(account_key(F.col(c))) for c in columns})
+    return xdr.with_addresses(hexed, {c: f"_{c}" for c in columns}).drop(*(f"_{c}" for c in columns))
+
+
 def encode_event(contract: str, broken: Column) -> Column:
     """The raw form of a typed event whose amounts are below 2^63 and whose parties are names.
 

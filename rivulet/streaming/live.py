@@ -1,46 +1,61 @@
-"""The live path: pages land as files, a stream appends them to a typed log, batches fold the log.
+"""The live path: pages land as files, a stream copies them to a page log, drains fold what arrived.
 
-The stream does what needs no memory of the past (read, filter, decode) and writes an append-only
-Parquet log through the file sink, exactly once, resuming from its checkpoint. The fold is the batch
-fold over the pages that came in since the mirror's last version, seeded by that version. A batch
-that is run again, or a page that is landed twice, changes nothing: the guard in the fold has seen
-those ids. There is no watermark, since an event may come late by any amount.
+The stream reads each landed file once and appends its pages, as they are, to a Parquet log through the file sink,
+exactly once, resuming from its checkpoint. Every page gets the time of its micro-batch and the file it came in. A drain
+folds the pages that arrived since the drain before, seeded by the store's version, and the version remembers two marks:
 
-The file source takes files by modification time, not by page number, so a batch folds only up to
-the first page number that has not arrived, and the pages behind a gap wait for it.
+* ``seen_at``: all pages that arrived up to then have been looked at;
+* ``high_page``: all page numbers up to it have been folded, or given up for late.
+
+What is to be folded follows from the marks alone: a page that arrived after ``seen_at``, whatever its number, so one that comes late
+or lands again under its own number is folded too; and an older arrival above ``high_page``, which had waited behind a
+gap in the page numbers. The guard in the fold judges every event by its id, so repeated events change nothing, and a failed event that comes
+again is retried. There is no watermark, since an event may come late by any amount.
+
+Within a drain pages are taken in order of their numbers, copies of a page in the order of their arrival. Lines
+that are no pages go to the dead letters. The times come from the clock of the driver, and are kept from
+going back between runs of the stream.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from rivulet.operators.decode import decode_events
-from rivulet.schemas import EVENT_COLUMNS, event_schema
+from rivulet.schemas import RAW_PAGE
 from rivulet.sources.mirror import MirrorStore, Version
-from rivulet.sources.pages import page_events, page_positions, stream_pages
+from rivulet.sources.pages import BROKEN, page_events, page_positions, stream_pages
 
-PAGE, EVENT = "page", "event"
 PAGES_PER_BLOCK = 65_536
+COPY_SPAN = 65_536  # positions of an event in the nth copy of a page start at n times this
+HOUR = 3_600_000_000
 LOG_SCHEMA = T.StructType(
     [
-        *event_schema().fields,
-        T.StructField("latest_ledger", T.LongType()),
-        T.StructField("cursor", T.StringType()),
-        T.StructField("events", T.IntegerType()),
-        T.StructField("row_type", T.StringType()),
+        *RAW_PAGE.fields,
+        T.StructField(BROKEN, T.StringType()),
+        T.StructField("landing", T.StringType()),
+        T.StructField("arrived_at", T.LongType()),
+        T.StructField("arrived_hour", T.LongType()),
     ]
 )
+ARRIVAL = ["page_seq", "landing", "arrived_at"]
 
 
-def log_rows(pages: DataFrame, contract: str | None = None) -> DataFrame:
-    """A header row per page and a row per known event, in one frame so that both land together."""
-    headers = page_positions(pages).withColumn("row_type", F.lit(PAGE))
-    events = decode_events(page_events(pages, contract)).withColumn("row_type", F.lit(EVENT))
-    return headers.unionByName(events, allowMissingColumns=True).select(*LOG_SCHEMA.fieldNames())
+def _last_arrival(spark: SparkSession, log_dir: str) -> int:
+    """The newest arrival time in the log; reads the newest hour alone."""
+    try:
+        log = spark.read.parquet(log_dir)
+    except AnalysisException as problem:
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return 0
+    newest = log.agg(F.max("arrived_hour")).first()[0]
+    return log.where(F.col("arrived_hour") == newest).agg(F.max("arrived_at")).first()[0] if newest is not None else 0
 
 
 def start_ingest(
@@ -48,15 +63,16 @@ def start_ingest(
     pages_dir: str,
     log_dir: str,
     checkpoint_dir: str,
-    contract: str | None = None,
     files_per_batch: int | None = None,
     every: str | None = None,
 ) -> StreamingQuery:
     """Start the stream: until the landed pages are used up, or for good at an interval."""
-    rows = log_rows(stream_pages(spark, pages_dir, files_per_batch), contract)
+    now = F.greatest(F.unix_micros(F.current_timestamp()), F.lit(_last_arrival(spark, log_dir) + 1))
+    rows = stream_pages(spark, pages_dir, files_per_batch).withColumn("arrived_at", now)
+    rows = rows.withColumn("arrived_hour", F.floor(F.col("arrived_at") / HOUR)).select(*LOG_SCHEMA.fieldNames())
     writer = (
         rows.writeStream.format("parquet")
-        .partitionBy("row_type")
+        .partitionBy("arrived_hour")
         .option("path", log_dir)
         .option("checkpointLocation", checkpoint_dir)
         .outputMode("append")
@@ -64,9 +80,10 @@ def start_ingest(
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def read_log(spark: SparkSession, log_dir: str, row_type: str) -> DataFrame:
-    """Committed rows of the log of one type; the others' files are not opened."""
-    return spark.read.schema(LOG_SCHEMA).parquet(log_dir).where(F.col("row_type") == row_type)
+def read_log(spark: SparkSession, log_dir: str, since: int = 0) -> DataFrame:
+    """Committed pages of the log that arrived at ``since`` or later; earlier hours are not opened."""
+    log = spark.read.schema(LOG_SCHEMA).parquet(log_dir)
+    return log.where((F.col("arrived_hour") >= since // HOUR) & (F.col("arrived_at") >= since))
 
 
 def last_without_gap(pages: DataFrame, high: int) -> int:
@@ -91,6 +108,30 @@ def last_without_gap(pages: DataFrame, high: int) -> int:
     return high + first + run_length(rest, "n")
 
 
+def _is_page() -> Column:
+    return F.col(BROKEN).isNull() & F.col("page_seq").isNotNull()
+
+
+def broken_lines(log: DataFrame) -> DataFrame:
+    """Lines of the log that are no pages, as failed attempts; the text's digest stands for the event's id."""
+    text = F.coalesce(F.col(BROKEN), F.to_json("result"), F.lit(""))
+    return log.where(~_is_page()).select(
+        F.concat(F.lit("line-"), F.sha2(text, 256)).alias("event_id"),
+        F.concat(F.lit("not a page: "), F.substring(text, 1, 200)).alias("error"),
+        F.col("arrived_at").alias("page_seq"),
+        F.lit(0).alias("pos"),
+    )
+
+
+def with_copies(pages: DataFrame) -> DataFrame:
+    """pages with copy: 0 for the first arrival of a page number, 1 for the next, and so on."""
+    order = Window.partitionBy("page_seq").orderBy("arrived_at", "landing")
+    copies = pages.select(*ARRIVAL).distinct().withColumn("copy", F.row_number().over(order) - 1).where("copy > 0")
+    if not copies.limit(1).count():
+        return pages.withColumn("copy", F.lit(0))
+    return pages.join(copies, ARRIVAL, "left").withColumn("copy", F.coalesce("copy", F.lit(0)))
+
+
 def fold_arrived(
     spark: SparkSession,
     log_dir: str,
@@ -98,21 +139,33 @@ def fold_arrived(
     snapshot: DataFrame | None = None,
     hold_back_gaps: bool = True,
     floor: int = 0,
+    contract: str | None = None,
 ) -> Version:
-    """Fold the pages that arrived since the store's last version. No new page, no new version."""
+    """Fold the pages that arrived since the store's last version. Nothing to fold, no new version."""
     before = store.current()
-    pages = read_log(spark, log_dir, PAGE).where(F.col("page_seq") > before.high_page)
+    since = min(before.seen_at + 1, before.waiting_since or before.seen_at + 1)
+    log = read_log(spark, log_dir, since)
+    found = log.agg(F.max("arrived_at").alias("at"), F.max(F.when(_is_page(), F.col("page_seq"))).alias("page")).first()
+    if found["at"] is None or found["at"] <= before.seen_at:
+        return before
+    log = log.where(F.col("arrived_at") <= found["at"])
+    fresh, above = F.col("arrived_at") > before.seen_at, F.col("page_seq") > before.high_page
+    candidates = log.where(_is_page() & (fresh | above))
     if hold_back_gaps:
-        upto = last_without_gap(pages, before.high_page)
+        upto = last_without_gap(candidates, before.high_page)
     else:
-        upto = pages.agg(F.max("page_seq")).first()[0]
-    if upto is None or upto <= before.high_page:
+        upto = max(before.high_page, before.high_page if found["page"] is None else found["page"])
+    ready, broken = candidates.where(F.col("page_seq") <= upto), broken_lines(log.where(fresh))
+    if not ready.limit(1).count() and not broken.limit(1).count():
         return before
-    arrived = (F.col("page_seq") > before.high_page) & (F.col("page_seq") <= upto)
-    events = read_log(spark, log_dir, EVENT).where(arrived).select(*EVENT_COLUMNS)
-    # A page landed twice has two headers; any one will do.
-    headers = pages.where(arrived).select("page_seq", "latest_ledger", "cursor").dropDuplicates(["page_seq"])
-    return store.apply(events, headers, upto, snapshot, floor)
+    ready = with_copies(ready)
+    waiting_since = candidates.where(F.col("page_seq") > upto).agg(F.min("arrived_at")).first()[0]
+    numbered = page_events(ready, contract, "copy")
+    events = decode_events(numbered.withColumn("pos", F.col("pos") + F.col("copy") * COPY_SPAN).drop("copy"))
+    # Of the copies of a page the newest says what the feed was like.
+    last_copy = page_positions(ready, "copy").groupBy("page_seq").agg(F.max(F.struct("copy", "latest_ledger", "cursor")).alias("last"))
+    headers = last_copy.select("page_seq", "last.latest_ledger", "last.cursor")
+    return store.apply(events, headers, upto, snapshot, floor, found["at"], waiting_since, broken)
 
 
 def drain(
@@ -125,7 +178,8 @@ def drain(
     contract: str | None = None,
     files_per_batch: int | None = None,
     floor: int = 0,
+    hold_back_gaps: bool = True,
 ) -> Version:
     """Take in every landed page and fold it, then return: the backlog is used up."""
-    start_ingest(spark, pages_dir, log_dir, checkpoint_dir, contract, files_per_batch).awaitTermination()
-    return fold_arrived(spark, log_dir, store, snapshot, floor=floor)
+    start_ingest(spark, pages_dir, log_dir, checkpoint_dir, files_per_batch).awaitTermination()
+    return fold_arrived(spark, log_dir, store, snapshot, hold_back_gaps, floor, contract)

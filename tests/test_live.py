@@ -26,9 +26,9 @@ def landing(tmp_path, number, positions, twice=False):
     (folder / f"{number:06d}{'-again' if twice else ''}.json").write_text(json.dumps(page))
 
 
-def run(spark, tmp_path, store):
+def run(spark, tmp_path, store, **options):
     return live.drain(
-        spark, str(tmp_path / "pages"), str(tmp_path / "log"), str(tmp_path / "checkpoint"), store, files_per_batch=1
+        spark, str(tmp_path / "pages"), str(tmp_path / "log"), str(tmp_path / "checkpoint"), store, files_per_batch=1, **options
     )
 
 
@@ -127,3 +127,65 @@ def test_a_store_keeps_its_bucket_count(spark, tmp_path):
     assert again.buckets == 16 and again.stream("42").count() == 1
     with pytest.raises(ValueError):
         MirrorStore(spark, str(tmp_path / "mirror"), buckets=64)
+
+
+def rows(store):
+    return [(r.withdrawn, r.cancelled) for r in store.streams().orderBy("stream_id").collect()]
+
+
+def test_a_late_page_below_the_high_page_is_folded(spark, tmp_path):
+    store = MirrorStore(spark, str(tmp_path / "mirror"), buckets=2)
+    landing(tmp_path, 0, [0])
+    landing(tmp_path, 5, [])
+    first = run(spark, tmp_path, store, hold_back_gaps=False)
+    assert (first.high_page, rows(store)) == (5, [("0", False)])
+    landing(tmp_path, 3, [1])
+    last = run(spark, tmp_path, store, hold_back_gaps=False)
+    assert (last.number, last.high_page, last.cursor, rows(store)) == (2, 5, "none", [("25000000000000", False)])
+    assert run(spark, tmp_path, store, hold_back_gaps=False) == last
+
+
+def test_a_page_that_lands_again_retries_what_failed(spark, tmp_path):
+    store = MirrorStore(spark, str(tmp_path / "mirror"), buckets=2)
+    landing(tmp_path, 0, [0])
+    landing(tmp_path, 1, [1])
+    path = tmp_path / "pages" / "000001.json"
+    page = json.loads(path.read_text())
+    good = page["result"]["events"][0]["value"]
+    page["result"]["events"][0]["value"] = "AAAABQAAAABpFprn"
+    path.write_text(json.dumps(page))
+    run(spark, tmp_path, store)
+    assert rows(store) == [("0", False)] and [r.failure_count for r in store.failures().collect()] == [1]
+    page["result"]["events"][0]["value"] = good
+    (tmp_path / "pages" / "000001-again.json").write_text(json.dumps(page))
+    again = run(spark, tmp_path, store)
+    assert (again.number, again.high_page) == (2, 1)
+    assert rows(store) == [("25000000000000", False)] and store.failures().count() == 0
+    (tmp_path / "pages" / "000001-once-more.json").write_text(json.dumps(page))
+    run(spark, tmp_path, store)  # now a duplicate
+    assert rows(store) == [("25000000000000", False)]
+    assert [(r.page_seq, r.last_ledger) for r in store.positions().where("version = 1").orderBy("page_seq").collect()] == [(0, 56123890), (1, 56123890)]
+
+
+def test_pages_that_waited_behind_a_gap_are_folded_later(spark, tmp_path):
+    store = MirrorStore(spark, str(tmp_path / "mirror"), buckets=2)
+    landing(tmp_path, 0, [0])
+    landing(tmp_path, 2, [1])
+    first = run(spark, tmp_path, store)
+    assert first.high_page == 0 and first.waiting_since
+    landing(tmp_path, 1, [])
+    last = run(spark, tmp_path, store)
+    assert (last.high_page, last.waiting_since, rows(store)) == (2, None, [("25000000000000", False)])
+
+
+def test_a_broken_line_is_kept_and_counted(spark, tmp_path):
+    store = MirrorStore(spark, str(tmp_path / "mirror"), buckets=2)
+    landing(tmp_path, 0, [0, 1])
+    (tmp_path / "pages" / "bad.json").write_text('{"page_seq": 7, "result": {"events": [\nno page at all\n{"result": {"cursor": "x"}}\n')
+    run(spark, tmp_path, store)
+    letters = store.failures().orderBy("error").collect()
+    assert len(letters) == 3 and {r.kind for r in letters} == {"unknown"} and all(r.failure_count == 1 for r in letters)
+    assert any("no page at all" in r.error for r in letters)
+    assert rows(store) == [("25000000000000", False)]
+    assert pages.broken_pages(spark, str(tmp_path / "pages")).count() == 2
+    assert pages.read_pages(spark, str(tmp_path / "pages")).where("page_seq is not null").count() == 1
