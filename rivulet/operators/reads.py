@@ -6,7 +6,7 @@ import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,11 +14,6 @@ from rivulet.functions.vesting import VIEW_COLUMNS, view
 
 DEFAULT_LIMIT = 50
 MAX_LIMIT = 100
-# Deeper pages are first located by counting ids per range, since a top-k keeps offset + limit rows
-# of every task in memory.
-DEEP_OFFSET = 1_000_000
-RANGES = 1024
-
 _NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
 _RADIX = re.compile(r"0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+")
 
@@ -80,40 +75,8 @@ def filter_streams(
 
 def list_streams(streams: DataFrame, limit=None, offset=None, **parties: str | None) -> DataFrame:
     """One page of matching streams, newest id first."""
-    matching = filter_streams(streams, **parties)
     take, skip = parse_limit(limit), parse_offset(offset)
-    if skip > DEEP_OFFSET:
-        matching, skip = _seek(matching, skip)
-    return matching.orderBy(F.desc("stream_id")).offset(skip).limit(take)
-
-
-def _seek(streams: DataFrame, skip: int) -> tuple[DataFrame, int]:
-    """Drop the ids that lie before a deep page, and say how many rows are still to skip."""
-    low, high = streams.agg(F.min("stream_id"), F.max("stream_id")).first()
-    if low is None:
-        return streams, skip
-    low, high = int(low), int(high)
-    while skip > DEEP_OFFSET and high > low:
-        width = -(-(high - low + 1) // RANGES)
-        inside = (F.col("stream_id") >= _id(streams, low)) & (F.col("stream_id") <= _id(streams, high))
-        slot = F.floor((F.lit(str(high)).cast("decimal(20,0)") - F.col("stream_id")) / width)
-        counts = dict(map(tuple, streams.where(inside).groupBy(slot.cast("bigint").alias("slot")).count().collect()))
-        before = 0
-        for slot_no in range(RANGES):
-            here = counts.get(slot_no, 0)
-            if before + here > skip:
-                break
-            before += here
-        else:
-            return streams.where(F.lit(False)), 0
-        skip -= before
-        high -= slot_no * width
-        low = max(low, high - width + 1)
-    return streams.where(F.col("stream_id") <= _id(streams, high)), skip
-
-
-def _id(streams: DataFrame, value: int) -> Column:
-    return F.lit(str(value)).cast(streams.schema["stream_id"].dataType)
+    return filter_streams(streams, **parties).orderBy(F.desc("stream_id")).offset(skip).limit(take)
 
 
 def count_streams(streams: DataFrame, **parties: str | None) -> DataFrame:
@@ -126,12 +89,17 @@ def stream_page(streams: DataFrame, as_of=None, limit=None, offset=None, **parti
 
     Page and count meet in one small aggregate, so both come from the same version of the table.
     """
-    shown = list_streams(streams, limit, offset, **parties)
-    views = view(shown, as_of).select(F.struct(*VIEW_COLUMNS).alias("view"), F.lit(None).cast("bigint").alias("total"))
-    count = count_streams(streams, **parties).select(F.lit(None).cast(views.schema["view"].dataType).alias("view"), "total")
+    views = view(list_streams(streams, limit, offset, **parties), as_of).select(F.struct(*VIEW_COLUMNS).alias("view"))
+    return envelope(views, count_streams(streams, **parties), limit, offset)
+
+
+def envelope(views: DataFrame, count: DataFrame, limit=None, offset=None) -> DataFrame:
+    """One row of at most MAX_LIMIT views (view) and a one-row count (total)."""
+    shown = views.withColumn("total", F.lit(None).cast("bigint"))
+    count = count.select(F.lit(None).cast(views.schema["view"].dataType).alias("view"), "total")
     rank = F.struct((-F.col("view.id").cast("decimal(20,0)")).alias("rank"), F.col("view").alias("view"))
     return (
-        views.unionByName(count)
+        shown.unionByName(count)
         .agg(F.sort_array(F.collect_list(F.when(F.col("view").isNotNull(), rank))).alias("ranked"), F.max("total").alias("total"))
         .select(
             F.transform("ranked", lambda r: r["view"]).alias("streams"),

@@ -332,6 +332,7 @@ ORACLE: dict[str, str] = {
     "streams_by_token": listed(f"token = '{TOKEN}'"),
     "streams_by_all": listed(f"(sender, recipient, token) = (SELECT (sender, recipient, token) FROM base WHERE k = {STREAM_ID})"),
     "streams_page": listed(limit=50, offset=100),
+    "streams_deep_page": listed(limit=100, offset=1200),
     "streams_count": f"WITH {FOLD} SELECT count(*) AS total FROM state WHERE token = '{TOKEN}'",
     "streams_envelope": f"""WITH {VALUED},
         matching AS (SELECT * FROM viewed WHERE token = '{TOKEN}'),

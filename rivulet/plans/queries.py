@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions import vesting
-from rivulet.operators import failures, metrics, position, reads
+from rivulet.operators import failures, metrics, position
 from rivulet.operators.backfill import fold_backfill
 from rivulet.operators.decode import decode_events, keep_known
 from rivulet.operators.fold import KINDS, Folded, fold
@@ -17,6 +17,7 @@ from rivulet.schemas import EVENT_COLUMNS, OUTCOME_COLUMNS, STREAM_COLUMNS
 from rivulet.session import fresh_folder, shared_folder
 from rivulet.sources import pages, tables
 from rivulet.sources.mirror import MirrorStore
+from rivulet.sources.stored import StoredStreams
 from rivulet.streaming import keyed, live
 
 AS_OF = 915_148_800  # 1999-01-01
@@ -96,10 +97,9 @@ def stream_state(spark, sf_dir):
 
 
 def stream_state_incremental(spark, sf_dir):
-    """Pass 0 into a stored mirror, then pass 1 on top of it."""
-    shared_folder(spark)
+    """Pass 0 into stored rows bucketed by stream id, then pass 1 on top of them."""
     snapshot = tables.snapshots(spark, sf_dir)
-    mirror = fold(tables.event_log(spark, sf_dir, (0,)), None, snapshot).state.checkpoint()
+    mirror = StoredStreams.write(fold(tables.event_log(spark, sf_dir, (0,)), None, snapshot).state).streams
     state = fold(tables.event_log(spark, sf_dir, (1,)), mirror, snapshot).state
     return _texts(state, "total_amount", "withdrawn")
 
@@ -261,12 +261,23 @@ def status_report(spark, sf_dir):
 # -- reads ----------------------------------------------------------------------------------------
 
 
+_STORED: dict[tuple[str, str], StoredStreams] = {}
+
+
+def _stored(spark, sf_dir) -> StoredStreams:
+    """The folded streams in their layouts for look-ups, written once a session; all reads share them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = StoredStreams.write(_state(spark, sf_dir))
+    return _STORED[key]
+
+
 def stream_by_id(spark, sf_dir):
-    return vesting.view(reads.stream_by_id(_state(spark, sf_dir), STREAM_ID), AS_OF)
+    return vesting.view(_stored(spark, sf_dir).by_id(STREAM_ID), AS_OF)
 
 
 def _listed(spark, sf_dir, **arguments):
-    return vesting.view(reads.list_streams(_state(spark, sf_dir), **arguments), AS_OF)
+    return vesting.view(_stored(spark, sf_dir).listed(**arguments), AS_OF)
 
 
 def streams_by_sender(spark, sf_dir):
@@ -283,7 +294,7 @@ def streams_by_token(spark, sf_dir):
 
 def streams_by_all(spark, sf_dir):
     """Filter by the three parties of one known stream."""
-    known = tables.base_streams(spark, sf_dir).where(F.col("stream_id") == STREAM_ID).first()
+    known = _stored(spark, sf_dir).by_id(STREAM_ID).first()
     return _listed(spark, sf_dir, sender=known.sender, recipient=known.recipient, token=known.token)
 
 
@@ -291,12 +302,17 @@ def streams_page(spark, sf_dir):
     return _listed(spark, sf_dir, limit="50", offset="100")
 
 
+def streams_deep_page(spark, sf_dir):
+    """A page far down the list, found by the counts of its ranges."""
+    return _listed(spark, sf_dir, limit="100", offset="1200")
+
+
 def streams_count(spark, sf_dir):
-    return reads.count_streams(_state(spark, sf_dir), token=TOKEN)
+    return _stored(spark, sf_dir).count(token=TOKEN)
 
 
 def streams_envelope(spark, sf_dir):
-    page = reads.stream_page(_state(spark, sf_dir), AS_OF, limit="20", offset="10", token=TOKEN)
+    page = _stored(spark, sf_dir).page(AS_OF, limit="20", offset="10", token=TOKEN)
     return page.withColumn("streams", F.to_json("streams"))
 
 
@@ -424,6 +440,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "streams_by_token": streams_by_token,
     "streams_by_all": streams_by_all,
     "streams_page": streams_page,
+    "streams_deep_page": streams_deep_page,
     "streams_count": streams_count,
     "streams_envelope": streams_envelope,
     "vesting_asof": vesting_asof,

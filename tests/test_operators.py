@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rivulet.operators import failures, metrics, position, reads
 from rivulet.operators.skew import HOT_ROWS_SETTING
+from rivulet.sources.stored import StoredStreams
 from rivulet.schemas import event_schema, stream_schema
 
 EVENTS = "page_seq long, pos int, event_id string, kind string, stream_id long, ledger long, error string"
@@ -155,14 +156,14 @@ def test_lists_pages_and_counts(spark):
     assert (empty.streams, empty.total) == ([], 0)
 
 
-def test_deep_pages(spark, monkeypatch):
+def test_deep_pages(spark):
     table = streams(spark, 200).where("stream_id % 7 <> 3")
     every = [r.stream_id for r in table.orderBy(F.desc("stream_id")).collect()]
-    monkeypatch.setattr(reads, "DEEP_OFFSET", 4)
-    monkeypatch.setattr(reads, "RANGES", 3)
-    for skip in (5, 17, 100, len(every) - 2, len(every), 5000):
+    stored = StoredStreams.write(table, buckets=4, ranges=9)
+    for skip in (0, 5, 17, 100, len(every) - 2, len(every), 5000):
         got = [r.stream_id for r in reads.list_streams(table, 10, skip).collect()]
         assert got == every[skip : skip + 10]
+        assert [r.stream_id for r in stored.listed(10, skip).collect()] == got
 
 
 def test_by_id(spark):
