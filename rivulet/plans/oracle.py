@@ -57,19 +57,21 @@ snap AS (
 )"""
 
 
-def fold_sql(passes: str = "TRUE") -> str:
+def fold_sql(passes: str = "TRUE", failed: bool = False) -> str:
+    """The fold of some passes; failed: failed attempts stay in ``done``, apart from the others."""
+    kept, own = ("TRUE", "k, failed") if failed else ("NOT failed", "k")
     return f"""{BASE},
 numbered AS (
   SELECT log.*, snap.k IS NOT NULL AS known,
-         row_number() OVER (PARTITION BY log.k ORDER BY page_seq, event_id) AS n
-  FROM log LEFT JOIN snap ON snap.k = log.k WHERE NOT failed AND {passes}
+         row_number() OVER (PARTITION BY {own.replace("k", "log.k", 1)} ORDER BY page_seq, event_id) AS n
+  FROM log LEFT JOIN snap ON snap.k = log.k WHERE {kept} AND {passes}
 ),
 seeded AS (
-  SELECT *, min(CASE WHEN kind = 'created' OR known THEN n END) OVER (PARTITION BY k) AS seed FROM numbered
+  SELECT *, min(CASE WHEN kind = 'created' OR known THEN n END) OVER (PARTITION BY {own}) AS seed FROM numbered
 ),
 guarded AS (
   SELECT *, max(CASE WHEN n = seed OR (n > seed AND kind <> 'created') THEN event_id END)
-              OVER (PARTITION BY k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+              OVER (PARTITION BY {own} ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
   FROM seeded
 ),
 done AS (
@@ -92,7 +94,8 @@ keyed AS (
          arg_max(ledger, n) FILTER (WHERE outcome IN ('applied', 'reconciled')) AS updated_ledger,
          arg_max(event_id, n) FILTER (WHERE outcome IN ('applied', 'reconciled')) AS last_event_id,
          max(ledger) FILTER (WHERE n = seed) AS created_ledger,
-         max(kind) FILTER (WHERE n = seed) AS seed_kind
+         max(kind) FILTER (WHERE n = seed) AS seed_kind,
+         max(event_id) FILTER (WHERE n = seed) AS seed_id
   FROM summed GROUP BY k
 ),
 state AS (
@@ -101,7 +104,7 @@ state AS (
          (moved + b.drawn)::HUGEINT AS withdrawn,
          base.s AS start_time, coalesce(cancelled_at, base.s + 365 * 86400) AS end_time,
          base.s + 86400 * 30 * (keyed.k % 4) AS cliff_time,
-         cancelled_at IS NOT NULL AS cancelled, created_ledger, updated_ledger, last_event_id
+         cancelled_at IS NOT NULL AS cancelled, created_ledger, updated_ledger, last_event_id, seed_kind, seed_id
   FROM keyed JOIN base ON base.k = keyed.k
   JOIN (SELECT k, CASE WHEN seed_kind = 'created' THEN 0 ELSE base.total // 20 END AS drawn
         FROM keyed JOIN base USING (k)) AS b ON b.k = keyed.k
@@ -295,9 +298,9 @@ ORACLE: dict[str, str] = {
         SELECT {event_fields('a.strkey AS sender, b.strkey AS recipient, c.strkey AS token', True)}, NULL::VARCHAR AS error
         FROM log LEFT JOIN keys AS a ON a.name = log.sender LEFT JOIN keys AS b ON b.name = log.recipient
         LEFT JOIN keys AS c ON c.name = log.token WHERE pass = 0""",
-    "apply_outcomes": f"""WITH {FOLD}
-        SELECT page_seq, event_id, kind, k AS stream_id, ledger, outcome FROM done
-        UNION ALL SELECT page_seq, event_id, kind, k, ledger, 'failed' FROM log WHERE failed""",
+    # Failed attempts are a partition of their own, so that the log is read once.
+    "apply_outcomes": f"""WITH {fold_sql(failed=True)}
+        SELECT page_seq, event_id, kind, k AS stream_id, ledger, CASE WHEN failed THEN 'failed' ELSE outcome END AS outcome FROM done""",
     "outcome_counts": f'WITH {FOLD} SELECT kind, outcome, count(*) AS "value" FROM done GROUP BY ALL',
     "stream_state": STATE_SQL,
     "stream_state_incremental": STATE_SQL,
@@ -313,11 +316,19 @@ ORACLE: dict[str, str] = {
     "cancel_freeze": f"""WITH {FOLD}
         SELECT stream_id, total_amount::VARCHAR AS total_amount, withdrawn::VARCHAR AS withdrawn, end_time,
                updated_ledger, last_event_id FROM state WHERE cancelled""",
-    "replay_is_noop": f"WITH {BASE} SELECT kind, count(*) AS replayed, 0::BIGINT AS changed FROM log WHERE NOT failed GROUP BY kind",
+    "replay_is_noop": f"""WITH {FOLD},
+        again AS (
+          SELECT log.kind, log.event_id, state.stream_id IS NOT NULL AS stored, last_event_id, snap.k IS NOT NULL AS known
+          FROM log LEFT JOIN state ON state.stream_id = log.k LEFT JOIN snap ON snap.k = log.k WHERE NOT failed
+        )
+        SELECT kind, count(*) AS replayed,
+               count(*) FILTER (WHERE CASE WHEN stored THEN kind <> 'created' AND event_id > last_event_id ELSE kind = 'created' OR known END) AS changed
+        FROM again GROUP BY kind""",
+    # A stream is reconciled by its seed, unless that is its creation.
     "reconciled_streams": f"""WITH {FOLD}
-        SELECT stream_id, event_id, ledger, state.sender, state.total_amount::VARCHAR AS total_amount,
-               state.withdrawn::VARCHAR AS withdrawn, created_ledger
-        FROM (SELECT k, event_id, ledger FROM done WHERE outcome = 'reconciled') AS r JOIN state ON state.stream_id = r.k""",
+        SELECT stream_id, seed_id AS event_id, created_ledger AS ledger, sender, total_amount::VARCHAR AS total_amount,
+               withdrawn::VARCHAR AS withdrawn, created_ledger
+        FROM state WHERE seed_kind <> 'created'""",
     "missing_events": f"WITH {FOLD} SELECT page_seq, event_id, k AS stream_id, ledger FROM done WHERE outcome = 'missing'",
     "failed_events": f"WITH {FAILURES} SELECT * FROM stuck",
     "failed_events_open": f"WITH {FAILURES} SELECT * FROM waiting",
