@@ -71,11 +71,12 @@ def with_vested(streams: DataFrame, as_of: int | Column | None = None) -> DataFr
         {
             "_total": total,
             "_partly": ~nothing & (now < F.col("end_time")),
-            "_elapsed": now - F.col("start_time"),
-            "_duration": F.expr("nullif(end_time - start_time, 0L)"),
         }
     ).withColumns(
         {
+            # Of rows that are partly vested alone: there the duration is above the elapsed time, which is below 2^63.
+            "_elapsed": F.when(F.col("_partly"), now - F.col("start_time")).cast("decimal(19,0)"),
+            "_duration": F.when(F.col("_partly"), F.col("end_time") - F.col("start_time")).cast("decimal(20,0)"),
             "_short": F.expr(
                 f"CASE WHEN _partly AND length(_total) <= {SMALL_DIGITS} THEN cast(_total AS decimal(18,0)) END"
             ),
@@ -88,7 +89,7 @@ def with_vested(streams: DataFrame, as_of: int | Column | None = None) -> DataFr
         .when(~F.col("_partly"), F.col("_total"))
         .when(
             F.col("_short").isNotNull(),
-            F.expr("cast((_short * cast(_elapsed AS decimal(19,0))) div cast(_duration AS decimal(19,0)) AS string)"),
+            F.expr("cast((_short * _elapsed) div _duration AS string)"),
         )
         .otherwise(F.col("_product"))
     )
@@ -99,28 +100,36 @@ def _long_product(staged: DataFrame) -> DataFrame:
     """``_product`` = text of floor(total * elapsed / duration) for rows that have ``_limbs``.
 
     With total = quotient * duration + rest, the product is quotient * elapsed plus the small
-    floor(rest * elapsed / duration). Every ``div`` below has a result under 2^63, as it must.
+    floor(rest * elapsed / duration), in which elapsed is taken in two parts, since rest may have 20 digits
+    and elapsed 19. Every ``div`` below has a result under 2^63, as it must.
     """
-    limb = f"cast({BASE} AS decimal(14,0))"
-    e, d = "cast(_elapsed AS decimal(19,0))", "cast(_duration AS decimal(19,0))"
+    limb, part = f"cast({BASE} AS decimal(14,0))", "cast(1000000000 AS decimal(10,0))"
 
     def next_limb(rest: str, value: str) -> str:
-        return f"(cast({rest} AS decimal(19,0)) * {limb} + cast({value} AS decimal(13,0)))"
+        return f"({rest} * {limb} + cast({value} AS decimal(13,0)))"
+
+    def rest(value: str) -> str:
+        return f"cast({value} % _duration AS decimal(20,0))"
 
     steps = [
         {
-            "_l0": f"cast(left(_limbs, length(_limbs) - {2 * BASE_DIGITS}) AS bigint)",
+            "_l0": f"cast(left(_limbs, length(_limbs) - {2 * BASE_DIGITS}) AS decimal(18,0))",
             "_l1": f"cast(substring(_limbs, -{2 * BASE_DIGITS}, {BASE_DIGITS}) AS bigint)",
             "_l2": f"cast(right(_limbs, {BASE_DIGITS}) AS bigint)",
+            "_e1": f"cast(_elapsed div {part} AS decimal(10,0))",
+            "_e0": f"cast(_elapsed % {part} AS decimal(9,0))",
         },
-        {"_q0": "_l0 div _duration", "_r0": "_l0 % _duration"},
+        {"_q0": "_l0 div _duration", "_r0": rest("_l0")},
         {"_n1": next_limb("_r0", "_l1")},
-        {"_q1": f"_n1 div {d}", "_r1": f"cast(_n1 % {d} AS bigint)"},
+        {"_q1": "_n1 div _duration", "_r1": rest("_n1")},
         {"_n2": next_limb("_r1", "_l2")},
-        {"_q2": f"_n2 div {d}", "_r2": f"cast(_n2 % {d} AS bigint)"},
-        {"_p2": f"cast(_q2 AS decimal(13,0)) * {e} + ((cast(_r2 AS decimal(19,0)) * {e}) div {d})"},
-        {"_p1": f"cast(_q1 AS decimal(13,0)) * {e} + (_p2 div {limb})"},
-        {"_p0": f"cast(_q0 AS decimal(18,0)) * {e} + (_p1 div {limb})"},
+        {"_q2": "_n2 div _duration", "_r2": rest("_n2")},
+        {"_m1": "_r2 * _e1"},
+        {"_g1": "_m1 div _duration", "_h1": rest("_m1")},
+        {"_g0": f"(_h1 * {part} + _r2 * _e0) div _duration"},
+        {"_p2": f"cast(_q2 AS decimal(13,0)) * _elapsed + cast(_g1 AS decimal(10,0)) * {part} + cast(_g0 AS decimal(10,0))"},
+        {"_p1": f"cast(_q1 AS decimal(13,0)) * _elapsed + (_p2 div {limb})"},
+        {"_p0": f"cast(_q0 AS decimal(18,0)) * _elapsed + (_p1 div {limb})"},
     ]
     for step in steps:
         staged = staged.withColumns({name: F.expr(text) for name, text in step.items()})

@@ -1,10 +1,9 @@
 """Window-free fold for a first load: an empty mirror and a log that arrives in chain order.
 
 Arrival order then equals id order, so the seed is a minimum, the last cancellation a maximum, and
-both totals are plain sums. Everything is combined on the map side before it is shuffled, so a single
-stream that holds most of the log costs no more than many small ones, and no window orders the events
-of a stream. It reads the log once per aggregate, narrow; where no stream is large, the windowed fold
-with its one shuffle is the faster of the two.
+both totals are plain sums. One grouped aggregate finds where each stream starts and where it was last cancelled, a second one sums what
+lies behind that. Both are combined on the map side before they are shuffled, and no window orders the events
+of a stream, so a single stream that holds most of the log costs no more than many small ones.
 """
 
 from __future__ import annotations
@@ -21,25 +20,7 @@ def fold_backfill(events: DataFrame, snapshot: DataFrame | None = None, unique:
     """State of every stream. ``unique`` promises that no event occurs twice and saves a shuffle."""
     lane = lane_of(events, "amount")
     rows = with_step(split_failed(events)[0], lane)
-    hot = hot_keys(rows, "stream_id")
-    seeds = _seeds(rows, snapshot)
-    cancels = (
-        join_by_key(
-            rows.where(F.col("kind") == "cancelled").select("stream_id", "event_id", "closed_at"),
-            seeds.select("stream_id", "seed_id"),
-            "stream_id",
-            hot,
-        )
-        .where("event_id > seed_id")
-        .groupBy("stream_id")
-        .agg(F.max(F.struct("event_id", "closed_at")).alias("cancel"))
-    )
-    bounds = seeds.join(cancels, "stream_id", "left").select(
-        "stream_id",
-        "seed_id",
-        F.col("cancel.event_id").alias("cancel_id"),
-        F.col("cancel.closed_at").alias("cancelled_at"),
-    )
+    bounds = _bounds(rows, snapshot)
     steps = [f"step_{n}" for n in lane.names]
     moves = rows.where(F.col("kind") != "created").select("stream_id", "event_id", "ledger", *steps)
     if not unique:
@@ -48,7 +29,7 @@ def fold_backfill(events: DataFrame, snapshot: DataFrame | None = None, unique:
         moves = moves.groupBy("stream_id", "event_id").agg(*[F.max(c).alias(c) for c in ("ledger", *steps)])
     upto_cancel = F.col("event_id") <= F.col("cancel_id")
     sums = (
-        join_by_key(moves, bounds.select("stream_id", "seed_id", "cancel_id"), "stream_id", hot)
+        join_by_key(moves, bounds.select("stream_id", "seed_id", "cancel_id"), "stream_id", hot_keys(moves, "stream_id"))
         .where("event_id > seed_id")
         .groupBy("stream_id")
         .agg(
@@ -61,8 +42,7 @@ def fold_backfill(events: DataFrame, snapshot: DataFrame | None = None, unique:
         )
     )
     deltas = (
-        seeds.join(bounds.drop("seed_id"), "stream_id", "left")
-        .join(sums, "stream_id", "left")
+        bounds.join(sums, "stream_id", "left")
         .select(
             "stream_id",
             "seed",
@@ -77,32 +57,27 @@ def fold_backfill(events: DataFrame, snapshot: DataFrame | None = None, unique:
     return next_state(deltas, None, snapshot, lane)
 
 
-def _seeds(rows: DataFrame, snapshot: DataFrame | None) -> DataFrame:
-    """The event each stream starts from: its first ``created`` or, with a snapshot, its first event."""
-    seed = F.struct(F.struct(*CREATED_FIELDS).alias("own"), F.col("ledger").alias("created_ledger"))
-    starts = (
-        rows.where(F.col("kind") == "created")
-        .select("stream_id", "event_id", seed.alias("seed"))
-        .groupBy("stream_id")
-        .agg(F.min(F.struct("event_id", "seed", F.col("event_id").alias("guard_id"))).alias("first"))
+def _bounds(rows: DataFrame, snapshot: DataFrame | None) -> DataFrame:
+    """Per stream its seed (the first ``created`` or, with a snapshot, the first event) and its last cancellation after that."""
+    own = F.struct(*CREATED_FIELDS)
+    created, cancelled = F.col("kind") == "created", F.col("kind") == "cancelled"
+    first = rows.groupBy("stream_id").agg(
+        F.min(F.when(created, F.struct("event_id", own.alias("own"), "ledger"))).alias("birth"),
+        F.min(F.when(~created, F.struct("event_id", "ledger"))).alias("delta"),
+        F.max(F.when(cancelled, F.struct("event_id", "closed_at"))).alias("cancel"),
     )
-    if snapshot is not None:
-        nothing = F.lit(None).cast(starts.schema["first"].dataType["seed"].dataType["own"].dataType)
-        # events inside the snapshot are not added again
+    if snapshot is None:
+        first = first.withColumn("on_chain", F.lit(False)).withColumn("as_of", F.lit(None).cast("string"))
+    else:
         as_of = F.col("as_of_event_id") if "as_of_event_id" in snapshot.columns else F.lit(None).cast("string")
-        adopted = (
-            rows.where(F.col("kind") != "created")
-            .groupBy("stream_id")
-            .agg(F.min(F.struct("event_id", "ledger")).alias("first"))
-            .join(snapshot.groupBy("stream_id").agg(F.max(as_of).alias("as_of")), "stream_id")
-            .select(
-                "stream_id",
-                F.struct(
-                    F.col("first.event_id"),
-                    F.struct(nothing.alias("own"), F.col("first.ledger").alias("created_ledger")).alias("seed"),
-                    F.greatest("first.event_id", "as_of").alias("guard_id"),
-                ).alias("first"),
-            )
-        )
-        starts = starts.unionByName(adopted).groupBy("stream_id").agg(F.min("first").alias("first"))
-    return starts.select("stream_id", F.col("first.guard_id").alias("seed_id"), F.col("first.event_id").alias("seed_event"), F.col("first.seed").alias("seed"))
+        known = snapshot.groupBy("stream_id").agg(F.max(as_of).alias("as_of"), F.lit(True).alias("on_chain"))
+        first = first.join(known, "stream_id", "left")
+    # An adopted stream starts at its first delta, if that comes before its creation; events inside the snapshot are not added again.
+    adopted = F.coalesce("on_chain", F.lit(False)) & F.col("delta").isNotNull() & (F.col("birth").isNull() | (F.col("delta.event_id") < F.col("birth.event_id")))
+    seeds = first.withColumn("adopted", adopted).where(F.col("adopted") | F.col("birth").isNotNull())
+    seed_event = F.when(F.col("adopted"), F.col("delta.event_id")).otherwise(F.col("birth.event_id"))
+    seed_id = F.when(F.col("adopted"), F.greatest("delta.event_id", "as_of")).otherwise(F.col("birth.event_id"))
+    seed = F.struct(F.when(~F.col("adopted"), F.col("birth.own")).alias("own"), F.when(F.col("adopted"), F.col("delta.ledger")).otherwise(F.col("birth.ledger")).alias("created_ledger"))
+    seeds = seeds.select("stream_id", seed_id.alias("seed_id"), seed_event.alias("seed_event"), seed.alias("seed"), "cancel")
+    last = F.when(F.col("cancel.event_id") > F.col("seed_id"), F.col("cancel"))
+    return seeds.withColumn("cancel", last).select("stream_id", "seed_id", "seed_event", "seed", F.col("cancel.event_id").alias("cancel_id"), F.col("cancel.closed_at").alias("cancelled_at"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rivulet.functions import xdr
 from rivulet.functions.stage import settle
 from rivulet.operators.fold import KINDS
-from rivulet.schemas import EVENT_COLUMNS, STREAM_ID
+from rivulet.schemas import EVENT_COLUMNS, STREAM_ID, TIME
 
 # Which value-map fields each kind must carry.
 VALUE_FIELDS = {
@@ -93,7 +93,7 @@ def decode_events(raw: DataFrame) -> DataFrame:
     staged = xdr.with_addresses(staged, {name: f"_{name}" for name in ADDRESSES})
     staged = staged.withColumns(
         {
-            **{name: xdr.u64_text(F.col(f"_{name}")).try_cast("bigint") for name in TIMES},
+            **{name: xdr.u64_text(F.col(f"_{name}")).cast(TIME) for name in TIMES},
             "stream_id": xdr.u64_text(F.col("_id")).cast(STREAM_ID),
             "event_id": F.col("event.id"),
             "ledger": F.col("event.ledger"),

@@ -51,6 +51,43 @@ def histogram(log: DataFrame, labels: list[str], value: str, bounds=DURATION_BOU
     return wide.select(*labels, "sum", "count", F.inline(F.array(*rows)))
 
 
+def summary(log: DataFrame, labels: list[str], value: str, order: list[str], bounds=DURATION_BOUNDS) -> DataFrame:
+    """What a part of a log adds to the counters, gauges and histograms of its label sets, in one pass.
+
+    Summaries of parts merge to that of the whole, so a metric is kept by adding each drain's summary to the stored one.
+    """
+    observed = F.col(value)
+    return log.groupBy(*labels).agg(
+        F.count(F.lit(1)).alias("count"),
+        F.sum(observed).alias("sum"),
+        *[F.count_if(observed <= F.lit(b)).alias(f"le_{i}") for i, b in enumerate(sorted(bounds))],
+        F.max(F.struct(*order, observed.alias("value"))).alias("last"),
+    )
+
+
+def merge(labels: list[str], *summaries: DataFrame) -> DataFrame:
+    """The summary of all the parts together; the last value is that of the highest order, wherever it was."""
+    both = reduce(DataFrame.unionByName, summaries)
+    kinds = dict(both.dtypes)
+    added = [F.sum(c).cast(kinds[c]).alias(c) for c in both.columns if c not in (*labels, "last")]
+    return both.groupBy(*labels).agg(*added, F.max("last").alias("last"))
+
+
+def counter_of(merged: DataFrame, labels: list[str]) -> DataFrame:
+    return merged.select(*labels, F.col("count").alias("value"))
+
+
+def gauge_of(merged: DataFrame, labels: list[str]) -> DataFrame:
+    return merged.select(*labels, "last.value")
+
+
+def histogram_of(merged: DataFrame, labels: list[str], bounds=DURATION_BOUNDS) -> DataFrame:
+    """The rows of ``histogram`` from a summary."""
+    rows = [F.struct(F.lit(i).alias("bucket_no"), F.lit(str(b)).alias("le"), F.col(f"le_{i}").alias("bucket")) for i, b in enumerate(sorted(bounds))]
+    rows.append(F.struct(F.lit(len(rows)).alias("bucket_no"), F.lit("+Inf").alias("le"), F.col("count").alias("bucket")))
+    return merged.select(*labels, "sum", "count", F.inline(F.array(*rows)))
+
+
 @dataclass(frozen=True)
 class Metric:
     """A named metric with its samples: ``value`` per label set, or the rows of a histogram."""

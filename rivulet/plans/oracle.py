@@ -307,6 +307,7 @@ ORACLE: dict[str, str] = {
     "stream_state_backfill": f"WITH {fold_sql('pass = 0')} SELECT {STATE} FROM state",
     "live_apply": STATE_SQL,
     "live_state": STATE_SQL,
+    "live_counters": f'WITH {FOLD} SELECT kind, outcome, count(*) AS "value" FROM done GROUP BY ALL',
     "created_inserts": f"""WITH {FOLD}
         SELECT k AS stream_id, event_id, sender, recipient, token, total_amount, start_time, end_time, cliff_time
         FROM done WHERE kind = 'created' AND outcome = 'applied'""",
@@ -373,6 +374,8 @@ ORACLE: dict[str, str] = {
     "request_counter": f'WITH {REQUESTS} SELECT method, route, status, count(*) AS "value" FROM requests GROUP BY ALL',
     "request_histogram": f"""WITH {HISTOGRAM}
         SELECT method, route, status, "sum"::VARCHAR AS "sum", "count", le, bucket FROM buckets""",
+    "request_metrics_merged": f"""WITH {HISTOGRAM}
+        SELECT method, route, status, "sum"::VARCHAR AS "sum", "count", le, bucket FROM buckets""",
     "gauge_last": f"""WITH {REQUESTS}
         SELECT user_id, arg_max(ms, (ts, event_id))::VARCHAR AS "value" FROM requests GROUP BY user_id""",
     "failed_counter": f'WITH {BASE} SELECT kind, count(*) AS "value" FROM log WHERE failed GROUP BY kind',

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rivulet.functions import vesting
 from rivulet.operators import failures, metrics, position
 from rivulet.operators.backfill import fold_backfill
-from rivulet.operators.decode import decode_events, keep_known
+from rivulet.operators.decode import TIMES, decode_events, keep_known
 from rivulet.operators.fold import KINDS, Folded, fold
 from rivulet.plans.registry import DECLARED
 from rivulet.schemas import EVENT_COLUMNS, OUTCOME_COLUMNS, STREAM_COLUMNS
@@ -75,7 +75,7 @@ def decode_raw_pages(spark, sf_dir):
     raw = pages.encode_pages(tables.event_log(spark, sf_dir, (0,)).drop("error"), CONTRACT)
     text = raw.select(F.to_json(F.struct("page_seq", "result")).alias("value"))
     events = decode_events(pages.page_events(pages.parse_pages(text), CONTRACT))
-    return events.withColumn("stream_id", F.col("stream_id").cast("bigint")).select(
+    return events.withColumns({c: F.col(c).cast("bigint") for c in ("stream_id", *TIMES)}).select(
         *[c for c in EVENT_COLUMNS if c not in ("page_seq", "pos")]
     )
 
@@ -189,7 +189,7 @@ def _by_name(spark, sf_dir, streams):
     for party in known.columns:
         own = book.select(F.col("address").alias(party), F.col("name").alias(f"{party}_name"))
         streams = streams.join(own, party, "left").drop(party).withColumnRenamed(f"{party}_name", party)
-    return streams.withColumn("stream_id", F.col("stream_id").cast("bigint")).select(*STREAM_COLUMNS)
+    return streams.withColumns({c: F.col(c).cast("bigint") for c in ("stream_id", *TIMES)}).select(*STREAM_COLUMNS)
 
 
 def _live_store(spark, sf_dir):
@@ -209,6 +209,11 @@ def live_apply(spark, sf_dir):
     return _by_name(spark, sf_dir, _live_store(spark, sf_dir).streams())
 
 
+def live_counters(spark, sf_dir):
+    """Events by kind and outcome as kept over the drains; failed attempts have a counter of their own."""
+    return _live_store(spark, sf_dir).counters().where("outcome <> 'failed'")
+
+
 def live_state(spark, sf_dir):
     """The same landings through the stateful stream, whose rows live in the state store between runs."""
     folder = fresh_folder(spark, "keyed")
@@ -237,8 +242,7 @@ def failed_events_oldest(spark, sf_dir):
 
 
 def _progress(spark, sf_dir):
-    log = _log(spark, sf_dir)
-    return position.page_progress(log, tables.page_heads(log))
+    return tables.page_progress(_log(spark, sf_dir))
 
 
 def _floor() -> int:
@@ -364,6 +368,23 @@ def request_histogram(spark, sf_dir):
     return _texts(rows, "sum").drop("bucket_no")
 
 
+REQUEST_DRAINS = 3
+
+
+def request_metrics_merged(spark, sf_dir):
+    """The histogram of all requests from the summaries of three drains, each written and merged into the one before."""
+    folder = fresh_folder(spark, "metrics")
+    requests = tables.request_log(spark, sf_dir)
+    kept = None
+    for drain in range(REQUEST_DRAINS):
+        part = requests.where(F.pmod(F.col("event_id"), F.lit(REQUEST_DRAINS)) == drain)
+        fresh = metrics.summary(part, REQUEST_LABELS, "duration_ms", ["ts", "event_id"])
+        merged = fresh if kept is None else metrics.merge(REQUEST_LABELS, kept, fresh)
+        merged.write.parquet(f"{folder}/{drain}")
+        kept = spark.read.parquet(f"{folder}/{drain}")
+    return _texts(metrics.histogram_of(kept, REQUEST_LABELS), "sum").drop("bucket_no")
+
+
 def gauge_last(spark, sf_dir):
     rows = metrics.gauge(tables.request_log(spark, sf_dir), ["user_id"], "duration_ms", ["ts", "event_id"])
     return _texts(rows, "value")
@@ -422,6 +443,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_state_backfill": stream_state_backfill,
     "live_apply": live_apply,
     "live_state": live_state,
+    "live_counters": live_counters,
     "created_inserts": created_inserts,
     "withdrawal_totals": withdrawal_totals,
     "cancel_freeze": cancel_freeze,
@@ -451,6 +473,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vesting_wide": vesting_wide,
     "request_counter": request_counter,
     "request_histogram": request_histogram,
+    "request_metrics_merged": request_metrics_merged,
     "gauge_last": gauge_last,
     "failed_counter": failed_counter,
     "pages_counter": pages_counter,

@@ -11,6 +11,7 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 LONG, TEXT, FLAG = T.LongType(), T.StringType(), T.BooleanType()
 STREAM_ID = T.DecimalType(20, 0)  # unsigned 64-bit ids
+TIME = T.DecimalType(20, 0)  # unsigned 64-bit seconds, as the wire form has them
 
 RAW_EVENT = _struct(
     ("type", TEXT),
@@ -36,9 +37,9 @@ RAW_PAGE = _struct(
 
 
 def event_schema(
-    amount: T.DataType = TEXT, stream_id: T.DataType = STREAM_ID, pos: T.DataType = T.IntegerType()
+    amount: T.DataType = TEXT, stream_id: T.DataType = STREAM_ID, pos: T.DataType = T.IntegerType(), time: T.DataType = LONG
 ) -> T.StructType:
-    """The wide event row; columns of the other kinds are null, ``error`` marks a bad event."""
+    """The wide event row; columns of the other kinds are null, ``error`` marks a bad event. ``time`` is that of the schedule."""
     return _struct(
         ("page_seq", LONG),
         ("pos", pos),
@@ -52,9 +53,9 @@ def event_schema(
         ("recipient", TEXT),
         ("token", TEXT),
         ("total_amount", amount),
-        ("start_time", LONG),
-        ("end_time", LONG),
-        ("cliff_time", LONG),
+        ("start_time", time),
+        ("end_time", time),
+        ("cliff_time", time),
         ("amount", amount),
         ("recipient_amount", amount),
         ("sender_refund", amount),
@@ -62,7 +63,7 @@ def event_schema(
     )
 
 
-def stream_schema(amount: T.DataType = TEXT, stream_id: T.DataType = STREAM_ID) -> T.StructType:
+def stream_schema(amount: T.DataType = TEXT, stream_id: T.DataType = STREAM_ID, time: T.DataType = LONG) -> T.StructType:
     """One row per payment stream, as the mirror stores it."""
     return _struct(
         ("stream_id", stream_id),
@@ -71,9 +72,9 @@ def stream_schema(amount: T.DataType = TEXT, stream_id: T.DataType = STREAM_ID)
         ("token", TEXT),
         ("total_amount", amount),
         ("withdrawn", amount),
-        ("start_time", LONG),
-        ("end_time", LONG),
-        ("cliff_time", LONG),
+        ("start_time", time),
+        ("end_time", time),
+        ("cliff_time", time),
         ("cancelled", FLAG),
         ("created_ledger", LONG),
         ("updated_ledger", LONG),
@@ -81,7 +82,7 @@ def stream_schema(amount: T.DataType = TEXT, stream_id: T.DataType = STREAM_ID)
     )
 
 
-def snapshot_schema(amount: T.DataType = TEXT, stream_id: T.DataType = STREAM_ID) -> T.StructType:
+def snapshot_schema(amount: T.DataType = TEXT, stream_id: T.DataType = STREAM_ID, time: T.DataType = LONG) -> T.StructType:
     """Authoritative state of a stream. ``as_of_event_id`` may be null: see the fold's guard."""
     return _struct(
         ("stream_id", stream_id),
@@ -90,9 +91,9 @@ def snapshot_schema(amount: T.DataType = TEXT, stream_id: T.DataType = STREAM_ID
         ("token", TEXT),
         ("total_amount", amount),
         ("withdrawn", amount),
-        ("start_time", LONG),
-        ("end_time", LONG),
-        ("cliff_time", LONG),
+        ("start_time", time),
+        ("end_time", time),
+        ("cliff_time", time),
         ("cancelled", FLAG),
         ("as_of_event_id", TEXT),
     )

@@ -8,6 +8,7 @@ exist, so a batch that dies is simply run again.
     events/version=7/...             the decoded events of the batch
     outcomes/version=7/...           what each event of the batch did
     failures/version=7/...           dead letters open after the batch
+    counters/version=7/...           events by kind and outcome, of all batches up to it
     positions/version=7/...          the position after every page of the batch
     manifest/version=7/...           bucket -> version of its data, last page, position
 """
@@ -17,15 +18,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.operators import failures as dead
 from rivulet.operators import position as pos
-from rivulet.operators.fold import fold
+from rivulet.operators.fold import KINDS, fold
 from rivulet.operators.reads import parse_stream_id, stream_by_id
-from rivulet.schemas import EVENT_COLUMNS, OUTCOME_COLUMNS, STREAM_COLUMNS, event_schema, stream_schema
+from rivulet.schemas import EVENT_COLUMNS, OUTCOME_COLUMNS, STREAM_COLUMNS, TIME, event_schema, stream_schema
 
 MANIFEST = T.StructType(
     [
@@ -42,6 +43,8 @@ MANIFEST = T.StructType(
 )
 POSITIONS = "page_seq bigint, last_ledger bigint, chain_ledger bigint, cursor string, lag_ledgers bigint"
 FAILURES = "event_id string, kind string, stream_id string, ledger bigint, error string, failure_count bigint"
+COUNTERS = "kind string, outcome string, value bigint"
+COUNTED = [(k, o) for k in (*KINDS, "unknown") for o in ("applied", "duplicate", "reconciled", "missing", "failed")]
 NO_BUCKET = -1
 DEFAULT_BUCKETS = 64
 
@@ -77,7 +80,7 @@ class MirrorStore:
             raise ValueError(f"the store at {self.path} has {stored} buckets, not {buckets}")
         self.buckets = stored or buckets or DEFAULT_BUCKETS
         self.first_page = first_page
-        self.schema = stream_schema()
+        self.schema = stream_schema(time=TIME)
 
     def bucket_of(self, stream_id: Column) -> Column:
         """Null for a null id, which no stream has."""
@@ -128,6 +131,13 @@ class MirrorStore:
             return self.spark.createDataFrame([], FAILURES)
         return self.spark.read.schema(FAILURES).parquet(f"{self.path}/failures/version={version.number}")
 
+    def counters(self, version: Version | None = None) -> DataFrame:
+        """kind, outcome, value: events of all committed versions, kept from drain to drain."""
+        version = version or self.current()
+        if version.number == 0:
+            return self.spark.createDataFrame([], COUNTERS)
+        return self.spark.read.schema(COUNTERS).parquet(f"{self.path}/counters/version={version.number}")
+
     def outcomes(self) -> DataFrame:
         """The outcome log of all committed versions."""
         last = self.current().number
@@ -149,14 +159,16 @@ class MirrorStore:
         before = self.current()
         number = before.number + 1
         self._write(events.select(*EVENT_COLUMNS), "events", number)  # decoded once, read several times
-        events = self.spark.read.schema(event_schema()).parquet(f"{self.path}/events/version={number}")
+        events = self.spark.read.schema(event_schema(time=TIME)).parquet(f"{self.path}/events/version={number}")
         touched = [r[0] for r in events.select(self.bucket_of(F.col("stream_id")).alias("b")).distinct().collect()]
         touched = [b for b in touched if b is not None]
         stored = self.streams(before, touched)
 
         folded = fold(events, stored, snapshot)
         folded.classified.persist()
-        self._write(folded.outcomes.select(*OUTCOME_COLUMNS), "outcomes", number)
+        # The counters of the batch are observed while its outcomes are written.
+        seen = Observation(f"outcomes-{number}")
+        self._write(folded.outcomes.select(*OUTCOME_COLUMNS).observe(seen, *(F.count_if((F.col("kind") == k) & (F.col("outcome") == o)).alias(f"{k} {o}") for k, o in COUNTED)), "outcomes", number)
         placed = folded.state.select(*STREAM_COLUMNS).withColumn("bucket", self.bucket_of(F.col("stream_id")))
         placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
             f"{self.path}/data/version={number}"
@@ -171,6 +183,10 @@ class MirrorStore:
         now = pos.last_position(saved, before.high_page, claimed, before.chain_ledger, before.cursor)
         written = self._written_buckets(number)
         moved = {**before.buckets, **{b: number for b in written}} or {NO_BUCKET: number}
+        counted = {(r.kind, r.outcome): r.value for r in self.counters(before).collect()}  # one row per kind and outcome
+        fresh = seen.get
+        added = [(k, o, counted.get((k, o), 0) + fresh[f"{k} {o}"]) for k, o in COUNTED]
+        self._write(self.spark.createDataFrame([r for r in added if r[2]], COUNTERS).coalesce(1), "counters", number)
         rows = [(b, v, high_page, *now, self.buckets, seen_at, waiting_since) for b, v in sorted(moved.items())]
         manifest = self.spark.createDataFrame(rows, MANIFEST).coalesce(1)
         self._write(manifest, "manifest", number)

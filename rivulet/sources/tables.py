@@ -204,6 +204,15 @@ def page_heads(log: DataFrame) -> DataFrame:
     )
 
 
+def page_progress(log: DataFrame) -> DataFrame:
+    """``page_heads`` with the highest ledger that each page processed, in one pass."""
+    return log.groupBy("page_seq").agg(
+        (F.max("ledger") + HEAD_LEAD).alias("latest_ledger"),
+        F.max("event_id").alias("cursor"),
+        F.max(F.when(F.col("error").isNull(), F.col("ledger"))).alias("done_ledger"),
+    )
+
+
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with the labels the metrics use; durations are exact decimals."""
     return table(spark, sf_dir, "events").select(

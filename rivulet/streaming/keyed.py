@@ -15,6 +15,8 @@ Events that failed to decode are outcomes of kind ``unknown`` and touch no state
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,13 +25,13 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from rivulet.operators.decode import decode_events
 from rivulet.operators.fold import BASE_FIELDS, CREATED_FIELDS
-from rivulet.schemas import EVENT_COLUMNS, STREAM_COLUMNS, stream_schema
+from rivulet.schemas import EVENT_COLUMNS, STREAM_COLUMNS, TIME, stream_schema
 from rivulet.sources.pages import BROKEN, page_events, stream_pages
 
 STATE, OUTCOME = "state", "outcome"
 FAILED_SLOTS = 1024
 KEY = T.DecimalType(21, 0)  # stream ids, and slots of failed events below zero
-ROW = T.StructType([f for f in stream_schema().fields if f.name != "stream_id"])
+ROW = T.StructType([f for f in stream_schema(time=TIME).fields if f.name != "stream_id"])
 STORED = T.StructType([T.StructField("version", T.LongType()), *ROW.fields])
 SNAPSHOT = [*(f"chain_{c}" for c in BASE_FIELDS), "as_of_event_id"]
 LOG = T.StructType(
@@ -45,12 +47,12 @@ LOG = T.StructType(
 NEEDED = [c for c in EVENT_COLUMNS if c not in ("stream_id", "tx_hash", "sender_refund")]
 # Whole numbers that may be null go to Python as texts, since pandas would make them floats.
 TIMES = [c for c in CREATED_FIELDS if c.endswith("_time")]
-WHOLE = ["ledger", "closed_at", *TIMES, *(f"chain_{c}" for c in TIMES)]
+WHOLE = {"ledger": int} | dict.fromkeys(["closed_at", *TIMES, *(f"chain_{c}" for c in TIMES)], Decimal)
 
 
 def _with_chain(events: DataFrame, snapshot: DataFrame | None) -> DataFrame:
     """events with the snapshot of their stream, in columns of their own."""
-    kinds = {f.name: f.dataType for f in stream_schema().fields}
+    kinds = {f.name: f.dataType for f in stream_schema(time=TIME).fields}
     if snapshot is None:
         return events.withColumns({f"chain_{c}": F.lit(None).cast(kinds[c]) for c in BASE_FIELDS} | {"as_of_event_id": F.lit(None).cast("string"), "on_chain": F.lit(False)})
     as_of = F.col("as_of_event_id") if "as_of_event_id" in snapshot.columns else F.lit(None).cast("string")
@@ -99,7 +101,7 @@ def _applied(key, batches, state):
         row = dict(zip(names, values, strict=True))
     first, out = row, []
     for e in events:
-        e |= {c: int(e[c]) for c in WHOLE if e[c] is not None}
+        e |= {c: kind(e[c]) for c, kind in WHOLE.items() if e[c] is not None}
         outcome = "failed"
         if e["error"] is None:
             row, outcome = apply_event(row, e)

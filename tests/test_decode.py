@@ -143,3 +143,24 @@ def test_values_with_any_other_entry_are_decoded(spark):
     rows = decode_events(pages.page_events(edited(spark, change))).orderBy("pos").collect()
     got = {name: (r.kind, r.amount, int(r.stream_id or 0), r.error) for name, r in zip(EXTRAS, rows, strict=True)}
     assert got == {name: ("withdrawn", "25000000000000", 42, None) for name in EXTRAS}
+
+
+def test_times_keep_all_64_bits(spark):
+    top = 2**64 - 1
+
+    def change(events):
+        raw = base64.b64decode(events[0]["value"])
+        for name, value in (("end_time", top), ("cliff_time", 2**63)):
+            at = raw.index(name.encode()) + len(name) + -len(name) % 4 + 4
+            raw = raw[:at] + value.to_bytes(8, "big") + raw[at + 8 :]
+        events[0]["value"] = base64.b64encode(raw).decode()
+
+    events = decode_events(pages.page_events(edited(spark, change)))
+    row = events.where("pos = 0").first()
+    assert (row.error, row.start_time, row.end_time, row.cliff_time) == (None, 1735689600, top, 2**63)
+    (state,) = fold(events.where("pos = 0")).state.collect()
+    assert (state.end_time, state.cliff_time) == (top, 2**63)
+    from rivulet.functions.vesting import view
+
+    shown = view(fold(events.where("pos = 0")).state, 1735689600 + 1).first()
+    assert (shown.end_time, shown.cliff_time, shown.vested, shown.status) == (str(top), str(2**63), "0", "streaming")

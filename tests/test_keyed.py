@@ -65,7 +65,7 @@ def test_pages_late_and_again(spark, tmp_path):
 
     landing(tmp_path, 0, [0, 4])
     landing(tmp_path, 7, [])
-    assert len(run()) == 2
+    assert len(run()) == 1
     landing(tmp_path, 2, [1])
     landing(tmp_path, 0, [0, 4], twice=True)
     (tmp_path / "pages" / "broken.json").write_text("no page")
@@ -75,4 +75,4 @@ def test_pages_late_and_again(spark, tmp_path):
     last = run()
     assert [w for i, w, c in last if i == 42] == ["55000000000000"]
     counts = {(r.kind, r.outcome): r.n for r in keyed.outcomes(spark, str(tmp_path / "out")).groupBy("kind", "outcome").agg(F.count("*").alias("n")).collect()}
-    assert counts[("created", "duplicate")] == 2 and counts[("withdrawn", "applied")] == 1
+    assert counts[("created", "duplicate")] == 1 and counts[("withdrawn", "applied")] == 1

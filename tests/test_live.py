@@ -60,6 +60,7 @@ def test_several_drains_equal_one_fold(spark, tmp_path):
         ("created", "applied"): 2, ("created", "duplicate"): 1,
         ("withdrawn", "applied"): 1, ("withdrawn", "duplicate"): 1, ("cancelled", "applied"): 1,
     }
+    assert {(r.kind, r.outcome): r.value for r in store.counters().collect()} == counts
 
 
 def test_a_version_without_its_manifest_does_not_exist(spark, tmp_path, monkeypatch):

@@ -235,3 +235,19 @@ def test_small_numbers_keep_their_digits(spark):
     got = spark.createDataFrame([(v,) for v in values], "value double").select("value", number_text(F.col("value")).alias("text")).collect()
     # digits that read back as the same number
     assert all("E" not in r.text and float(r.text) == r.value for r in got) and len(got) == 5
+
+
+def test_summaries_of_parts_merge_to_that_of_the_whole(spark):
+    rows = [(f"l{i % 3}", (i * 37 % 6000) / 4, i % 50, i) for i in range(400)]
+    log = spark.createDataFrame(rows, "label string, ms double, ts long, id long").withColumn("ms", F.col("ms").cast("decimal(18,2)"))
+    labels, order = ["label"], ["ts", "id"]
+    kept = None
+    for part in range(4):
+        fresh = metrics.summary(log.where(F.col("id") % 4 == part), labels, "ms", order)
+        kept = fresh if kept is None else metrics.merge(labels, kept, fresh)
+    by = lambda frame: sorted(map(tuple, frame.collect()))
+    assert by(metrics.histogram_of(kept, labels)) == by(metrics.histogram(log, labels, "ms"))
+    assert by(metrics.counter_of(kept, labels)) == by(metrics.counter(log, labels))
+    assert by(metrics.gauge_of(kept, labels)) == by(metrics.gauge(log, labels, "ms", order))
+    nothing = metrics.summary(log.limit(0), labels, "ms", order)
+    assert by(metrics.merge(labels, nothing, kept)) == by(kept)

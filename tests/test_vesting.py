@@ -104,3 +104,33 @@ def test_number_columns_are_accepted(spark):
     )
     row = vesting.view(typed.withColumn("stream_id", F.lit(7)).withColumns({c: F.lit("x") for c in ("sender", "recipient", "token")}), F.col("now")).first()
     assert (row.id, row.vested, row.withdrawable, row.locked, row.progress) == ("7", "500", "490", "500", 5000)
+
+
+def test_unsigned_64_bit_times_match_python_integers(spark):
+    from decimal import Decimal
+
+    rng = random.Random(12)
+    top = 2**64 - 1
+    rows = []
+    for i in range(600):
+        total = rng.choice([MAX, rng.randrange(10 ** rng.randint(1, 38)), 10 ** rng.randint(0, 38)])
+        start = rng.choice([0, rng.randrange(2**63), rng.randrange(2**64)])
+        end = rng.choice([top, rng.randrange(2**64), start])
+        now = rng.choice([2**63 - 1, rng.randrange(2**63), min(start, 2**63 - 1)])
+        cliff = rng.choice([start, 0, top])
+        rows.append((i, str(total), "0", start, end, cliff, False, now))
+    typed = [(*r[:3], *map(Decimal, r[3:6]), *r[6:]) for r in rows]
+    df = spark.createDataFrame(typed, SCHEMA.replace("_time long", "_time decimal(20,0)"))
+    got = vesting.with_valuation(df, F.col("now")).orderBy("n").collect()
+    for row, r in zip(rows, got, strict=True):
+        assert (r.vested, r.withdrawable, r.locked, r.progress) == model(int(row[1]), 0, row[3], row[4], row[5], row[7]), row
+
+
+def test_the_default_clock_is_the_current_second(spark):
+    import time
+
+    df = frame(spark, [(0, "1000", "0", 0, 2**40, 0, False, 0)])
+    before = int(time.time())
+    got = int(vesting.with_vested(df).first().vested)
+    assert 1000 * before // 2**40 <= got <= 1000 * (int(time.time()) + 1) // 2**40
+    assert df.select((vesting.clock(None) - F.lit(before)).alias("d")).first().d in range(120)
