@@ -1,4 +1,4 @@
-"""Connected components of links by smallest labels, in rounds of joins over written tables."""
+"""Connected components of links by contraction, in rounds of joins over written tables."""
 
 from __future__ import annotations
 
@@ -7,24 +7,42 @@ from pyspark.sql import functions as F
 
 from rivulet.session import fresh_folder
 
+JUMPS = 1
+
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of every node of links (a, b).
 
-    Each round takes the smallest label of the neighbours, then the label of that label, so chains shrink
-    geometrically; the rounds end when no label changes. No neighbours of a node are ever gathered.
+    In each round every node hooks to its smallest neighbour if that is smaller, a few jumps shorten the chains that arise, and
+    the edges are drawn anew between what the nodes hook to. Edges inside a component vanish with that, so all edges are
+    joined in the first round alone, and what is left shrinks geometrically. No neighbours of a node are ever gathered.
     """
     spark, folder = links.sparkSession, fresh_folder(links.sparkSession, "components")
-    links.select("a", "b").unionAll(links.select("b", "a")).where("a != b").distinct().write.parquet(f"{folder}/edges")
-    edges = spark.read.parquet(f"{folder}/edges")
-    edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root"), F.lit(True).alias("changed")).write.parquet(f"{folder}/labels-0")
+
+    def written(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    def drawn(pairs: DataFrame) -> DataFrame:
+        return pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    edges = written(drawn(links.select("a", "b")), "edges-0")
+    both = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    labels = written(both.select("node", F.col("node").alias("root")), "labels-0")
     turn = 0
-    while True:
-        labels = spark.read.parquet(f"{folder}/labels-{turn}")
-        if not labels.where("changed").limit(1).count():
-            return labels.select("node", "root")
-        near = edges.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        met = labels.select("node", "root").join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("root").alias("jump"))
+    while edges.limit(1).count():
         turn += 1
-        met.join(jump, "low").select("node", F.least("low", "jump").alias("root"), (F.least("low", "jump") != F.col("root")).alias("changed")).write.parquet(f"{folder}/labels-{turn}")
+        hooks = edges.groupBy(F.col("a").alias("from")).agg(F.min("b").alias("to"))
+        for jump in range(JUMPS):
+            hooks = written(hooks, f"hooks-{turn}-{jump}")
+            further = hooks.select(F.col("from").alias("to"), F.col("to").alias("further"))
+            hooks = hooks.join(further, "to", "left").select("from", F.coalesce("further", "to").alias("to"))
+        hooks = written(hooks, f"hooks-{turn}")
+
+        def moved(frame: DataFrame, column: str, hooks: DataFrame = hooks) -> DataFrame:
+            to = hooks.select(F.col("from").alias(column), F.col("to").alias("hooked"))
+            return frame.join(to, column, "left").withColumn(column, F.coalesce("hooked", column)).drop("hooked")
+
+        edges = written(drawn(moved(moved(edges, "a"), "b")), f"edges-{turn}")
+        labels = written(moved(labels, "root"), f"labels-{turn}")
+    return labels.select("node", "root")

@@ -83,3 +83,79 @@ def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(0, 70)] + [(200, 199), (199, 205)] + [(300, k) for k in range(301, 330)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(71)}, 199: 199, 200: 199, 205: 199, **{k: 300 for k in range(300, 330)}}
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(5, 5)] + [(1000 + i, 1000 + (i * 7) % 50) for i in range(50)]
+    parent = {n: n for e in links for n in e}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    alone = {a for a, b in links if a == b} - {n for a, b in links if a != b for n in (a, b)}
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in parent if n not in alone}
+
+
+def near_copies(rng, n, words, edits):
+    seed = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        copy = list(seed)
+        for at in rng.sample(range(words), edits):
+            copy[at] = f"x{rng.randrange(10**9)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_a_large_group_below_the_limit_sends_no_pairs(spark):
+    """Copies that agree but do not link: one edge a class at most goes out, and none of them is a link."""
+    rng, sent = random.Random(12), []
+    texts = near_copies(rng, 300, 120, 12)
+    rows = list(enumerate(texts))
+    docs = near_dup.row_key(spark.createDataFrame(rows, "doc_id long, text string"))
+    classes = near_dup._classes(near_dup.sketch(docs, 2)).cache()
+
+    def kept(frame, name):
+        frame = frame.cache()
+        sent.append((name, frame.count()))
+        return frame
+
+    family = near_dup._families(near_dup._shared_heads(classes), 80, kept)
+    assert dict(sent)["agreeing"] <= 300 * near_dup.COORDINATES and family.count() == 300
+    got = near_dup.link_components(docs.select("doc_id", "text"), words_per_shingle=2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == brute(rows, 2)
+    assert all(r.kept for r in got)
+
+
+def test_no_pair_at_the_limit_is_missed():
+    """Pairs of a similarity of exactly 0.8 agree in enough coordinates: none of 20,000 drawn ones falls short."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    least = near_dup.COORDINATES
+    for _ in range(20_000):
+        keys = rng.integers(0, 2**63, 20, dtype=np.uint64)
+        values = ((keys[None, :] * near_dup._SEEDS[:, :1] + near_dup._SEEDS[:, 1:]) >> np.uint64(32)).astype(np.uint32)
+        least = min(least, int((values[:, :18].min(1) == values[:, 2:].min(1)).sum()))
+    assert least >= near_dup.MATCHES
+
+
+def test_one_row_of_a_component_stays(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long.replace("w30", "changed")
+    rows = [(None, long, "a"), (None, near, "b"), (None, "other words stand here now", "c"), (4, None, "d"), (4, None, "d"), (5, " ", "e"), (7, "some five words are here", "f"), (7, "some five words are here", "g"), (7, "quite another text of that id", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = near_dup.keep_first(docs, words_per_shingle=2).collect()
+    assert kept and sorted(r.doc_id for r in kept if r.doc_id is not None) == [4, 4, 5, 7, 7]
+    assert sum(r.text in (long, near) for r in kept) == 1 and sum(r.doc_id is None for r in kept) == 2
+    assert [r.key for r in kept if r.doc_id == 4] == ["d", "d"]
+    withid = spark.createDataFrame([*rows, (9, near.replace("w31", "also"), "z")], "doc_id long, text string, key string")
+    kept = near_dup.keep_first(withid, words_per_shingle=2).collect()
+    assert [r.doc_id for r in kept if r.text and r.text.startswith("w0 w1 ")] == [9]
