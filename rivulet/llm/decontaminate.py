@@ -71,18 +71,23 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, max_set: in
     return keyed.join(found, "row_id", "left").withColumn("n_words", F.size(words(F.col("text"))).cast("long")).withColumn("hits", F.coalesce("hits", none))
 
 
-def ranges(hits: Column) -> Column:
-    """The hit words as disjoint ranges (start, stop) in order."""
-    kind = "array<struct<start: int, stop: int>>"
-    one = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("stop"))).cast(kind)
+def ranges(hits: Column, n: int) -> Column:
+    """The hit words as disjoint ranges (start, stop) in order, from hits in order of pos and size; linear in the hits.
 
-    def step(done, h):
-        last = F.element_at(done, -1)
-        apart = F.concat(done, one(h["pos"], h["pos"] + h["size"]))
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), one(last["start"], F.greatest(last["stop"], h["pos"] + h["size"])))
-        return F.when((F.size(done) == 0) | (h["pos"] > F.try_element_at(done, F.lit(-1))["stop"]), apart).otherwise(joined)
+    Of the hits at one word the longest counts. A window has at most n words, so only the n - 1 such hits before one can reach it.
+    """
+    longest = F.filter(hits, lambda h, i: ~h["pos"].eqNullSafe(F.get(hits, i + 1)["pos"]))
+    kind = "array<struct<pos: int, size: int>>"
+    one = F.array(F.transform(longest, lambda h: F.struct(h["pos"], h["size"])).cast(kind))
+
+    def piece(known: Column) -> Column:
+        def own(h, i):
+            before = [F.when(i >= k, F.get(known, i - k)["pos"] + F.get(known, i - k)["size"]) for k in range(1, n)]
+            return F.struct(F.greatest(h["pos"], *before).alias("start"), (h["pos"] + h["size"]).alias("stop"))
 
-    return F.aggregate(hits, F.array().cast(kind), step)
+        return F.filter(F.transform(known, own), lambda c: c["start"] < c["stop"])
+
+    return F.flatten(F.transform(one, piece))  # an array of one, so that the longest hits are computed once
 
 
 def n_hit(hits: Column) -> Column:
@@ -106,15 +111,32 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, max_set: int =
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, max_set: int = MAX_SET) -> DataFrame:
-    """docs, the hit words cut out of their texts; what stands between words stays, other texts stay as they are."""
-    hit = find_hits(docs, benchmark, n, max_set=max_set).withColumn("cuts", ranges(F.col("hits")))
-    parts = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD}|{GAP})"), F.lit(1))
-    first = F.when(F.regexp_like(F.col("text"), F.lit(f"^{WORD}")), F.lit(0)).otherwise(F.lit(1))
-    left = F.transform(parts, lambda p, i: F.when((F.pmod(i + first, F.lit(2)) == 0) & F.exists("cuts", lambda c: (c["start"] <= (i - first) / 2) & ((i - first) / 2 < c["stop"])), F.lit("")).otherwise(p))
-    text = F.when(F.size("cuts") > 0, F.array_join(left, "")).otherwise(F.col("text"))
-    return hit.withColumn("text", text).select(*(f"`{c}`" for c in docs.columns))
+    """docs, the hit words cut out of their texts; what stands between words stays, other texts stay as they are.
+
+    A text is words and gaps in turn. Each range of hit words cuts it into a slice that stays and one of which only the gaps stay.
+    """
+    hit = find_hits(_packed(docs), benchmark, n, max_set=max_set).withColumn("cuts", ranges(F.col("hits"), n))
+    parts = F.when(F.size("cuts") > 0, F.regexp_extract_all(F.col("text"), F.lit(f"({WORD}|{GAP})"), F.lit(1)))
+    lead = F.when(F.regexp_like(F.col("text"), F.lit(f"^{WORD}")), F.lit(0)).otherwise(F.lit(1))
+    hit = hit.withColumn("cutting", F.struct(parts.alias("parts"), lead.alias("lead")))
+    part, at = F.col("cutting.parts"), lambda word: F.col("cutting.lead") + 2 * word
+    between = lambda i, j: F.slice(part, i + 1, F.greatest(j - i, F.lit(0)))
+
+    def cut(c, i):
+        start = F.when(i > 0, at(F.get(F.col("cuts"), i - 1)["stop"])).otherwise(F.lit(0))
+        gaps = F.filter(between(at(c["start"]), at(c["stop"])), lambda p, k: k % 2 == 1)
+        return F.concat(F.array_join(between(start, at(c["start"])), ""), F.array_join(gaps, ""))
+
+    rest = F.array_join(between(at(F.element_at("cuts", -1)["stop"]), F.size(part)), "")
+    text = F.when(F.size("cuts") > 0, F.concat(F.array_join(F.transform("cuts", cut), ""), rest)).otherwise(F.col("text"))
+    return hit.withColumn("cut_text", text).select(*(F.col("cut_text").alias("text") if c == "text" else F.col(f"given.`{c}`").alias(c) for c in docs.columns))
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """The text of every row beside the whole row, so that no column of docs clashes with those added here."""
+    return docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("given"), F.col("`text`").alias("text"))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, max_set: int = MAX_SET) -> DataFrame:
     """docs without those that hold a window."""
-    return find_hits(docs, benchmark, n, max_set=max_set).where(F.size("hits") == 0).select(*(f"`{c}`" for c in docs.columns))
+    return find_hits(_packed(docs), benchmark, n, max_set=max_set).where(F.size("hits") == 0).select("given.*")
