@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,7 +29,8 @@ def local_session(cores: int | str = 8, app: str = "rivulet") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` when the session names one.
 
-    Only a session without that setting (a test on one machine) gets a temporary folder.
+    A session on one machine (``local[...]``) may go without that setting and gets a temporary folder; any other
+    is refused, since its executors would not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -37,6 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="rivulet-"))
     return context.getCheckpointDir()
 

@@ -27,9 +27,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from rivulet.operators.decode import decode_events
+from rivulet.operators.position import start_of
 from rivulet.schemas import RAW_PAGE
 from rivulet.sources.mirror import MirrorStore, Version
-from rivulet.sources.pages import BROKEN, page_events, page_positions, stream_pages
+from rivulet.sources.pages import BROKEN, page_events, page_positions, start_at, stream_pages
 
 PAGES_PER_BLOCK = 65_536
 COPY_SPAN = 65_536  # positions of an event in the nth copy of a page start at n times this
@@ -140,8 +141,13 @@ def fold_arrived(
     hold_back_gaps: bool = True,
     floor: int = 0,
     contract: str | None = None,
+    start_ledger: int | None = None,
 ) -> Version:
-    """Fold the pages that arrived since the store's last version. Nothing to fold, no new version."""
+    """Fold the pages that arrived since the store's last version. Nothing to fold, no new version.
+
+    start_ledger says where a store without a position begins, 0 for the head of the chain (``position.start_of``): events of
+    earlier ledgers are left out, and all before it counts as done. Where it is None nothing is left out, and ``floor`` counts as done.
+    """
     before = store.current()
     since = min(before.seen_at + 1, before.waiting_since or before.seen_at + 1)
     log = read_log(spark, log_dir, since)
@@ -162,6 +168,10 @@ def fold_arrived(
     waiting_since = candidates.where(F.col("page_seq") > upto).agg(F.min("arrived_at")).first()[0]
     numbered = page_events(ready, contract, "copy")
     events = decode_events(numbered.withColumn("pos", F.col("pos") + F.col("copy") * COPY_SPAN).drop("copy"))
+    if start_ledger is not None and before.last_ledger is None:
+        first = page_positions(ready).agg(F.min_by("latest_ledger", "page_seq")).first()[0]
+        start = start_of(store.position(), start_ledger, first or 0).first()
+        floor, events = start.last_ledger, start_at(events, start_ledger=start.start_ledger)
     # Of the copies of a page the newest says what the feed was like.
     last_copy = page_positions(ready, "copy").groupBy("page_seq").agg(F.max(F.struct("copy", "latest_ledger", "cursor")).alias("last"))
     headers = last_copy.select("page_seq", "last.latest_ledger", "last.cursor")
@@ -179,7 +189,8 @@ def drain(
     files_per_batch: int | None = None,
     floor: int = 0,
     hold_back_gaps: bool = True,
+    start_ledger: int | None = None,
 ) -> Version:
     """Take in every landed page and fold it, then return: the backlog is used up."""
     start_ingest(spark, pages_dir, log_dir, checkpoint_dir, files_per_batch).awaitTermination()
-    return fold_arrived(spark, log_dir, store, snapshot, hold_back_gaps, floor, contract)
+    return fold_arrived(spark, log_dir, store, snapshot, hold_back_gaps, floor, contract, start_ledger)

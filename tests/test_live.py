@@ -190,3 +190,13 @@ def test_a_broken_line_is_kept_and_counted(spark, tmp_path):
     assert rows(store) == [("25000000000000", False)]
     assert pages.broken_pages(spark, str(tmp_path / "pages")).count() == 2
     assert pages.read_pages(spark, str(tmp_path / "pages")).where("page_seq is not null").count() == 1
+
+
+@pytest.mark.parametrize("start,floor,outcome", [(56201455, 56201455, "missing"), (56123890, 56201455, "applied"), (0, 56290021, None)])
+def test_where_a_new_store_starts(spark, tmp_path, start, floor, outcome):
+    store = MirrorStore(spark, str(tmp_path / "mirror"), buckets=2)
+    landing(tmp_path, 0, [0, 1])
+    version = run(spark, tmp_path, store, start_ledger=start)
+    assert version.last_ledger == floor
+    done = {r.kind: r.outcome for r in store.outcomes().collect()}
+    assert done.get("withdrawn") == outcome and ("created" in done) == (outcome == "applied")
