@@ -99,7 +99,7 @@ def stream_state(spark, sf_dir):
 def stream_state_incremental(spark, sf_dir):
     """Pass 0 into stored rows bucketed by stream id, then pass 1 on top of them."""
     snapshot = tables.snapshots(spark, sf_dir)
-    mirror = StoredStreams.write(fold(tables.event_log(spark, sf_dir, (0,)), None, snapshot).state).streams
+    mirror = StoredStreams.write(fold(tables.event_log(spark, sf_dir, (0,)), None, snapshot).state, lookups=False).streams
     state = fold(tables.event_log(spark, sf_dir, (1,)), mirror, snapshot).state
     return _texts(state, "total_amount", "withdrawn")
 

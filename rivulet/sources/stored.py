@@ -60,8 +60,11 @@ class StoredStreams:
         return self.table("streams")
 
     @staticmethod
-    def write(state: DataFrame, buckets: int = BUCKETS, ranges: int = RANGES, before: StoredStreams | None = None) -> StoredStreams:
-        """Store a state as a new version. before: the version it grew out of, whose counts are carried on."""
+    def write(state: DataFrame, buckets: int = BUCKETS, ranges: int = RANGES, before: StoredStreams | None = None, lookups: bool = True) -> StoredStreams:
+        """Store a state as a new version. before: the version it grew out of, whose counts are carried on.
+
+        Without lookups only ``streams`` is written, which is what the next fold needs.
+        """
         spark = state.sparkSession
         folder = fresh_folder(spark, "stored")
         stored = StoredStreams(spark, f"stored_{uuid.uuid4().hex}")
@@ -72,6 +75,8 @@ class StoredStreams:
             (writer.partitionBy(split) if split else writer).saveAsTable(f"{stored.name}_{layout}")
 
         save(state.select(*STREAM_COLUMNS).repartition(buckets, "stream_id"), "streams", "stream_id", ["stream_id"])
+        if not lookups:
+            return stored
         rows = stored.streams
         for role, layout in LAYOUTS.items():
             keyed = rows.where(F.col(role).isNotNull()).withColumn("party_slot", _slotted(F.col(role), _slot_of(F.col("stream_id"))))
