@@ -88,36 +88,49 @@ def apply_event(row: dict | None, e: dict) -> tuple[dict | None, str]:
     return row | moved, "applied"
 
 
+EVENT = [*NEEDED, *SNAPSHOT, "on_chain"]
+PLACE = {name: i for i, name in enumerate(LOG.fieldNames())}
+
+
+def _line(**values) -> list:
+    """A row of LOG."""
+    line = [None] * len(PLACE)
+    for name, value in values.items():
+        line[PLACE[name]] = value
+    return line
+
+
 def _applied(key, batches, state):
     """Rows of LOG for the events of one key in a micro-batch, in order of arrival."""
     import pandas as pd
 
-    events = pd.concat(list(batches)).sort_values(["page_seq", "pos"], kind="stable").astype(object)
-    events = events.where(events.notna(), None).to_dict("records")
+    events = []
+    for frame in batches:
+        events += zip(*(frame[c].tolist() for c in EVENT), strict=True)
+    events.sort(key=lambda e: e[:2])  # page_seq, pos
     names = ROW.fieldNames()
     version, row = 0, None
     if state.exists:
         version, *values = state.get
         row = dict(zip(names, values, strict=True))
     first, out = row, []
-    for e in events:
+    for values in events:
+        e = {c: None if v != v else v for c, v in zip(EVENT, values, strict=True)}  # a missing value may be NaN
         e |= {c: kind(e[c]) for c, kind in WHOLE.items() if e[c] is not None}
         outcome = "failed"
         if e["error"] is None:
             row, outcome = apply_event(row, e)
-        out.append({"row_type": OUTCOME, "key": key[0], "outcome": outcome} | {c: e[c] for c in ("page_seq", "pos", "event_id", "kind", "ledger", "error")})
+        out.append(_line(row_type=OUTCOME, key=key[0], outcome=outcome, page_seq=e["page_seq"], pos=e["pos"], event_id=e["event_id"], kind=e["kind"], ledger=e["ledger"], error=e["error"]))
     if row is not first:
         state.update((version + 1, *(row[n] for n in names)))
-        out.append({"row_type": STATE, "key": key[0], "version": version + 1} | row)
-    # Whole numbers stay whole beside nulls.
-    whole = {f.name: "Int64" for f in LOG.fields if isinstance(f.dataType, (T.LongType, T.IntegerType))} | {"cancelled": "boolean"}
-    yield pd.DataFrame(out, columns=LOG.fieldNames(), dtype=object).astype(whole)
+        out.append(_line(row_type=STATE, key=key[0], version=version + 1, **row))
+    yield pd.DataFrame(out, columns=list(PLACE), dtype=object)
 
 
 def fold_stream(events: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
     """A stream of events (EVENT_COLUMNS) to a stream of outcomes and new rows (LOG)."""
     rows = _with_chain(events, snapshot).withColumn("key", _slot()).where(F.col("key").isNotNull())
-    rows = rows.select("key", *(F.col(c).cast("string") if c in WHOLE else F.col(c) for c in (*NEEDED, *SNAPSHOT)), "on_chain")
+    rows = rows.select("key", *(F.col(c).cast("string") if c in WHOLE else F.col(c) for c in EVENT))
     return rows.groupBy("key").applyInPandasWithState(_applied, LOG, STORED, "append", GroupStateTimeout.NoTimeout)
 
 
