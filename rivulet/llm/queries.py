@@ -52,7 +52,7 @@ def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    return warc.round_trip(_table(spark, folder, "pages")).drop("payload")
+    return warc.round_trip(_table(spark, folder, "pages")).drop("payload", "url")
 
 
 def op11_sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
