@@ -32,8 +32,14 @@ from rivulet.llm.text import SPACE, flat, grams, mix, pieces, row_sums, whole, w
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-# Phrases of page furniture.
-BOILERPLATE = (b"all rights reserved", b"cookie policy", b"cookies", b"enable javascript", b"javascript", b"lorem ipsum", b"privacy policy", b"sign in", b"sign up", b"subscribe", b"terms of service", b"terms of use", b"click here", b"read more")
+# Phrases of page furniture, by language.
+PHRASES = {
+    "en": ("all rights reserved", "cookie policy", "cookies", "enable javascript", "javascript", "lorem ipsum", "privacy policy", "sign in", "sign up", "subscribe", "terms of service", "terms of use", "click here", "read more"),
+    "de": ("alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "cookie-einstellungen", "datenschutzerklärung", "hier klicken", "impressum", "jetzt anmelden", "jetzt registrieren", "mehr erfahren", "mehr lesen", "newsletter abonnieren", "nutzungsbedingungen", "siehe impressum", "weiterlesen"),
+    "fr": ("activer javascript", "cliquez ici", "conditions d'utilisation", "conditions générales", "en savoir plus", "inscrivez-vous", "lire la suite", "mentions légales", "politique de confidentialité", "s'abonner", "s'inscrire", "se connecter", "tous droits réservés"),
+    "es": ("activar javascript", "aviso legal", "condiciones de uso", "haga clic aquí", "haz clic aquí", "iniciar sesión", "leer más", "política de cookies", "política de privacidad", "regístrate", "saber más", "suscríbete", "términos y condiciones", "todos los derechos reservados"),
+}
+BOILERPLATE = tuple(phrase.encode() for phrases in PHRASES.values() for phrase in phrases)
 _FURNITURE = re.compile(b"|".join(map(re.escape, BOILERPLATE)))
 _PHRASE = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(x.decode()) for x in BOILERPLATE) + r")(?!\w)")
 _MENU = re.compile(rb"[^\x20\x09-\x0D][\x20\x09]*(?:\||>|\xc2\xbb|\xc2\xb7|\xe2\x80\xa2)(?:[\x20\x09]|$)")
@@ -43,7 +49,7 @@ _FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), (
 
 def _furniture(line: bytes, n: int) -> bool:
     """Whether whole phrases of page furniture make up a large part of a line of n words."""
-    low = line.lower()
+    low = line.lower().replace("’".encode(), b"'")
     if not _FURNITURE.search(low):
         return False
     text = low.decode("utf-8", "replace")

@@ -57,6 +57,13 @@ def test_furniture_in_running_text():
         assert quality.judge_line(line.encode()) == "boilerplate", line
 
 
+def test_furniture_in_other_languages():
+    for line in ("Alle Rechte vorbehalten.", "© 2024 Firma, siehe Impressum.", "Jetzt anmelden!", "Tous droits réservés.", "Lire la suite…", "Conditions d’utilisation.", "Todos los derechos reservados.", "Haz clic aquí.", "Suscríbete!"):
+        assert quality.judge_line(line.encode()) == "boilerplate", line
+    for line in ("Sie wollte am nächsten Tag noch mehr erfahren, als er ihr sagte.", "Il voulait en savoir plus sur la vie de son voisin.", "Quería saber más sobre la casa vieja de sus abuelos."):
+        assert quality.judge_line(line.encode()) is None, line
+
+
 def test_one_mention_in_a_text_on_one_line(spark):
     text = " ".join(f"w{k}" for k in range(300)) + " with cookies and a design in it."
     got = quality.clean_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).head()
