@@ -51,8 +51,7 @@ def test_ids_and_spans():
     same_as_library(model(), texts(2000))
 
 
-@pytest.mark.parametrize("spec", ["nmt_nfkc", "nfkc_cf"])
-@pytest.mark.parametrize("dummy,squeeze", [(True, True), (True, False), (False, False)])
+@pytest.mark.parametrize("spec,dummy,squeeze", [("nmt_nfkc", True, True), ("nmt_nfkc", False, False), ("nfkc_cf", True, False)])
 def test_with_a_character_map(spec, dummy, squeeze):
     same_as_library(model(spec, add_dummy_prefix=dummy, remove_extra_whitespaces=squeeze, escape_whitespaces=True), texts())
 
