@@ -7,7 +7,8 @@ interval is cut in ``CUTS`` parts per round, each round one aggregate over the t
 never leaves the cluster.
 
 Without a budget the mixture is as long as it must be for every document to be in it once or more, so none
-is lost; with a budget of tokens, sources are cut or repeated to meet it. Every source is a sequence of
+is lost; with a budget of tokens, sources are cut or repeated to meet it. A budget of more than ``max_repeats`` times the corpus
+cannot be met within the limit; the limit holds then, and the mixture has that many passes of every source. Every source is a sequence of
 passes over its documents. Documents lie in about sqrt(n) blocks by hash; each pass puts the blocks, and the
 documents in each, in a new order, and the last pass ends when the source's budget is used up (the
 document that crosses it is in). Windows run over a source's blocks or a block's documents, so neither
@@ -93,6 +94,8 @@ def mix_sources(docs: DataFrame, *, tokens: Column | None = None, budget: int |
     rows = spark.read.parquet(f"{folder}/rows")
     rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).write.parquet(f"{folder}/sources")
     shares = spark.read.parquet(f"{folder}/sources")
+    if budget is not None:
+        budget = min(budget, int(max_repeats * (shares.agg(F.sum("tokens")).head()[0] or 0)))
     a, z, least = fit_exponent(shares, budget=budget, target_entropy=target_entropy, max_repeats=max_repeats)
     total = float(shares.agg(F.sum("tokens")).head()[0] or 1)
     p = F.when(F.col("tokens") > 0, F.col("tokens") / F.lit(total))
