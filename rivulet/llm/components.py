@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from rivulet.session import fresh_folder
 
-JUMPS = 1
-
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of every node of links (a, b).
 
-    In each round every node hooks to its smallest neighbour if that is smaller, a few jumps shorten the chains that arise, and
+    In each round every node hooks to its smallest neighbour if that is smaller, jumps (each halves the chains that arise) take it to the end of its chain, and
     the edges are drawn anew between what the nodes hook to. Edges inside a component vanish with that, so all edges are
     joined in the first round alone, and what is left shrinks geometrically. No neighbours of a node are ever gathered.
     """
@@ -32,12 +30,11 @@ def components(links: DataFrame) -> DataFrame:
     turn = 0
     while edges.limit(1).count():
         turn += 1
-        hooks = edges.groupBy(F.col("a").alias("from")).agg(F.min("b").alias("to"))
-        for jump in range(JUMPS):
-            hooks = written(hooks, f"hooks-{turn}-{jump}")
+        hooks, jump = written(edges.groupBy(F.col("a").alias("from")).agg(F.min("b").alias("to")), f"hooks-{turn}-0"), 0
+        while hooks.select(F.col("to").alias("from")).join(hooks.select("from"), "from", "left_semi").limit(1).count():
+            jump += 1
             further = hooks.select(F.col("from").alias("to"), F.col("to").alias("further"))
-            hooks = hooks.join(further, "to", "left").select("from", F.coalesce("further", "to").alias("to"))
-        hooks = written(hooks, f"hooks-{turn}")
+            hooks = written(hooks.join(further, "to", "left").select("from", F.coalesce("further", "to").alias("to")), f"hooks-{turn}-{jump}")
 
         def moved(frame: DataFrame, column: str, hooks: DataFrame = hooks) -> DataFrame:
             to = hooks.select(F.col("from").alias(column), F.col("to").alias("hooked"))
