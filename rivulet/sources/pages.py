@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,7 @@ from rivulet.functions import xdr
 from rivulet.schemas import RAW_PAGE
 
 PAGE_LIMIT = 100  # events the feed puts in a page
+PAGES_PER_FILE = 512
 BROKEN = "broken"
 
 
@@ -160,7 +164,7 @@ def encode_pages(log: DataFrame, contract: str, rows_per_page: int = PAGE_LIMIT,
     """Raw pages of at most ``rows_per_page`` events from a typed log, in arrival order.
 
     The log is range-partitioned on arrival and numbered inside each partition, so a page is a run of
-    rows and never a large group. A failed attempt is written with a value its kind cannot have. Page
+    rows, packed where it stands: encoded events, several times as long as typed ones, are never shuffled. A failed attempt is written with a value its kind cannot have. Page
     numbers rise with arrival but leave gaps between partitions; ``number_pages`` closes them.
     """
     bad = F.col("error").isNotNull() if "error" in log.columns else F.lit(False)
@@ -172,23 +176,42 @@ def encode_pages(log: DataFrame, contract: str, rows_per_page: int = PAGE_LIMIT,
             encode_event(contract, bad).alias("event"),
         )
     )
-    part, index = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
-    page = F.shiftleft(part, 33) + F.floor(index / rows_per_page)
-    return (
-        numbered.groupBy(page.alias("page_seq"))
-        .agg(F.sort_array(F.collect_list(F.struct("row", "event"))).alias("rows"))
-        .select("page_seq", F.transform("rows", lambda r: r["event"]).alias("events"))
-        .select(
-            "page_seq",
-            F.struct(
-                F.col("events"),
-                (F.array_max(F.transform("events", lambda e: e["ledger"])) + head_lead).alias("latestLedger"),
-                F.element_at("events", -1)["id"].alias("cursor"),
-            ).alias("result"),
-        )
+    paged = T.StructType([T.StructField("page_seq", T.LongType()), T.StructField("events", T.ArrayType(numbered.schema["event"].dataType))])
+    return numbered.mapInArrow(_into_pages(rows_per_page), paged).select(
+        "page_seq",
+        F.struct(
+            F.col("events"),
+            (F.array_max(F.transform("events", lambda e: e["ledger"])) + head_lead).alias("latestLedger"),
+            F.element_at("events", -1)["id"].alias("cursor"),
+        ).alias("result"),
     )
 
 
+def _into_pages(rows_per_page: int):
+    """Runs of rows of one partition, as they come, to lists of events; only the rows of an unfinished page are held back."""
+
+    def lists(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks().to_batches()[0]
+        starts = np.arange(0, rows.num_rows, rows_per_page)
+        first = rows.column("row").to_numpy()[starts]
+        page = (first >> 33 << 33) + (first & ((1 << 33) - 1)) // rows_per_page
+        events = pa.ListArray.from_arrays(pa.array(np.append(starts, rows.num_rows), pa.int32()), rows.column("event"))
+        return pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), events], ["page_seq", "events"])
+
+    def pack(batches):
+        held = []
+        for batch in batches:
+            rows = pa.Table.from_batches([*held, batch])
+            whole = rows.num_rows // rows_per_page * rows_per_page
+            if whole:
+                yield lists(rows.slice(0, whole))
+            held = rows.slice(whole).to_batches()
+        if held:
+            yield lists(pa.Table.from_batches(held))
+
+    return pack
+
+
 def number_pages(stored: DataFrame) -> DataFrame:
     """Consecutive page numbers for stored pages of ``encode_pages``: one small row per partition."""
     part = F.shiftright("page_seq", 33).alias("part")
@@ -207,5 +230,8 @@ def number_pages(stored: DataFrame) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, path: str, mode: str = "append") -> None:
-    """Land pages as JSON lines."""
-    pages.write.mode(mode).json(path)
+    """Land pages as JSON lines, compressed: the hex and base64 in them take several times their content.
+
+    Such a file is read by one task, so a file holds ``PAGES_PER_FILE`` at most.
+    """
+    pages.write.mode(mode).option("maxRecordsPerFile", PAGES_PER_FILE).json(path, compression="gzip")

@@ -164,3 +164,23 @@ def test_times_keep_all_64_bits(spark):
 
     shown = view(fold(events.where("pos = 0")).state, 1735689600 + 1).first()
     assert (shown.end_time, shown.cliff_time, shown.vested, shown.status) == (str(top), str(2**63), "0", "streaming")
+
+
+def test_pages_are_packed_where_they_stand(spark, tmp_path):
+    """Encoded events are sorted once and never shuffled; pages are runs of a partition's rows, landed files small and compressed."""
+    rows = [(i // 40, f"{i:06d}", f"{i:06d}", "withdrawn", i, 7 + i, 60 * i, "tx", "S", "R", None, 5) for i in range(1234)]
+    names = "page_seq long, pos string, event_id string, kind string, stream_id long, ledger long, closed_at long, tx_hash string, sender string, recipient string, token string, amount long"
+    wide = "total_amount", "start_time", "end_time", "cliff_time", "recipient_amount", "sender_refund"
+    log = spark.createDataFrame(rows, names).withColumns({n: F.lit(None).cast("bigint") for n in wide})
+    encoded = pages.encode_pages(log.repartition(5), "c", rows_per_page=7)
+    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 1
+    pages.write_pages(pages.number_pages(encoded), str(tmp_path / "landed"))
+    assert all(f.name.endswith(".json.gz") for f in (tmp_path / "landed").glob("part-*"))
+    got = pages.read_pages(spark, str(tmp_path / "landed")).orderBy("page_seq").collect()
+    assert [p.page_seq for p in got] == list(range(len(got)))
+    assert [e.id for p in got for e in p.result.events] == [r[2] for r in rows]
+    sizes = [len(p.result.events) for p in got]
+    parts = encoded.select(F.shiftright("page_seq", 33)).distinct().count()
+    assert max(sizes) == 7 and sum(n < 7 for n in sizes) <= parts
+    assert all(p.result.cursor == p.result.events[-1].id and p.result.latestLedger == p.result.events[-1].ledger + 10 for p in got)
