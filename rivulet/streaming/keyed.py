@@ -45,9 +45,11 @@ LOG = T.StructType(
 )
 # What a task needs of an event.
 NEEDED = [c for c in EVENT_COLUMNS if c not in ("stream_id", "tx_hash", "sender_refund")]
-# Whole numbers that may be null go to Python as texts, since pandas would make them floats.
+# An event goes to Python, and a row of LOG comes back, as one array of texts: a stream has few rows in a micro-batch, so what
+# a task spends goes with the number of columns that pandas cuts out and puts together for each stream.
 TIMES = [c for c in CREATED_FIELDS if c.endswith("_time")]
-WHOLE = {"ledger": int} | dict.fromkeys(["closed_at", *TIMES, *(f"chain_{c}" for c in TIMES)], Decimal)
+FLAGS = ("chain_cancelled", "on_chain")
+READ = dict.fromkeys(["page_seq", "pos", "ledger"], int) | dict.fromkeys(["closed_at", *TIMES, *(f"chain_{c}" for c in TIMES)], Decimal) | dict.fromkeys(FLAGS, "true".__eq__)
 
 
 def _with_chain(events: DataFrame, snapshot: DataFrame | None) -> DataFrame:
@@ -92,11 +94,18 @@ EVENT = [*NEEDED, *SNAPSHOT, "on_chain"]
 PLACE = {name: i for i, name in enumerate(LOG.fieldNames())}
 
 
+KINDS_OF = [READ.get(c) for c in EVENT]
+
+
+def _text(value) -> str | None:
+    return value if value is None or isinstance(value, str) else str(value).lower() if isinstance(value, bool) else str(value)
+
+
 def _line(**values) -> list:
-    """A row of LOG."""
+    """A row of LOG, in texts."""
     line = [None] * len(PLACE)
     for name, value in values.items():
-        line[PLACE[name]] = value
+        line[PLACE[name]] = _text(value)
     return line
 
 
@@ -106,7 +115,8 @@ def _applied(key, batches, state):
 
     events = []
     for frame in batches:
-        events += zip(*(frame[c].tolist() for c in EVENT), strict=True)
+        for texts in frame["event"].tolist():
+            events.append([t if t is None or kind is None else kind(t) for t, kind in zip(texts, KINDS_OF, strict=True)])
     events.sort(key=lambda e: e[:2])  # page_seq, pos
     names = ROW.fieldNames()
     version, row = 0, None
@@ -115,8 +125,7 @@ def _applied(key, batches, state):
         row = dict(zip(names, values, strict=True))
     first, out = row, []
     for values in events:
-        e = {c: None if v != v else v for c, v in zip(EVENT, values, strict=True)}  # a missing value may be NaN
-        e |= {c: kind(e[c]) for c, kind in WHOLE.items() if e[c] is not None}
+        e = dict(zip(EVENT, values, strict=True))
         outcome = "failed"
         if e["error"] is None:
             row, outcome = apply_event(row, e)
@@ -124,14 +133,15 @@ def _applied(key, batches, state):
     if row is not first:
         state.update((version + 1, *(row[n] for n in names)))
         out.append(_line(row_type=STATE, key=key[0], version=version + 1, **row))
-    yield pd.DataFrame(out, columns=list(PLACE), dtype=object)
+    yield pd.DataFrame({"line": out})
 
 
 def fold_stream(events: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
     """A stream of events (EVENT_COLUMNS) to a stream of outcomes and new rows (LOG)."""
     rows = _with_chain(events, snapshot).withColumn("key", _slot()).where(F.col("key").isNotNull())
-    rows = rows.select("key", *(F.col(c).cast("string") if c in WHOLE else F.col(c) for c in EVENT))
-    return rows.groupBy("key").applyInPandasWithState(_applied, LOG, STORED, "append", GroupStateTimeout.NoTimeout)
+    rows = rows.select("key", F.array(*(F.col(c).cast("string") for c in EVENT)).alias("event"))
+    lines = rows.groupBy("key").applyInPandasWithState(_applied, "line array<string>", STORED, "append", GroupStateTimeout.NoTimeout)
+    return lines.select(*(F.col("line")[PLACE[f.name]].cast(f.dataType).alias(f.name) for f in LOG.fields))
 
 
 def start(

@@ -76,3 +76,15 @@ def test_pages_late_and_again(spark, tmp_path):
     assert [w for i, w, c in last if i == 42] == ["55000000000000"]
     counts = {(r.kind, r.outcome): r.n for r in keyed.outcomes(spark, str(tmp_path / "out")).groupBy("kind", "outcome").agg(F.count("*").alias("n")).collect()}
     assert counts[("created", "duplicate")] == 1 and counts[("withdrawn", "applied")] == 1
+
+
+def test_events_and_lines_go_as_one_column(spark, tmp_path):
+    """What a stream costs in a micro-batch goes with the number of columns, so pandas gets one and gives one."""
+    source = spark.readStream.schema(event_schema()).json(str(tmp_path))
+    plan = keyed.fold_stream(source)._jdf.queryExecution().analyzed()
+    node = next(line for line in plan.toString().splitlines() if "FlatMapGroupsInPandasWithState" in line)
+    assert "line#" in node and "sender#" not in node
+    event = {c: None for c in keyed.EVENT} | {"kind": "created", "event_id": "7", "total_amount": "9", "sender": "", "on_chain": True}
+    assert keyed._text(True) == "true" and keyed._text(Decimal(5)) == "5" and keyed._text("") == "" and keyed._text(None) is None
+    row, outcome = keyed.apply_event(None, event)
+    assert outcome == "applied" and row["sender"] == ""
