@@ -193,3 +193,28 @@ def test_building_the_plan_starts_no_job(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert folded.state.count() > 0
+
+
+def test_events_are_shuffled_narrow_and_sorted_once(spark):
+    """The state asks for no second place in the page and no parts of amounts from the shuffle, and no join sorts the events."""
+    rng = random.Random(11)
+    events = make_events(rng, 900, 40, 10**9)
+    for e in events:
+        e["event_id"] = f"{e['event_id']}-{e['page_seq']:06d}-{e['pos']:06d}"
+    snapshot = make_rows(rng, 40, 0.3, 10**9, False)
+    log, _, known = frames(spark, events, None, snapshot, "number")
+    log = log.withColumn("pos", F.col("event_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        folded = fold(log.drop("pos"), None, known, tasks=7)
+        plan = folded.state._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin [stream_id" in plan
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(stream_id" in line and "page_seq" in line]
+        assert all("recipient" not in line and "step_n" not in line for line in dealt)
+        whole = fold(log, None, known)
+        assert rows_of(folded.state) == rows_of(whole.state)
+        assert sorted(folded.outcomes.collect()) == sorted(whole.outcomes.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    _, rows = apply_all([{**e, "pos": e["event_id"]} for e in events], None, snapshot)
+    assert rows_of(folded.state) == rows

@@ -8,7 +8,7 @@ import pytest
 from rivulet.operators import reads
 from rivulet.operators.fold import fold
 from rivulet.schemas import stream_schema
-from rivulet.sources.stored import SLOTS, StoredStreams
+from rivulet.sources.stored import BUCKETS, RANGES, ROWS_PER_BUCKET, SLOTS, StoredStreams, sizes
 from tests.model import apply_all
 from tests.test_fold import frames, make_events, make_rows, rows_of
 
@@ -73,6 +73,12 @@ def _formatted(frame):
     return frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
 
 
+def test_layouts_grow_with_the_streams():
+    assert sizes(0) == sizes(9_000) == {"buckets": BUCKETS, "ranges": RANGES}
+    for rows in (10**7, 54 * 10**6, 10**9):
+        assert all(rows / n <= ROWS_PER_BUCKET for n in sizes(rows).values())
+
+
 def test_empty(spark):
     stored = StoredStreams.write(table(spark).limit(0), buckets=2, ranges=2)
     assert stored.listed().collect() == [] and stored.count().first().total == 0 and stored.by_id("1").collect() == []
