@@ -10,6 +10,9 @@ from __future__ import annotations
 import numpy as np
 
 END = 1
+ROWS = 1024  # of a table of logits, which should stay in a core's cache
+EXPONENT = 80.0  # of which a 32-bit float holds the exponential
+BLOCK = 1 << 15  # parameters that are moved at a time
 
 
 class Gru:
@@ -49,59 +52,93 @@ class Gru:
 
     def states(self, ids: np.ndarray, start: np.ndarray):
         """Hidden states after each step of ids (steps, lanes), and what backpropagation needs. A lane starts anew after an end."""
-        n = self.hidden
-        gates = self.part["x"][ids]
-        h, kept = start, []
-        for t in range(len(ids)):
-            h = np.where((ids[t] == END)[:, None], np.float32(0), h)
-            inner = h @ self.part["u"]
-            z, r = (1 / (1 + np.exp(-(gates[t, :, :n] + inner[:, :n])))), (1 / (1 + np.exp(-(gates[t, :, n : 2 * n] + inner[:, n : 2 * n]))))
-            m = np.tanh(gates[t, :, 2 * n :] + r * inner[:, 2 * n :])
-            new = (1 - z) * m + z * h
-            kept.append((h, z, r, m, inner[:, 2 * n :]))
-            h = new
-        return h, kept
-
-    def outputs(self, h: np.ndarray, words: np.ndarray, gradient: dict | None = None, keep: np.ndarray | None = None):
-        """Natural log probabilities of words after states h; with ``gradient`` also adds to it, and returns the slope of h."""
+        n, (steps, lanes) = self.hidden, ids.shape
+        gates, going = self.part["x"][ids], (ids != END)[:, :, None].astype(self.flat.dtype)
+        np.negative(gates[:, :, : 2 * n], out=gates[:, :, : 2 * n])
+        h = start
+        old, m, new = (np.empty((steps, lanes, n), self.flat.dtype) for _ in range(3))
+        inner, zr = np.empty((steps, lanes, 3 * n), self.flat.dtype), np.empty((steps, lanes, 2 * n), self.flat.dtype)
+        for t in range(steps):
+            np.multiply(h, going[t], out=old[t])
+            np.matmul(old[t], self.part["u"], out=inner[t])
+            np.subtract(gates[t, :, : 2 * n], inner[t, :, : 2 * n], out=zr[t])
+            np.exp(zr[t], out=zr[t])
+            zr[t] += 1
+            np.reciprocal(zr[t], out=zr[t])
+            np.multiply(zr[t, :, n:], inner[t, :, 2 * n :], out=m[t])
+            m[t] += gates[t, :, 2 * n :]
+            np.tanh(m[t], out=m[t])
+            h = new[t]
+            np.subtract(old[t], m[t], out=h)
+            h *= zr[t, :, :n]
+            h += m[t]
+        return h, (old, zr[:, :, :n], zr[:, :, n:], m, inner[:, :, 2 * n :], new)
+
+    def tables(self):
+        """Weights with their biases beside them: of the classes, of the words; and for which states no sum of exponentials of
+        logits can leave the range of floats, so that none needs its maximum taken out: those of at most that size."""
+        room = []
+        for weights, bias, cuts in ((self.part["c"].T, self.part["d"], self.cuts[:1]), (self.part["o"], self.part["b"], self.cuts[:-1])):
+            swing = np.abs(weights) @ np.ones(self.hidden, weights.dtype)
+            # the best word of every class stays above -EXPONENT, all words below EXPONENT
+            safe = (bias + swing).max() < EXPONENT and np.maximum.reduceat(bias - swing, cuts).min() > -EXPONENT
+            room.append(1.0 if safe else 0.0)
+        return np.append(self.part["c"], self.part["d"][None, :], 0), np.append(self.part["o"], self.part["b"][:, None], 1), min(room)
+
+    def outputs(self, h: np.ndarray, words: np.ndarray, gradient: dict | None = None, keep: np.ndarray | None = None, tables: tuple | None = None):
+        """Natural log probabilities of words after states h; with ``gradient`` also adds to it, and returns the slope of h.
+
+        tables: what ``tables()`` gives for the parameters as they are.
+        """
+        top, words_in, room = tables or self.tables()
         k = self.class_of[words]
         order = np.argsort(k, kind="stable")
-        h, k = h[order], k[order]
+        k = k[order]
         w = words[order] - self.cuts[k]
         keep = None if keep is None else keep[order]
-        logits = h @ self.part["c"] + self.part["d"]
-        logits -= logits.max(1, keepdims=True)
-        rows = np.arange(len(h))
-        own = logits[rows, k]
-        p = np.exp(logits, out=logits)
-        total = p.sum(1, keepdims=True)
-        logs = own - np.log(total[:, 0])
-        if gradient is not None:
-            p /= -total
-            p[rows, k] += 1
-            p *= keep[:, None]
-            gradient["c"] += h.T @ p
-            gradient["d"] += p.sum(0)
-            by_state = p @ self.part["c"].T
+        # a one beside every state takes the biases into the products
+        x = np.ones((len(h), self.hidden + 1), h.dtype)
+        x[:, :-1] = h[order]
+        bounded = float(np.abs(h).max(initial=0)) <= room
+        ones = np.ones(max(self.classes, int(np.diff(self.cuts).max())), h.dtype)
+        rows, total, logs = np.arange(len(h)), np.empty(len(h), h.dtype), np.empty(len(h), h.dtype)
+        by_state = None if gradient is None else np.empty((len(h), self.hidden), h.dtype)
+
+        def softmax(i: int, j: int, weights: np.ndarray, own: np.ndarray) -> np.ndarray:
+            """Log numerators of rows i to j to ``logs``, sums to ``total``; the slopes of the logits, or what is left to be thrown away."""
+            p = x[i:j] @ weights
+            if not bounded:
+                p -= p.max(1, keepdims=True)
+            logs[i:j] = p[rows[: j - i], own[i:j]]
+            np.exp(p, out=p)
+            np.matmul(p, ones[: p.shape[1]], out=total[i:j])
+            if gradient is not None:
+                p *= (-keep[i:j] / total[i:j])[:, None]
+                p[rows[: j - i], own[i:j]] += keep[i:j]
+            return p
+
+        for i in range(0, len(h), ROWS):
+            p = softmax(i, min(i + ROWS, len(h)), top, k)
+            if gradient is not None:
+                slopes = x[i : i + ROWS].T @ p
+                gradient["c"] += slopes[:-1]
+                gradient["d"] += slopes[-1]
+                np.matmul(p, self.part["c"].T, out=by_state[i : i + ROWS])
+        found = logs - np.log(total)
         ends = np.searchsorted(k, np.arange(self.classes + 1))
         for c in np.flatnonzero(np.diff(ends)):
-            i, j, first, last = ends[c], ends[c + 1], self.cuts[c], self.cuts[c + 1]
-            x, rows = h[i:j], np.arange(j - i)
-            logits = x @ self.part["o"][first:last].T + self.part["b"][first:last]
-            logits -= logits.max(1, keepdims=True)
-            own = logits[rows, w[i:j]]
-            p = np.exp(logits, out=logits)
-            total = p.sum(1, keepdims=True)
-            logs[i:j] += own - np.log(total[:, 0])
-            if gradient is not None:
-                p /= -total
-                p[rows, w[i:j]] += 1
-                p *= keep[i:j, None]
-                gradient["o"][first:last] += p.T @ x
-                gradient["b"][first:last] += p.sum(0)
-                by_state[i:j] += p @ self.part["o"][first:last]
-        out = np.empty_like(logs)
-        out[order] = logs
+            first, last = self.cuts[c], self.cuts[c + 1]
+            for i in range(ends[c], ends[c + 1], ROWS):
+                j = min(i + ROWS, ends[c + 1])
+                p = softmax(i, j, words_in[first:last].T, w)
+                if gradient is not None:
+                    slopes = p.T @ x[i:j]
+                    gradient["o"][first:last] += slopes[:, :-1]
+                    gradient["b"][first:last] += slopes[:, -1]
+                    by_state[i:j] += p @ self.part["o"][first:last]
+        found += logs - np.log(total)
+        out = np.empty_like(found)
+        out[order] = found
         if gradient is None:
             return out, None
         slope = np.empty_like(by_state)
@@ -120,31 +157,33 @@ class Gru:
         n, (steps, lanes) = self.hidden, ids.shape
         last, kept = self.states(ids, start)
         # states as they left each step, before any fresh start
-        h = np.stack([(1 - z) * m + z * g for g, z, _, m, _ in kept]).reshape(steps * lanes, n)
+        old, z, r, m, inner, new = kept
+        h = new.reshape(steps * lanes, n)
         flat = np.zeros(self.dense, self.flat.dtype)
         g = self._parts(flat, {k: s for k, s in self.shapes.items() if k != "x"})
-        logs, slope = self.outputs(h, words.ravel(), g, keep.ravel().astype(np.float32))
+        count = max(float(keep.sum()), 1.0)
+        logs, slope = self.outputs(h, words.ravel(), g, (keep.ravel() / count).astype(np.float32))
         slope = slope.reshape(steps, lanes, n)
+        # what a slope of the state after a step makes of the slopes of its gates, and of what the state before it gave to them
+        by_m = (1 - z) * (1 - m * m)
+        by_gate = np.stack([(old - m) * z * (1 - z), by_m * inner * r * (1 - r), by_m], 2)
+        by_inner = by_gate.copy()
+        by_inner[:, :, 2] *= r
+        going = (ids != END)[:, :, None].astype(self.flat.dtype)
         back = np.zeros((lanes, n), np.float32)
-        by_gate = np.empty((steps, lanes, 3 * n), np.float32)
         for t in range(steps - 1, -1, -1):
-            old, z, r, m, inner = kept[t]
             d = slope[t] + back
-            dm = d * (1 - z) * (1 - m * m)
-            by_gate[t, :, :n] = d * (old - m) * z * (1 - z)
-            by_gate[t, :, n : 2 * n] = dm * inner * r * (1 - r)
-            by_gate[t, :, 2 * n :] = dm
-            by_inner = by_gate[t].copy()
-            by_inner[:, 2 * n :] *= r
-            g["u"] += old.T @ by_inner
-            back = (d * z + by_inner @ self.part["u"].T) * (ids[t] != END)[:, None]
+            by_gate[t] *= d[:, None]
+            by_inner[t] *= d[:, None]
+            d *= z[t]
+            d += by_inner[t].reshape(lanes, 3 * n) @ self.part["u"].T
+            d *= going[t]
+            back = d
+        g["u"] += old.reshape(-1, n).T @ by_inner.reshape(-1, 3 * n)
         order = np.argsort(ids.ravel(), kind="stable")
         sorted_ids = ids.ravel()[order]
         cut = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
         by_row = np.add.reduceat(by_gate.reshape(-1, 3 * n)[order], cut)
-        count = max(float(keep.sum()), 1.0)
-        flat /= count
-        by_row /= count
         return float((logs * keep.ravel()).sum()) / count, flat, sorted_ids[cut], by_row, last
 
     def train(self, stream: np.ndarray, *, lanes: int = 256, steps: int = 16, rate: float = 0.02) -> int:
@@ -165,18 +204,10 @@ class Gru:
         for turn, at in enumerate(range(0, length, steps), 1):
             _, g, rows, gx, h = self._slopes(ids[at : at + steps], words[at : at + steps], count[at : at + steps], h)
             up, scale = np.float32(rate / (1 - 0.9**turn)), np.float32(1 / (1 - 0.99**turn))
-            m *= 0.9
-            m += 0.1 * g
-            v *= 0.99
-            g *= g
-            g *= 0.01
-            v += g
-            np.sqrt(v, out=g)
-            g *= np.sqrt(scale)
-            g += 1e-6
-            np.divide(m, g, out=g)
-            g *= up
-            self.flat[: self.dense] += g
+            # the means are a tenth of m and a hundredth of v, so the root of the latter is a tenth of that of v
+            root = np.sqrt(scale)
+            for i in range(0, self.dense, BLOCK):
+                self._move(slice(i, min(i + BLOCK, self.dense)), g, m, v, up / root, np.float32(1e-5) / root)
             own, square = mx[rows], vx[rows]
             own += 0.1 * (gx - own)
             square += 0.01 * (gx * gx - square)
@@ -184,9 +215,23 @@ class Gru:
             self.part["x"][rows] += up * own / (np.sqrt(square * scale) + 1e-6)
         return len(stream)
 
-    def score(self, texts: list[np.ndarray], *, lanes: int = 256, steps: int = 32) -> np.ndarray:
+    def _move(self, some: slice, g, m, v, up, least) -> None:
+        """Moves some of the dense parameters by their slopes g; m and v are sums of past slopes and of their squares, which fade."""
+        g, m, v = g[some], m[some], v[some]
+        m *= np.float32(0.9)
+        m += g
+        g *= g
+        v *= np.float32(0.99)
+        v += g
+        np.sqrt(v, out=g)
+        g += least
+        np.divide(m, g, out=g)
+        g *= up
+        self.flat[some] += g
+
+    def score(self, texts: list[np.ndarray], *, lanes: int = 1024, steps: int = 32) -> np.ndarray:
         """Natural log probability of each text (ids closed by END); states are carried over the windows of long texts."""
-        out = np.zeros(len(texts))
+        out, tables = np.zeros(len(texts)), self.tables()
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         for at in range(0, len(order), lanes):
             group = order[at : at + lanes]
@@ -203,9 +248,9 @@ class Gru:
                 keep = np.arange(t, t + wide)[:, None] < sizes[None, :live]
                 ids = np.concatenate([before[None, :live], words[:-1]])
                 last, kept = self.states(ids, h[:live])
-                hidden = np.stack([(1 - z) * m + z * g for g, z, _, m, _ in kept])
+                hidden = kept[-1]
                 logs = np.zeros((wide, live))
-                logs[keep], _ = self.outputs(hidden[keep], words[keep])
+                logs[keep], _ = self.outputs(hidden[keep], words[keep], tables=tables)
                 out[group[:live]] += logs.sum(0)
                 h, before = last, words[-1]
         return out

@@ -92,3 +92,26 @@ def test_start_from_counts():
         model.part[name][:] = 0
     logs = model.outputs(np.zeros((3000, 4), np.float32), np.arange(3000))[0]
     assert np.allclose(np.exp(logs), (counts + 0.5) / (counts + 0.5).sum(), atol=1e-6)
+
+
+def test_large_weights_and_large_states_keep_their_probabilities():
+    for grown, size in ((1, 1), (300, 1), (1, 2000)):
+        model = Gru(40, hidden=5, seed=3)
+        model.flat *= grown
+        h = np.random.default_rng(1).uniform(-size, size, (1, 5)).astype(np.float32)
+        assert (model.tables()[2] >= np.abs(h).max()) == (grown == size == 1)  # only then no maximum is taken out
+        words, part = np.arange(40), {k: v.astype(np.float64) for k, v in model.part.items()}
+        log_softmax = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+        by_class = log_softmax(h[0] @ part["c"] + part["d"])
+        inside = h[0] @ part["o"].T + part["b"]
+        wanted = np.concatenate([by_class[c] + log_softmax(inside[i:j]) for c, (i, j) in enumerate(zip(model.cuts[:-1], model.cuts[1:]))])
+        assert np.allclose(model.outputs(np.repeat(h, 40, 0), words)[0], wanted, rtol=1e-4, atol=1e-4)
+
+
+def test_training_moves_by_corrected_means():
+    words = np.random.default_rng(2).integers(0, 30, (10, 1))
+    model, twin = Gru(30, hidden=4, seed=1), Gru(30, hidden=4, seed=1)
+    assert model.train(words[:, 0], lanes=1, steps=10) == 10
+    _, g, _ = twin.gradient(np.concatenate([[[END]], words[:-1]]), words, np.ones((10, 1), bool), np.zeros((1, 4), np.float32))
+    # after one window both means, corrected, are the slope and its square
+    assert np.allclose(model.flat, twin.flat + 0.02 * g / (np.abs(g) + 1e-6), atol=1e-4)
