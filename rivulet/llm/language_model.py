@@ -53,13 +53,21 @@ class Corpus:
     counts: np.ndarray  # of all ids
 
     def __post_init__(self):
+        """Slots by the first bits of a hash: where the sorted hashes of a slot begin, and how many the fullest holds."""
         self.order = np.argsort(self.words)
+        self.sorted = self.words[self.order]
+        bits = max(len(self.words).bit_length() + 3, 8)
+        self.shift = np.uint64(64 - bits)
+        ends = np.searchsorted(self.sorted >> self.shift, np.arange(1 << bits, dtype=np.uint64), "right")
+        counts = np.diff(ends, prepend=0)
+        self.first, self.most = (ends - counts).astype(np.int32), int(counts.max())
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.int64)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, h, sorter=self.order), len(self.words) - 1)
-            own = self.words[self.order[at]] == h
+        first = self.first[h >> self.shift]
+        for k in range(self.most):
+            at = np.minimum(first + k, len(self.words) - 1)
+            own = np.flatnonzero(self.sorted[at] == h)
             out[own] = self.order[at[own]] + 2
         out[h == END_HASH] = END
         return out
@@ -88,10 +96,20 @@ def _note(chunk, bucket, data=None, word=None, count=None, tokens=None, known=No
     return pa.Table.from_arrays([pa.array(none if c is None else c, t) for c, t in columns], names=[x.split()[0] for x in _NOTE.split(", ")])
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As np.unique with the inverse; only the distinct hashes are sorted."""
+    coded = pa.array(h).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[coded.indices.to_numpy()]
+
+
 def _own(table: pa.Table, buckets: int):
     """A chunk's tokens, their distinct hashes in order of buckets, and the bucket of each."""
     h, at = _tokens(table.column("text"))
-    distinct, which = np.unique(h, return_inverse=True)
+    distinct, which = _distinct(h)
     return h, at, distinct, which, ((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
@@ -114,7 +132,7 @@ def _sum(top: int):
         data, sizes = table.column("data").to_pylist(), table.column("count").to_pylist()
         h = np.concatenate([np.frombuffer(d, np.uint64, n) for d, n in zip(data, sizes, strict=True)])
         count = np.concatenate([np.frombuffer(zlib.decompress(d[8 * n :]), np.uint64) for d, n in zip(data, sizes, strict=True)])
-        distinct, which = np.unique(h, return_inverse=True)
+        distinct, which = _distinct(h)
         total = np.zeros(len(distinct), np.uint64)
         np.add.at(total, which, count)
         answer, at = total[which], np.cumsum([0, *sizes])

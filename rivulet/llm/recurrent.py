@@ -7,14 +7,65 @@ wider, so that the cost of a word grows far slower than ``size``.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 END = 1
-ROWS = 1024  # of a table of logits, which should stay in a core's cache
+LOGITS = 1 << 16  # that are taken at a time, which should stay in a core's cache
 EXPONENT = 80.0  # of which a 32-bit float holds the exponential
 BLOCK = 1 << 15  # parameters that are moved at a time
 
 
+def _softmax(x: np.ndarray, weights: np.ndarray, cuts: np.ndarray, k: np.ndarray, own: np.ndarray, bounded: bool, keep: np.ndarray | None, gradient: np.ndarray | None):
+    """Log probability of the item own among items cuts[k] to cuts[k + 1], for every row of x; rows come in order of k.
+
+    With a gradient also sets it for the items that are met, with weights keep, and returns the slopes of x without its last column.
+    The products are taken class by class into one vector, on which all else is done at once.
+    """
+    upto = np.append(0, np.cumsum(np.diff(cuts)[k]))
+    turn = upto[:-1] // LOGITS
+    fresh = np.append(True, turn[1:] != turn[:-1])
+    starts = np.append(np.flatnonzero(fresh), len(x))
+    edges = np.append(np.flatnonzero(fresh | np.append(True, k[1:] != k[:-1])), len(x))
+    own, logs = own - cuts[k], np.empty(len(x), x.dtype)
+    room = np.empty(LOGITS + int(np.diff(cuts).max()), x.dtype)
+    slopes = None if gradient is None else np.empty((len(x), x.shape[1] - 1), x.dtype)
+    place = 0
+    for i, j in zip(starts[:-1], starts[1:], strict=True):
+        at, p = upto[i:j] - upto[i], room[: upto[j] - upto[i]]
+        parts = []
+        while edges[place] < j:
+            first, last = edges[place], edges[place + 1]
+            items = slice(cuts[k[first]], cuts[k[first] + 1])
+            part = p[upto[first] - upto[i] : upto[last] - upto[i]].reshape(last - first, -1)
+            np.matmul(x[first:last], weights[:, items], out=part)
+            parts.append((slice(first, last), items, part))
+            place += 1
+        if not bounded:
+            p -= np.repeat(np.maximum.reduceat(p, at), np.diff(upto[i : j + 1]))
+        mine = at + own[i:j]
+        found = p[mine]
+        np.exp(p, out=p)
+        total = np.add.reduceat(p, at)
+        logs[i:j] = found - np.log(total)
+        if gradient is None:
+            continue
+        # the slope of a logit is keep * (own item or not - p / total)
+        p[mine] -= total
+        scale = (-keep[i:j] / total)[:, None]
+        scaled = x[i:j] * scale
+        for rows, items, part in parts:
+            mine = scaled[rows.start - i : rows.stop - i].T
+            if rows.start and k[rows.start - 1] == k[rows.start]:
+                gradient[:, items] += mine @ part
+            else:
+                np.matmul(mine, part, out=gradient[:, items])
+            np.matmul(part, weights[:-1, items].T, out=slopes[rows])
+        slopes[i:j] *= scale
+    return logs, slopes
+
+
 class Gru:
     """Parameters live in one flat vector, so that models of several workers can be averaged."""
 
@@ -25,15 +76,16 @@ class Gru:
             cuts.append(min(size, cuts[-1] + max(8, int(np.ceil(cuts[-1] ** (2 / 3))))))
         self.cuts, self.classes = np.array(cuts), len(cuts) - 1
         self.class_of = np.repeat(np.arange(self.classes, dtype=np.int16), np.diff(cuts))
-        # the rows of x come last: a window touches few of them, and all of the rest
-        shapes = {"u": (hidden, 3 * hidden), "c": (hidden, self.classes), "d": (self.classes,), "o": (size, hidden), "b": (size,), "x": (size, 3 * hidden)}
+        # weights with their biases beside them: of the classes (c, d), of the words (o, b). The rows of x come last: a window
+        # touches few of them, and all of the rest
+        shapes = {"u": (hidden, 3 * hidden), "cd": (hidden + 1, self.classes), "ob": (hidden + 1, size), "x": (size, 3 * hidden)}
         self.flat = np.zeros(sum(int(np.prod(s)) for s in shapes.values()), np.float32)
         self.dense = len(self.flat) - size * 3 * hidden
         self.part = self._parts(self.flat, shapes)
         self.shapes = shapes
         rng = np.random.default_rng(seed)
         for name in ("x", "u", "c", "o"):
-            self.part[name][:] = rng.normal(0, 0.1, shapes[name])
+            self.part[name][:] = rng.normal(0, 0.1, self.part[name].shape)
 
     def start_from(self, counts: np.ndarray):
         """Biases that give every word its share of ``counts`` (of all ids)."""
@@ -48,101 +100,70 @@ class Gru:
             n = int(np.prod(shape))
             out[name] = flat[at : at + n].reshape(shape)
             at += n
+        out["c"], out["d"], out["o"], out["b"] = out["cd"][:-1], out["cd"][-1], out["ob"][:-1].T, out["ob"][-1]
         return out
 
-    def states(self, ids: np.ndarray, start: np.ndarray):
-        """Hidden states after each step of ids (steps, lanes), and what backpropagation needs. A lane starts anew after an end."""
+    def states(self, ids: np.ndarray, start: np.ndarray, whole: bool = True):
+        """Hidden states after each step of ids (steps, lanes), and what backpropagation needs. A lane starts anew after an end.
+
+        Lanes come last inside, so that every gate of a step is one contiguous block: start and the last states have lanes first,
+        what is kept has (steps, units, lanes). Without whole, the states alone are kept of all steps.
+        """
         n, (steps, lanes) = self.hidden, ids.shape
-        gates, going = self.part["x"][ids], (ids != END)[:, :, None].astype(self.flat.dtype)
-        np.negative(gates[:, :, : 2 * n], out=gates[:, :, : 2 * n])
-        h = start
-        old, m, new = (np.empty((steps, lanes, n), self.flat.dtype) for _ in range(3))
-        inner, zr = np.empty((steps, lanes, 3 * n), self.flat.dtype), np.empty((steps, lanes, 2 * n), self.flat.dtype)
+        deep, going = steps if whole else 1, (ids != END).astype(self.flat.dtype)
+        h, u = start.T, self.part["u"].T
+        new = np.empty((steps, n, lanes), self.flat.dtype)
+        old, m = (np.empty((deep, n, lanes), self.flat.dtype) for _ in range(2))
+        inner, zr = np.empty((deep, 3 * n, lanes), self.flat.dtype), np.empty((deep, 2 * n, lanes), self.flat.dtype)
         for t in range(steps):
-            np.multiply(h, going[t], out=old[t])
-            np.matmul(old[t], self.part["u"], out=inner[t])
-            np.subtract(gates[t, :, : 2 * n], inner[t, :, : 2 * n], out=zr[t])
-            np.exp(zr[t], out=zr[t])
-            zr[t] += 1
-            np.reciprocal(zr[t], out=zr[t])
-            np.multiply(zr[t, :, n:], inner[t, :, 2 * n :], out=m[t])
-            m[t] += gates[t, :, 2 * n :]
-            np.tanh(m[t], out=m[t])
+            k = t % deep
+            gates = np.take(self.part["x"], ids[t], 0).T
+            np.multiply(h, going[t], out=old[k])
+            np.matmul(u, old[k], out=inner[k])
+            np.add(gates[: 2 * n], inner[k, : 2 * n], out=zr[k])
+            np.negative(zr[k], out=zr[k])
+            np.exp(zr[k], out=zr[k])
+            zr[k] += 1
+            np.reciprocal(zr[k], out=zr[k])
+            np.multiply(zr[k, n:], inner[k, 2 * n :], out=m[k])
+            m[k] += gates[2 * n :]
+            np.tanh(m[k], out=m[k])
             h = new[t]
-            np.subtract(old[t], m[t], out=h)
-            h *= zr[t, :, :n]
-            h += m[t]
-        return h, (old, zr[:, :, :n], zr[:, :, n:], m, inner[:, :, 2 * n :], new)
+            np.subtract(old[k], m[k], out=h)
+            h *= zr[k, :n]
+            h += m[k]
+        return h.T, (old, zr[:, :n], zr[:, n:], m, inner[:, 2 * n :], new)
 
     def tables(self):
-        """Weights with their biases beside them: of the classes, of the words; and for which states no sum of exponentials of
-        logits can leave the range of floats, so that none needs its maximum taken out: those of at most that size."""
-        room = []
-        for weights, bias, cuts in ((self.part["c"].T, self.part["d"], self.cuts[:1]), (self.part["o"], self.part["b"], self.cuts[:-1])):
-            swing = np.abs(weights) @ np.ones(self.hidden, weights.dtype)
-            # the best word of every class stays above -EXPONENT, all words below EXPONENT
-            safe = (bias + swing).max() < EXPONENT and np.maximum.reduceat(bias - swing, cuts).min() > -EXPONENT
-            room.append(1.0 if safe else 0.0)
-        return np.append(self.part["c"], self.part["d"][None, :], 0), np.append(self.part["o"], self.part["b"][:, None], 1), min(room)
+        """Weights with their biases beside them: of the classes, of the words; and for which states no exponential of a logit can
+        leave the range of floats, so that no maximum has to be taken out: those of at most that size."""
+        both = self.part["cd"], self.part["ob"]
+        most = max((np.ones(self.hidden + 1, w.dtype) @ np.abs(w)).max() for w in both)
+        return *both, 1.0 if most < EXPONENT else 0.0
 
     def outputs(self, h: np.ndarray, words: np.ndarray, gradient: dict | None = None, keep: np.ndarray | None = None, tables: tuple | None = None):
-        """Natural log probabilities of words after states h; with ``gradient`` also adds to it, and returns the slope of h.
+        """Natural log probabilities of words after states h; with ``gradient`` (of zeros) also sets it, and returns the slope of h.
 
         tables: what ``tables()`` gives for the parameters as they are.
         """
         top, words_in, room = tables or self.tables()
         k = self.class_of[words]
         order = np.argsort(k, kind="stable")
-        k = k[order]
-        w = words[order] - self.cuts[k]
+        k, words = k[order], words[order]
         keep = None if keep is None else keep[order]
         # a one beside every state takes the biases into the products
         x = np.ones((len(h), self.hidden + 1), h.dtype)
-        x[:, :-1] = h[order]
+        x[:, :-1] = np.take(h, order, 0)
         bounded = float(np.abs(h).max(initial=0)) <= room
-        ones = np.ones(max(self.classes, int(np.diff(self.cuts).max())), h.dtype)
-        rows, total, logs = np.arange(len(h)), np.empty(len(h), h.dtype), np.empty(len(h), h.dtype)
-        by_state = None if gradient is None else np.empty((len(h), self.hidden), h.dtype)
-
-        def softmax(i: int, j: int, weights: np.ndarray, own: np.ndarray) -> np.ndarray:
-            """Log numerators of rows i to j to ``logs``, sums to ``total``; the slopes of the logits, or what is left to be thrown away."""
-            p = x[i:j] @ weights
-            if not bounded:
-                p -= p.max(1, keepdims=True)
-            logs[i:j] = p[rows[: j - i], own[i:j]]
-            np.exp(p, out=p)
-            np.matmul(p, ones[: p.shape[1]], out=total[i:j])
-            if gradient is not None:
-                p *= (-keep[i:j] / total[i:j])[:, None]
-                p[rows[: j - i], own[i:j]] += keep[i:j]
-            return p
-
-        for i in range(0, len(h), ROWS):
-            p = softmax(i, min(i + ROWS, len(h)), top, k)
-            if gradient is not None:
-                slopes = x[i : i + ROWS].T @ p
-                gradient["c"] += slopes[:-1]
-                gradient["d"] += slopes[-1]
-                np.matmul(p, self.part["c"].T, out=by_state[i : i + ROWS])
-        found = logs - np.log(total)
-        ends = np.searchsorted(k, np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            first, last = self.cuts[c], self.cuts[c + 1]
-            for i in range(ends[c], ends[c + 1], ROWS):
-                j = min(i + ROWS, ends[c + 1])
-                p = softmax(i, j, words_in[first:last].T, w)
-                if gradient is not None:
-                    slopes = p.T @ x[i:j]
-                    gradient["o"][first:last] += slopes[:, :-1]
-                    gradient["b"][first:last] += slopes[:, -1]
-                    by_state[i:j] += p @ self.part["o"][first:last]
-        found += logs - np.log(total)
+        into = (None, None) if gradient is None else (gradient["cd"], gradient["ob"])
+        found, slopes = _softmax(x, top, np.array([0, self.classes]), np.zeros_like(k), k, bounded, keep, into[0])
+        inside, more = _softmax(x, words_in, self.cuts, k, words, bounded, keep, into[1])
         out = np.empty_like(found)
-        out[order] = found
+        out[order] = found + inside
         if gradient is None:
             return out, None
-        slope = np.empty_like(by_state)
-        slope[order] = by_state
+        slope = np.empty_like(slopes)
+        slope[order] = slopes + more
         return out, slope
 
     def gradient(self, ids: np.ndarray, words: np.ndarray, keep: np.ndarray, start: np.ndarray):
@@ -158,33 +179,41 @@ class Gru:
         last, kept = self.states(ids, start)
         # states as they left each step, before any fresh start
         old, z, r, m, inner, new = kept
-        h = new.reshape(steps * lanes, n)
+        h = new.transpose(0, 2, 1).reshape(steps * lanes, n)
         flat = np.zeros(self.dense, self.flat.dtype)
         g = self._parts(flat, {k: s for k, s in self.shapes.items() if k != "x"})
         count = max(float(keep.sum()), 1.0)
         logs, slope = self.outputs(h, words.ravel(), g, (keep.ravel() / count).astype(np.float32))
-        slope = slope.reshape(steps, lanes, n)
-        # what a slope of the state after a step makes of the slopes of its gates, and of what the state before it gave to them
-        by_m = (1 - z) * (1 - m * m)
-        by_gate = np.stack([(old - m) * z * (1 - z), by_m * inner * r * (1 - r), by_m], 2)
-        by_inner = by_gate.copy()
-        by_inner[:, :, 2] *= r
-        going = (ids != END)[:, :, None].astype(self.flat.dtype)
-        back = np.zeros((lanes, n), np.float32)
+        slope = slope.reshape(steps, lanes, n).transpose(0, 2, 1)
+        # what a slope of the state after a step makes of the slopes of its gates, as the state before it met them
+        one = self.flat.dtype.type(1)
+        by_m = (one - z) * (one - m * m)
+        by_inner = np.empty((steps, 3, n, lanes), self.flat.dtype)
+        np.multiply((old - m) * z, one - z, out=by_inner[:, 0])
+        np.multiply(by_m, r, out=by_inner[:, 2])
+        np.multiply(by_inner[:, 2] * inner, one - r, out=by_inner[:, 1])
+        going = (ids != END).astype(self.flat.dtype)
+        back = np.zeros((n, lanes), np.float32)
         for t in range(steps - 1, -1, -1):
             d = slope[t] + back
-            by_gate[t] *= d[:, None]
-            by_inner[t] *= d[:, None]
+            by_m[t] *= d
+            by_inner[t] *= d
             d *= z[t]
-            d += by_inner[t].reshape(lanes, 3 * n) @ self.part["u"].T
+            d += self.part["u"] @ by_inner[t].reshape(3 * n, lanes)
             d *= going[t]
             back = d
-        g["u"] += old.reshape(-1, n).T @ by_inner.reshape(-1, 3 * n)
-        order = np.argsort(ids.ravel(), kind="stable")
-        sorted_ids = ids.ravel()[order]
-        cut = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
-        by_row = np.add.reduceat(by_gate.reshape(-1, 3 * n)[order], cut)
-        return float((logs * keep.ravel()).sum()) / count, flat, sorted_ids[cut], by_row, last
+        by_gate = by_inner.reshape(steps, 3 * n, lanes)
+        g["u"] += np.matmul(old, by_gate.transpose(0, 2, 1)).sum(0)
+        # the word itself meets the new state before the gate that the state before meets
+        by_inner[:, 2] = by_m
+        ids = ids.ravel()
+        rows = np.flatnonzero(np.bincount(ids, minlength=self.size))
+        place = np.empty(self.size, np.int64)
+        place[rows] = np.arange(len(rows))
+        which, by_row = place[ids], np.empty((len(rows), 3 * n), self.flat.dtype)
+        for c, by_cell in enumerate(by_gate.transpose(1, 0, 2).reshape(3 * n, -1)):
+            by_row[:, c] = np.bincount(which, by_cell, len(rows))
+        return float((logs * keep.ravel()).sum()) / count, flat, rows, by_row, last
 
     def train(self, stream: np.ndarray, *, lanes: int = 256, steps: int = 16, rate: float = 0.02) -> int:
         """One pass over a stream of texts (each closed by END), in windows of ``steps`` words on ``lanes`` lanes; returns the words."""
@@ -206,18 +235,18 @@ class Gru:
             up, scale = np.float32(rate / (1 - 0.9**turn)), np.float32(1 / (1 - 0.99**turn))
             # the means are a tenth of m and a hundredth of v, so the root of the latter is a tenth of that of v
             root = np.sqrt(scale)
+            up, least = up / root, np.float32(1e-5) / root
             for i in range(0, self.dense, BLOCK):
-                self._move(slice(i, min(i + BLOCK, self.dense)), g, m, v, up / root, np.float32(1e-5) / root)
-            own, square = mx[rows], vx[rows]
-            own += 0.1 * (gx - own)
-            square += 0.01 * (gx * gx - square)
+                some = slice(i, min(i + BLOCK, self.dense))
+                self.flat[some] += self._move(g[some], m[some], v[some], up, least)
+            own, square = np.take(mx, rows, 0), np.take(vx, rows, 0)
+            self.part["x"][rows] += self._move(gx, own, square, up, least)
             mx[rows], vx[rows] = own, square
-            self.part["x"][rows] += up * own / (np.sqrt(square * scale) + 1e-6)
         return len(stream)
 
-    def _move(self, some: slice, g, m, v, up, least) -> None:
-        """Moves some of the dense parameters by their slopes g; m and v are sums of past slopes and of their squares, which fade."""
-        g, m, v = g[some], m[some], v[some]
+    @staticmethod
+    def _move(g, m, v, up, least) -> np.ndarray:
+        """By how much some parameters move by their slopes g, which are lost; m and v are sums of past slopes and of their squares, which fade."""
         m *= np.float32(0.9)
         m += g
         g *= g
@@ -227,30 +256,38 @@ class Gru:
         g += least
         np.divide(m, g, out=g)
         g *= up
-        self.flat[some] += g
+        return g
+
+    def score(self, texts: list[np.ndarray], *, lanes: int = 512, steps: int = 64) -> np.ndarray:
+        """Natural log probability of each text (ids closed by END), in windows of ``steps`` words on ``lanes`` lanes.
 
-    def score(self, texts: list[np.ndarray], *, lanes: int = 1024, steps: int = 32) -> np.ndarray:
-        """Natural log probability of each text (ids closed by END); states are carried over the windows of long texts."""
-        out, tables = np.zeros(len(texts)), self.tables()
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        for at in range(0, len(order), lanes):
-            group = order[at : at + lanes]
-            sizes = np.array([len(texts[i]) for i in group])
-            h = np.zeros((len(group), self.hidden), np.float32)
-            before = np.full(len(group), END)
-            for t in range(0, int(sizes[0]), steps):
-                live = int((sizes > t).sum())
-                wide = min(steps, int(sizes[0]) - t)
-                words = np.zeros((wide, live), np.int64)
-                for k in range(live):
-                    part = texts[group[k]][t : t + wide]
-                    words[: len(part), k] = part
-                keep = np.arange(t, t + wide)[:, None] < sizes[None, :live]
-                ids = np.concatenate([before[None, :live], words[:-1]])
-                last, kept = self.states(ids, h[:live])
-                hidden = kept[-1]
-                logs = np.zeros((wide, live))
-                logs[keep], _ = self.outputs(hidden[keep], words[keep], tables=tables)
-                out[group[:live]] += logs.sum(0)
-                h, before = last, words[-1]
+        Texts follow each other on their lane, since an end starts it anew, and the longest ones are dealt first: the lanes end together.
+        """
+        sizes = np.array([len(x) for x in texts], np.int64)
+        if not len(sizes):
+            return np.zeros(0)
+        lanes = int(max(1, min(lanes, sizes.sum() // sizes.max())))
+        free, starts = [(0, lane) for lane in range(lanes)], np.empty((2, len(texts)), np.int64)
+        for i in np.argsort(-sizes, kind="stable"):
+            at, lane = free[0]
+            starts[:, i] = lane, at
+            heapq.heapreplace(free, (at + int(sizes[i]), lane))
+        length = max(at for at, _ in free)
+        words, keep, logs = np.full((lanes, length), END, np.int32), np.zeros((lanes, length), bool), np.zeros((lanes, length))
+        for text, lane, at in zip(texts, *starts.tolist(), strict=True):
+            words[lane, at : at + len(text)] = text
+            keep[lane, at : at + len(text)] = True
+        h, before, tables = np.zeros((lanes, self.hidden), np.float32), np.full((1, lanes), END, np.int32), self.tables()
+        for t in range(0, length, steps):
+            some, own = np.ascontiguousarray(words[:, t : t + steps].T), np.flatnonzero(keep[:, t : t + steps].T)
+            h, kept = self.states(np.concatenate([before, some[:-1]]), h, whole=False)
+            hidden = np.take(kept[-1].transpose(0, 2, 1).reshape(some.size, self.hidden), own, 0)
+            found = np.zeros(some.size)
+            found[own], _ = self.outputs(hidden, some.ravel()[own], tables=tables)
+            logs[:, t : t + steps] = found.reshape(some.shape).T
+            before = some[-1:]
+        at = starts[0] * length + starts[1]
+        order, out = np.argsort(at), np.empty(len(texts))
+        # what follows the last text of a lane is zero
+        out[order] = np.add.reduceat(logs.ravel(), at[order])
         return out

@@ -6,7 +6,8 @@ from collections import Counter
 
 import numpy as np
 
-from rivulet.llm.language_model import LEAST, MOST, SHARE, _network_words, score_texts
+from rivulet.llm import recurrent
+from rivulet.llm.language_model import END_HASH, LEAST, MOST, SHARE, Corpus, _distinct, _network_words, score_texts
 from rivulet.llm.recurrent import END, Gru
 
 
@@ -115,3 +116,35 @@ def test_training_moves_by_corrected_means():
     _, g, _ = twin.gradient(np.concatenate([[[END]], words[:-1]]), words, np.ones((10, 1), bool), np.zeros((1, 4), np.float32))
     # after one window both means, corrected, are the slope and its square
     assert np.allclose(model.flat, twin.flat + 0.02 * g / (np.abs(g) + 1e-6), atol=1e-4)
+
+
+def test_texts_share_lanes_without_gaps(monkeypatch):
+    model, steps = Gru(40, hidden=5, seed=3), []
+    states = Gru.states
+    monkeypatch.setattr(Gru, "states", lambda self, ids, *rest, **more: steps.append(len(ids)) or states(self, ids, *rest, **more))
+    texts = [np.append(np.random.default_rng(i).integers(2, 40, n - 1), END) for i, n in enumerate([400, *[10] * 40, 1])]
+    apart = [model.score([x])[0] for x in texts]
+    steps.clear()
+    assert np.allclose(model.score(texts, lanes=2, steps=30), apart, atol=1e-3)
+    assert sum(steps) <= 401  # the longest text sets the pace, the others fill the second lane
+
+
+def test_gradient_over_many_pieces(monkeypatch):
+    ids = np.random.default_rng(4).integers(0, 60, (9, 7))
+    whole = Gru(60, hidden=4, seed=2).gradient(ids, ids[::-1], np.ones((9, 7), bool), np.zeros((7, 4), np.float32))
+    monkeypatch.setattr(recurrent, "LOGITS", 16)
+    cut = Gru(60, hidden=4, seed=2).gradient(ids, ids[::-1], np.ones((9, 7), bool), np.zeros((7, 4), np.float32))
+    assert abs(whole[0] - cut[0]) < 1e-5 and np.allclose(whole[1], cut[1], atol=1e-6)
+
+
+def test_ids_and_distinct_hashes():
+    rng = np.random.default_rng(6)
+    # hashes that share their first bits, at both ends of the range
+    known = np.unique(np.concatenate([rng.integers(0, 2**64, 500, dtype=np.uint64), np.arange(9, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(9, dtype=np.uint64)]))
+    known = rng.permutation(known)
+    h = np.concatenate([rng.choice(known, 2000), rng.integers(0, 2**64, 500, dtype=np.uint64), [END_HASH]])
+    at = {int(x): i + 2 for i, x in enumerate(known)} | {int(END_HASH): END}
+    assert Corpus(0, 0, known, 0, 0, None).ids(h).tolist() == [at.get(int(x), 0) for x in h]
+    assert Corpus(0, 0, known[:0], 0, 0, None).ids(h).tolist() == [0] * 2500 + [END]
+    for some in (h, h[:0]):
+        assert all(np.array_equal(a, b) for a, b in zip(_distinct(some), np.unique(some, return_inverse=True)))
