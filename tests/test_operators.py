@@ -1,10 +1,13 @@
 """Failures, position, reads and metrics on small hand-made inputs."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.operators import failures, metrics, position, reads
+from rivulet.operators import failures, metrics, position, reads, skew
 from rivulet.operators.skew import HOT_ROWS_SETTING
+from rivulet.sources import tables
 from rivulet.sources.stored import StoredStreams
 from rivulet.schemas import event_schema, stream_schema
 
@@ -251,3 +254,26 @@ def test_summaries_of_parts_merge_to_that_of_the_whole(spark):
     assert by(metrics.gauge_of(kept, labels)) == by(metrics.gauge(log, labels, "ms", order))
     nothing = metrics.summary(log.limit(0), labels, "ms", order)
     assert by(metrics.merge(labels, nothing, kept)) == by(kept)
+
+
+def test_hot_keys_are_counted_only_where_a_group_of_keys_is_full(spark, monkeypatch):
+    rows = spark.createDataFrame([(k,) for k, n in ((1, 5), (2, 4), (3, 3), (None, 9)) for _ in range(n)], "k long")
+    spark.conf.set(skew.HOT_ROWS_SETTING, "3")
+    try:
+        for groups in (1, 2, skew.GROUPS):
+            monkeypatch.setattr(skew, "GROUPS", groups)
+            assert sorted(r.k for r in skew.hot_keys(rows, "k").collect()) == [1, 2]
+    finally:
+        spark.conf.unset(skew.HOT_ROWS_SETTING)
+
+
+def test_counting_the_log_builds_no_events(spark, tmp_path):
+    orders = [(k, 7, "F" if k % 8 else "O", 10.5, datetime.datetime(1995, 1, k), "1-URGENT") for k in range(1, 10)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    items = [(1, 1, 2, 57, 3.5, datetime.datetime(1995, 2, 1))]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    log = tables.event_log(spark, str(tmp_path), (0,))
+    kinds = sorted((r.kind, r.stream_id) for r in log.collect())
+    assert kinds == [("cancelled", 4), *(("created", k) for k in range(1, 10) if k != 3), ("withdrawn", 1)]
+    plan = log.groupBy("stream_id").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "lpad" not in plan and "concat" not in plan
