@@ -46,6 +46,7 @@ FAILURES = "event_id string, kind string, stream_id string, ledger bigint, error
 COUNTERS = "kind string, outcome string, value bigint"
 COUNTED = [(k, o) for k in (*KINDS, "unknown") for o in ("applied", "duplicate", "reconciled", "missing", "failed")]
 NO_BUCKET = -1
+COMPRESSION = "zstd"  # ids, hashes and addresses take much less room than with the default
 DEFAULT_BUCKETS = 64
 
 
@@ -165,15 +166,13 @@ class MirrorStore:
         stored = self.streams(before, touched)
 
         folded = fold(events, stored, snapshot)
-        folded.classified.persist()
         # The counters of the batch are observed while its outcomes are written.
         seen = Observation(f"outcomes-{number}")
         self._write(folded.outcomes.select(*OUTCOME_COLUMNS).observe(seen, *(F.count_if((F.col("kind") == k) & (F.col("outcome") == o)).alias(f"{k} {o}") for k, o in COUNTED)), "outcomes", number)
         placed = folded.state.select(*STREAM_COLUMNS).withColumn("bucket", self.bucket_of(F.col("stream_id")))
         placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{self.path}/data/version={number}"
+            f"{self.path}/data/version={number}", compression=COMPRESSION
         )
-        folded.classified.unpersist()
         attempts = events if broken is None else events.unionByName(broken.withColumn("kind", F.lit("unknown")), allowMissingColumns=True)
         self._write(dead.open_failures(attempts, self.failures(before)), "failures", number)
 
@@ -203,4 +202,4 @@ class MirrorStore:
         return [r[0] for r in data.select("bucket").distinct().collect()]
 
     def _write(self, frame: DataFrame, kind: str, number: int) -> None:
-        frame.write.mode("overwrite").parquet(f"{self.path}/{kind}/version={number}")
+        frame.write.mode("overwrite").parquet(f"{self.path}/{kind}/version={number}", compression=COMPRESSION)

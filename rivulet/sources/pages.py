@@ -37,11 +37,16 @@ def broken_pages(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     return _landed(spark, path, multi_line).select(f"page.{BROKEN}", "landing").where(F.col(BROKEN).isNotNull())
 
 
-def stream_pages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Everything that lands as an unbounded source, for the live path: pages, or broken lines, with the file they came in."""
+def stream_pages(spark: SparkSession, path: str, files_per_batch: int | None = None, remove: bool = False) -> DataFrame:
+    """Everything that lands as an unbounded source, for the live path: pages, or broken lines, with the file they came in.
+
+    remove: files of a committed micro-batch go when the next one begins.
+    """
     reader = spark.readStream.schema(LANDED_PAGE).option("columnNameOfCorruptRecord", BROKEN)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if remove:
+        reader = reader.option("cleanSource", "delete")
     return reader.json(path).select("*", F.col("_metadata.file_path").alias("landing"))
 
 
@@ -161,19 +166,21 @@ def encode_event(contract: str, broken: Column) -> Column:
 
 
 def encode_pages(log: DataFrame, contract: str, rows_per_page: int = PAGE_LIMIT, head_lead: int = 10) -> DataFrame:
-    """Raw pages of at most ``rows_per_page`` events from a typed log, in arrival order.
+    """Raw pages of at most ``rows_per_page`` events from a typed log, in arrival order; events without ``pos`` are placed by ``event_id``.
 
     The log is range-partitioned on arrival and numbered inside each partition, so a page is a run of
     rows, packed where it stands: encoded events, several times as long as typed ones, are never shuffled. A failed attempt is written with a value its kind cannot have. Page
     numbers rise with arrival but leave gaps between partitions; ``number_pages`` closes them.
     """
     bad = F.col("error").isNotNull() if "error" in log.columns else F.lit(False)
+    arrival = ["page_seq", "pos" if "pos" in log.columns else "event_id"]
     numbered = (
-        log.repartitionByRange("page_seq", "pos")
-        .sortWithinPartitions("page_seq", "pos")
+        log.withColumn("bad", bad)
+        .repartitionByRange(*arrival)
+        .sortWithinPartitions(*arrival)
         .select(
             F.monotonically_increasing_id().alias("row"),
-            encode_event(contract, bad).alias("event"),
+            encode_event(contract, F.col("bad")).alias("event"),
         )
     )
     paged = T.StructType([T.StructField("page_seq", T.LongType()), T.StructField("events", T.ArrayType(numbered.schema["event"].dataType))])
@@ -213,7 +220,10 @@ def _into_pages(rows_per_page: int):
 
 
 def number_pages(stored: DataFrame) -> DataFrame:
-    """Consecutive page numbers for stored pages of ``encode_pages``: one small row per partition."""
+    """Consecutive page numbers for stored pages of ``encode_pages``.
+
+    Where each partition starts is one small row, which goes to the pages: they are never shuffled.
+    """
     part = F.shiftright("page_seq", 33).alias("part")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -224,7 +234,7 @@ def number_pages(stored: DataFrame) -> DataFrame:
     slot = F.col("page_seq").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         stored.withColumn("part", part)
-        .join(starts, "part")
+        .join(F.broadcast(starts), "part")
         .select((F.col("first") + slot).alias("page_seq"), "result")
     )
 

@@ -66,15 +66,20 @@ def start_ingest(
     checkpoint_dir: str,
     files_per_batch: int | None = None,
     every: str | None = None,
+    remove_landed: bool = False,
 ) -> StreamingQuery:
-    """Start the stream: until the landed pages are used up, or for good at an interval."""
+    """Start the stream: until the landed pages are used up, or for good at an interval.
+
+    remove_landed: a landed file goes in a later micro-batch than its own, since the log has its lines.
+    """
     now = F.greatest(F.unix_micros(F.current_timestamp()), F.lit(_last_arrival(spark, log_dir) + 1))
-    rows = stream_pages(spark, pages_dir, files_per_batch).withColumn("arrived_at", now)
+    rows = stream_pages(spark, pages_dir, files_per_batch, remove_landed).withColumn("arrived_at", now)
     rows = rows.withColumn("arrived_hour", F.floor(F.col("arrived_at") / HOUR)).select(*LOG_SCHEMA.fieldNames())
     writer = (
         rows.writeStream.format("parquet")
         .partitionBy("arrived_hour")
         .option("path", log_dir)
+        .option("compression", "zstd")
         .option("checkpointLocation", checkpoint_dir)
         .outputMode("append")
     )
@@ -190,7 +195,8 @@ def drain(
     floor: int = 0,
     hold_back_gaps: bool = True,
     start_ledger: int | None = None,
+    remove_landed: bool = False,
 ) -> Version:
     """Take in every landed page and fold it, then return: the backlog is used up."""
-    start_ingest(spark, pages_dir, log_dir, checkpoint_dir, files_per_batch).awaitTermination()
+    start_ingest(spark, pages_dir, log_dir, checkpoint_dir, files_per_batch, remove_landed=remove_landed).awaitTermination()
     return fold_arrived(spark, log_dir, store, snapshot, hold_back_gaps, floor, contract, start_ledger)

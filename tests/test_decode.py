@@ -184,3 +184,28 @@ def test_pages_are_packed_where_they_stand(spark, tmp_path):
     parts = encoded.select(F.shiftright("page_seq", 33)).distinct().count()
     assert max(sizes) == 7 and sum(n < 7 for n in sizes) <= parts
     assert all(p.result.cursor == p.result.events[-1].id and p.result.latestLedger == p.result.events[-1].ledger + 10 for p in got)
+
+
+def test_numbering_pages_shuffles_none_of_them(spark, tmp_path):
+    rows = [(part << 33 | slot, "x" * 50) for part in range(3) for slot in range(part + 1)]
+    spark.createDataFrame(rows, "page_seq long, result string").write.parquet(str(tmp_path / "stored"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with pages of any size
+    try:
+        numbered = pages.number_pages(spark.read.parquet(str(tmp_path / "stored")))
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert [r.page_seq for r in numbered.orderBy("page_seq").collect()] == list(range(len(rows)))
+
+
+def test_events_without_a_place_are_placed_by_their_id(spark):
+    names = "page_seq long, event_id string, kind string, stream_id long, ledger long, closed_at long, tx_hash string, sender string, recipient string, token string, amount long, error string"
+    rows = [(i // 4, f"{i:04d}", "withdrawn", i, 10 + i, 1000 + i, "h", None, "r", None, i, "bad" if i == 3 else None) for i in range(12)]
+    wide = "total_amount", "start_time", "end_time", "cliff_time", "recipient_amount", "sender_refund"
+    log = spark.createDataFrame(rows[::-1], names).withColumns({n: F.lit(None).cast("bigint") for n in wide})
+    encoded = pages.encode_pages(log, "c", rows_per_page=5).orderBy("page_seq").collect()
+    assert [e.id for p in encoded for e in p.result.events] == [r[1] for r in rows]
+    placed = pages.encode_pages(log.withColumn("pos", F.col("event_id")), "c", rows_per_page=5).orderBy("page_seq").collect()
+    assert [e for p in placed for e in p.result.events] == [e for p in encoded for e in p.result.events]

@@ -1,14 +1,19 @@
 """The live path: drained in several runs it ends where one batch fold ends."""
 
+import datetime
 import json
 import pathlib
+import time
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.operators.decode import decode_events
 from rivulet.operators.fold import fold
-from rivulet.sources import pages
+from rivulet.plans import queries
+from rivulet.session import shuffles_dropped
+from rivulet.sources import pages, tables
 from rivulet.sources.mirror import MirrorStore
 from rivulet.streaming import live
 
@@ -200,3 +205,63 @@ def test_where_a_new_store_starts(spark, tmp_path, start, floor, outcome):
     assert version.last_ledger == floor
     done = {r.kind: r.outcome for r in store.outcomes().collect()}
     assert done.get("withdrawn") == outcome and ("created" in done) == (outcome == "applied")
+
+
+def small_tables(spark, folder):
+    """Orders and line items of three streams with gaps in their ids, one of them replayed."""
+    day = datetime.datetime(1995, 3, 1)
+    orders = [(k, 7, "F", 100.0 + k, day, "5-LOW") for k in (10, 12, 20, 23)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    items = [(k, n, 3 * k + n, 7 if n == 2 else 8, 9.0 + n, day + datetime.timedelta(days=20 * n)) for k in (10, 12, 20, 23) for n in (1, 2, 3)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate timestamp").write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_encoded_pages_go_once_all_of_them_have_landed(spark, tmp_path):
+    small_tables(spark, tmp_path)
+    encoded, folder = tmp_path / "live" / "encoded", str(tmp_path / "live")
+    there = [encoded.exists() for _ in queries._land_in_turns(spark, str(tmp_path), folder)]
+    assert there == [True] * (queries.LANDINGS - 1) + [False]
+    landed = pages.read_pages(spark, f"{folder}/pages")
+    log = tables.event_log(spark, str(tmp_path))
+    assert landed.select(F.explode("result.events.id")).count() == log.count() > 20
+
+
+def test_landed_files_go_once_the_log_has_them(spark, tmp_path):
+    store = MirrorStore(spark, str(tmp_path / "mirror"), buckets=2)
+    landing(tmp_path, 0, [0])
+    run(spark, tmp_path, store, remove_landed=True)
+    landing(tmp_path, 1, [1])
+    landing(tmp_path, 2, [])
+    run(spark, tmp_path, store, remove_landed=True)  # files are removed beside the next micro-batch
+    deadline = time.monotonic() + 20
+    while (tmp_path / "pages" / "000000.json").exists() and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not (tmp_path / "pages" / "000000.json").exists() and (tmp_path / "pages" / "000002.json").exists()
+    assert rows(store) == [("25000000000000", False)]
+    assert live.read_log(spark, str(tmp_path / "log")).count() == 3
+
+
+def test_what_is_stored_is_compressed_well_and_not_kept_in_a_cache(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(DataFrame, "persist", lambda *_: pytest.fail("a cache that the state cannot use"))
+    store = MirrorStore(spark, str(tmp_path / "mirror"), buckets=2)
+    landing(tmp_path, 0, [0, 1])
+    run(spark, tmp_path, store)
+    files = [*(tmp_path / "log").rglob("part-*.parquet"), *(tmp_path / "mirror").rglob("part-*.parquet")]
+    assert files and all(f.name.endswith(".zstd.parquet") for f in files)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    def shuffle_files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(setting, None), shuffle_files()
+    with pytest.raises(RuntimeError), shuffles_dropped(spark):
+        assert spark.range(1000).repartition(7).selectExpr("id % 5 AS k").groupBy("k").count().count() == 5
+        deadline = time.monotonic() + 20
+        while shuffle_files() - before and time.monotonic() < deadline:
+            time.sleep(0.2)
+        assert not shuffle_files() - before
+        raise RuntimeError
+    assert spark.conf.get(setting, None) == was
