@@ -5,7 +5,11 @@ stream id to the state store, where each stream's rows of the micro-batch are ap
 stored row. What goes out is appended, exactly once, to a Parquet folder: an outcome for every event and, for every stream that
 changed, its new row with a version number. The stored row of a stream is the one of its highest version.
 
-Nothing but the row itself is kept for a stream, and only one micro-batch of events of a stream is in memory at a time
+A call into Python costs far more than an event, so streams share *slots*, by the hash of their id: a slot is the group that goes to
+Python, and its state holds the rows of its streams. Their number is fixed for the life of a checkpoint, which remembers it; about one
+for ``STREAMS_PER_SLOT`` streams is right.
+
+Nothing but the row itself is kept for a stream, and only one micro-batch of events of a slot is in memory at a time
 (``files_per_batch`` bounds it). State has no time limit, since an event may come late by any amount; a page that
 lands again or late is applied when it arrives, and the guard judges its events by their ids. A run that
 breaks off goes on from its checkpoint.
@@ -15,8 +19,10 @@ Events that failed to decode are outcomes of kind ``unknown`` and touch no state
 
 from __future__ import annotations
 
+import json
 from decimal import Decimal
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,9 +36,12 @@ from rivulet.sources.pages import BROKEN, page_events, stream_pages
 
 STATE, OUTCOME = "state", "outcome"
 FAILED_SLOTS = 1024
+DEFAULT_SLOTS = 1024
+STREAMS_PER_SLOT = 256  # a slot's state is written whole when one of its streams changes
 KEY = T.DecimalType(21, 0)  # stream ids, and slots of failed events below zero
 ROW = T.StructType([f for f in stream_schema(time=TIME).fields if f.name != "stream_id"])
-STORED = T.StructType([T.StructField("version", T.LongType()), *ROW.fields])
+# The state of a slot: as JSON, from key to version and values of ROW.
+STORED = T.StructType([T.StructField("rows", T.StringType())])
 SNAPSHOT = [*(f"chain_{c}" for c in BASE_FIELDS), "as_of_event_id"]
 LOG = T.StructType(
     [
@@ -45,8 +54,8 @@ LOG = T.StructType(
 )
 # What a task needs of an event.
 NEEDED = [c for c in EVENT_COLUMNS if c not in ("stream_id", "tx_hash", "sender_refund")]
-# An event goes to Python, and a row of LOG comes back, as one array of texts: a stream has few rows in a micro-batch, so what
-# a task spends goes with the number of columns that pandas cuts out and puts together for each stream.
+# An event goes to Python, and a row of LOG comes back, as one array of texts: a slot has few rows in a micro-batch, so what
+# a task spends goes with the number of columns that pandas cuts out and puts together for each slot.
 TIMES = [c for c in CREATED_FIELDS if c.endswith("_time")]
 FLAGS = ("chain_cancelled", "on_chain")
 READ = dict.fromkeys(["page_seq", "pos", "ledger"], int) | dict.fromkeys(["closed_at", *TIMES, *(f"chain_{c}" for c in TIMES)], Decimal) | dict.fromkeys(FLAGS, "true".__eq__)
@@ -90,11 +99,13 @@ def apply_event(row: dict | None, e: dict) -> tuple[dict | None, str]:
     return row | moved, "applied"
 
 
-EVENT = [*NEEDED, *SNAPSHOT, "on_chain"]
+EVENT = [*NEEDED, *SNAPSHOT, "on_chain", "key"]
 PLACE = {name: i for i, name in enumerate(LOG.fieldNames())}
 
 
 KINDS_OF = [READ.get(c) for c in EVENT]
+ROW_NAMES = ROW.fieldNames()
+ROW_TIMES = [i for i, name in enumerate(ROW_NAMES) if name in TIMES]
 
 
 def _text(value) -> str | None:
@@ -109,8 +120,21 @@ def _line(**values) -> list:
     return line
 
 
+def _packed(rows: dict[str, list]) -> str:
+    """Rows of a slot as its state; whole numbers of any size go into JSON as they are."""
+    return json.dumps(rows, default=int, separators=(",", ":"))
+
+
+def _unpacked(text: str) -> dict[str, list]:
+    rows = json.loads(text)
+    for stored in rows.values():
+        for i in ROW_TIMES:
+            stored[1 + i] = None if stored[1 + i] is None else Decimal(stored[1 + i])
+    return rows
+
+
 def _applied(key, batches, state):
-    """Rows of LOG for the events of one key in a micro-batch, in order of arrival."""
+    """Rows of LOG for the events of one slot in a micro-batch, in order of arrival."""
     import pandas as pd
 
     events = []
@@ -118,32 +142,54 @@ def _applied(key, batches, state):
         for texts in frame["event"].tolist():
             events.append([t if t is None or kind is None else kind(t) for t, kind in zip(texts, KINDS_OF, strict=True)])
     events.sort(key=lambda e: e[:2])  # page_seq, pos
-    names = ROW.fieldNames()
-    version, row = 0, None
-    if state.exists:
-        version, *values = state.get
-        row = dict(zip(names, values, strict=True))
-    first, out = row, []
+    stored = _unpacked(state.get[0]) if state.exists else {}
+    rows, changed, out = {}, set(), []
     for values in events:
         e = dict(zip(EVENT, values, strict=True))
-        outcome = "failed"
+        stream, outcome = e["key"], "failed"
         if e["error"] is None:
-            row, outcome = apply_event(row, e)
-        out.append(_line(row_type=OUTCOME, key=key[0], outcome=outcome, page_seq=e["page_seq"], pos=e["pos"], event_id=e["event_id"], kind=e["kind"], ledger=e["ledger"], error=e["error"]))
-    if row is not first:
-        state.update((version + 1, *(row[n] for n in names)))
-        out.append(_line(row_type=STATE, key=key[0], version=version + 1, **row))
+            if stream not in rows:
+                rows[stream] = dict(zip(ROW_NAMES, stored[stream][1:], strict=True)) if stream in stored else None
+            row, outcome = apply_event(rows[stream], e)
+            if row is not rows[stream]:
+                rows[stream] = row
+                changed.add(stream)
+        out.append(_line(row_type=OUTCOME, key=stream, outcome=outcome, page_seq=e["page_seq"], pos=e["pos"], event_id=e["event_id"], kind=e["kind"], ledger=e["ledger"], error=e["error"]))
+    for stream in sorted(changed):
+        version = 1 + (stored[stream][0] if stream in stored else 0)
+        stored[stream] = [version, *(rows[stream][n] for n in ROW_NAMES)]
+        out.append(_line(row_type=STATE, key=stream, version=version, **rows[stream]))
+    if changed:
+        state.update((_packed(stored),))
     yield pd.DataFrame({"line": out})
 
 
-def fold_stream(events: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
-    """A stream of events (EVENT_COLUMNS) to a stream of outcomes and new rows (LOG)."""
+def fold_stream(events: DataFrame, snapshot: DataFrame | None = None, slots: int | None = None) -> DataFrame:
+    """A stream of events (EVENT_COLUMNS) to a stream of outcomes and new rows (LOG). slots must stay what it was when the checkpoint began."""
     rows = _with_chain(events, snapshot).withColumn("key", _slot()).where(F.col("key").isNotNull())
-    rows = rows.select("key", F.array(*(F.col(c).cast("string") for c in EVENT)).alias("event"))
-    lines = rows.groupBy("key").applyInPandasWithState(_applied, "line array<string>", STORED, "append", GroupStateTimeout.NoTimeout)
+    shared = F.pmod(F.xxhash64("key"), F.lit(slots or DEFAULT_SLOTS)).cast(KEY)
+    rows = rows.select(F.when(F.col("key") < 0, F.col("key")).otherwise(shared).alias("slot"), F.array(*(F.col(c).cast("string") for c in EVENT)).alias("event"))
+    lines = rows.groupBy("slot").applyInPandasWithState(_applied, "line array<string>", STORED, "append", GroupStateTimeout.NoTimeout)
     return lines.select(*(F.col("line")[PLACE[f.name]].cast(f.dataType).alias(f.name) for f in LOG.fields))
 
 
+def _kept_slots(spark: SparkSession, checkpoint_dir: str, slots: int | None) -> int:
+    """The number of slots that the checkpoint began with, which is kept beside it; another one is refused."""
+    place = f"{checkpoint_dir.rstrip('/')}-slots"
+    try:
+        kept = spark.read.schema("slots bigint").parquet(place).first()
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        kept = None
+    if kept is None:
+        kept = (slots or DEFAULT_SLOTS,)
+        spark.createDataFrame([kept], "slots bigint").coalesce(1).write.mode("overwrite").parquet(place)
+    if slots and slots != kept[0]:
+        raise ValueError(f"the checkpoint in {checkpoint_dir} has {kept[0]} slots, not {slots}")
+    return kept[0]
+
+
 def start(
     spark: SparkSession,
     pages_dir: str,
@@ -153,14 +199,16 @@ def start(
     contract: str | None = None,
     files_per_batch: int | None = None,
     every: str | None = None,
+    slots: int | None = None,
 ) -> StreamingQuery:
     """Start the stream: until the landed pages are used up, or for good at an interval.
 
-    Broken lines are left to ``pages.broken_pages``.
+    slots is for the first start; later ones take over its number. Broken lines are left to ``pages.broken_pages``.
     """
     pages = stream_pages(spark, pages_dir, files_per_batch).where(F.col(BROKEN).isNull() & F.col("page_seq").isNotNull())
-    rows = fold_stream(decode_events(page_events(pages, contract)), snapshot)
-    writer = rows.writeStream.format("parquet").partitionBy("row_type").option("path", out_dir).option("checkpointLocation", checkpoint_dir).outputMode("append")
+    rows = fold_stream(decode_events(page_events(pages, contract)), snapshot, _kept_slots(spark, checkpoint_dir, slots))
+    writer = rows.writeStream.format("parquet").partitionBy("row_type").option("path", out_dir).option("checkpointLocation", checkpoint_dir)
+    writer = writer.option("compression", "zstd").outputMode("append")
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

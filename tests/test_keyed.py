@@ -88,3 +88,42 @@ def test_events_and_lines_go_as_one_column(spark, tmp_path):
     assert keyed._text(True) == "true" and keyed._text(Decimal(5)) == "5" and keyed._text("") == "" and keyed._text(None) is None
     row, outcome = keyed.apply_event(None, event)
     assert outcome == "applied" and row["sender"] == ""
+
+
+def test_streams_that_share_a_slot_keep_their_own_rows(spark, tmp_path, monkeypatch):
+    """All streams in two slots, over runs and micro-batches: still the rows and versions of each."""
+    monkeypatch.setattr(keyed, "DEFAULT_SLOTS", 2)
+    source = spark.readStream.schema(event_schema()).json(str(tmp_path))
+    plan = keyed.fold_stream(source)._jdf.queryExecution().analyzed().toString()
+    assert "slot#" in next(line for line in plan.splitlines() if "FlatMapGroupsInPandasWithState" in line)
+    rng = random.Random(5)
+    events = make_events(rng, 120, 9, 10**30, hot=0.2)
+    for e in events:
+        e["stream_id"] += 2**64 - 20
+    snapshot = {k + 2**64 - 20: v for k, v in make_rows(rng, 9, 0.5, 10**30, stored=False).items()}
+    ordered = sorted(events, key=lambda e: (e["page_seq"], e["pos"]))
+    (tmp_path / "run").mkdir()
+    state, outcomes = folded(spark, tmp_path / "run", ordered, snapshot, [[ordered[:30], ordered[30:70]], [ordered[70:]]])
+    wanted_outcomes, wanted = apply_all(events, None, snapshot)
+    got = {int(r.stream_id): {k: (int(v) if k in AMOUNTS else v) for k, v in r.asDict().items() if k != "stream_id"} for r in state}
+    assert got == {k: {c: v[c] for c in next(iter(got.values()))} for k, v in wanted.items()}
+    assert {(r.page_seq, r.pos): r.outcome for r in outcomes} == wanted_outcomes and len(outcomes) == len(events)
+    kept = spark.read.schema(keyed.LOG).parquet(str(tmp_path / "run" / "out")).where("row_type = 'state'").groupBy("key").agg(F.max("version").alias("last"), F.count("*").alias("n"), F.countDistinct("version").alias("versions"))
+    assert kept.where("last <> n OR versions <> n").count() == 0 and kept.where("last > 1").count() > 0
+
+
+def test_the_state_of_a_slot_goes_into_text_and_back():
+    row = ["a,\"ü", None, "t", "9" * 40, "0", Decimal(2**64 - 1), None, Decimal(0), True, 5, 2**62, "x"]
+    assert len(row) == len(keyed.ROW_NAMES)
+    rows = {str(2**64 - 1): [3, *row], "0": [1, *row]}
+    assert keyed._unpacked(keyed._packed(rows)) == rows
+    assert isinstance(keyed._unpacked(keyed._packed(rows))["0"][6], Decimal)
+
+
+def test_a_checkpoint_keeps_its_number_of_slots(spark, tmp_path):
+    checkpoint = str(tmp_path / "checkpoint")
+    assert keyed._kept_slots(spark, checkpoint, 7) == 7
+    assert keyed._kept_slots(spark, checkpoint, None) == keyed._kept_slots(spark, checkpoint, 7) == 7
+    with pytest.raises(ValueError):
+        keyed._kept_slots(spark, checkpoint, 8)
+    assert keyed._kept_slots(spark, str(tmp_path / "other"), None) == keyed.DEFAULT_SLOTS
